@@ -1,12 +1,19 @@
 """The corpus operators' queries by name, with SQL where SQL can express them."""
 
+from .balanced_shards import op3_shards
+from .best_fit_packing import op8_packing
 from .rotated_codes import op1_ann
 from .topk_histogram import OP9_SQL, op9_topk
+from .warc_zstd import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_ann": op1_ann,
+    "op3_shards": op3_shards,
+    "op4_warc": op4_warc,
+    "op8_packing": op8_packing,
     "op9_topk": op9_topk,
 }
 ORACLES = {
+    "op4_warc": OP4_SQL,
     "op9_topk": OP9_SQL,
 }
