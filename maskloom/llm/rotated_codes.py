@@ -25,8 +25,12 @@ PLANES = 6
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix whose size is ``dim`` rounded up to whole 64-bit words; zeros pad the vectors."""
-    d = max(64, -(-dim // 64) * 64)
+    """A random orthogonal matrix of twice ``dim``, rounded up to whole 64-bit words; zeros pad the vectors.
+
+    Two bits a component narrow the error bounds by a factor of about 1.4, which saves far more reranking than the
+    longer codes cost.
+    """
+    d = max(64, -(-2 * dim // 64) * 64)
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
     return q * np.sign(np.diag(r))
 
@@ -52,11 +56,12 @@ def estimate(q: np.ndarray, rot: np.ndarray, bits: np.ndarray, norm: np.ndarray,
     step[step == 0] = 1.0
     level = np.rint((t - low) / step).astype(np.uint8)
     ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-    got = np.zeros((len(q), len(bits)), np.int32)
+    narrow = np.int16 if d * 2**PLANES < 2**15 else np.int32
+    got = np.zeros((len(q), len(bits)), narrow)
     for j in range(PLANES):
         plane = np.packbits((level >> j) & 1, axis=1, bitorder="little").view(np.uint64).reshape(len(q), d // 64)
         for w in range(d // 64):
-            got += np.bitwise_count(plane[:, w, None] & bits[None, :, w]).astype(np.int32) << j
+            got += np.bitwise_count(plane[:, w, None] & bits[None, :, w]).astype(narrow) << j
     on = low * ones[None, :] + step * got  # sum of the query's components where the code has a one
     whole = low[:, 0] * d + step[:, 0] * level.sum(axis=1)
     inner = (2 * on - whole[:, None]) / math.sqrt(d)
@@ -66,11 +71,8 @@ def estimate(q: np.ndarray, rot: np.ndarray, bits: np.ndarray, norm: np.ndarray,
 
 
 def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of paired rows in double precision, summed in the order of the components."""
-    out = np.zeros(len(q))
-    for j in range(q.shape[1]):
-        out += q[:, j] * v[:, j]
-    return out
+    """Inner products of one query with some rows, in double precision; equal rows get equal scores."""
+    return np.einsum("ij,j->i", v, q)
 
 
 def best_of_block(q, own_pos, m, ids, rot, bits, norm, a, k, eps, rows=64):
@@ -82,16 +84,13 @@ def best_of_block(q, own_pos, m, ids, rot, bits, norm, a, k, eps, rows=64):
         est[mine, own[mine]] = -np.inf
         n = min(2 * k, len(m))
         first = np.argpartition(-est, n - 1, axis=1)[:, :n]
-        r = np.repeat(np.arange(len(qs)), n)
-        s = exact(qs[r], m[first.ravel()]).reshape(len(qs), n)
-        s[~np.isfinite(np.take_along_axis(est, first, 1))] = -np.inf
-        kth = np.sort(s, axis=1)[:, max(0, n - k)] if n >= k else np.full(len(qs), -np.inf)
-        r, c = np.nonzero((est + err >= kth[:, None]) & np.isfinite(est))
-        s = exact(qs[r], m[c])
-        order = np.lexsort((ids[c], -s, r))
-        r, c, s = r[order], c[order], s[order]
-        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-        yield at + r[keep], c[keep], s[keep]
+        for i, query in enumerate(qs):
+            known = first[i][np.isfinite(est[i, first[i]])]
+            kth = np.sort(exact(query, m[known]))[-k] if len(known) >= k else -np.inf
+            c = np.flatnonzero((est[i] + err[i] >= kth) & np.isfinite(est[i]))
+            s = exact(query, m[c])
+            order = np.lexsort((ids[c], -s))[:k]
+            yield np.full(len(order), at + i), c[order], s[order]
 
 
 def coded_search(
@@ -137,7 +136,9 @@ def coded_search(
                 own = np.where(np.frombuffer(r.qblock, np.int32) == r.block, np.frombuffer(r.qpos, np.int32), -1)
                 bits = np.frombuffer(r.bits, np.uint64).reshape(r.n, -1)
                 norm, a = np.frombuffer(r.norms), np.frombuffer(r.fixes)
-                for qr, c, s in best_of_block(q, own, m, ids, rot, bits, norm, a, k, eps):
+                parts = list(zip(*best_of_block(q, own, m, ids, rot, bits, norm, a, k, eps)))
+                if parts:
+                    qr, c, s = map(np.concatenate, parts)
                     yield pd.DataFrame({"query_id": qids[qr], "qb": r.qb, "qrow": qr.astype(np.int32), "vec_id": ids[c], "score": s})
 
     found = grid(index, queries, nb, nq).mapInPandas(search, "query_id long, qb int, qrow int, vec_id long, score double")
