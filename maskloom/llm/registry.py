@@ -2,18 +2,23 @@
 
 from .balanced_shards import op3_shards
 from .best_fit_packing import op8_packing
+from .line_winnowing import OP2_SQL, op2_lines
 from .rotated_codes import op1_ann
 from .topk_histogram import OP9_SQL, op9_topk
+from .toxicity import op10_toxicity
 from .warc_zstd import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_ann": op1_ann,
+    "op2_lines": op2_lines,
     "op3_shards": op3_shards,
     "op4_warc": op4_warc,
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {
+    "op2_lines": OP2_SQL,
     "op4_warc": OP4_SQL,
     "op9_topk": OP9_SQL,
 }
