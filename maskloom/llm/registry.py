@@ -2,6 +2,7 @@
 
 from .balanced_shards import op3_shards
 from .best_fit_packing import op8_packing
+from .jaccard_join import OP6_SQL, op6_jaccard
 from .line_winnowing import OP2_SQL, op2_lines
 from .rotated_codes import op1_ann
 from .topk_histogram import OP9_SQL, op9_topk
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_lines": op2_lines,
     "op3_shards": op3_shards,
     "op4_warc": op4_warc,
+    "op6_jaccard": op6_jaccard,
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
@@ -20,5 +22,6 @@ QUERIES = {
 ORACLES = {
     "op2_lines": OP2_SQL,
     "op4_warc": OP4_SQL,
+    "op6_jaccard": OP6_SQL,
     "op9_topk": OP9_SQL,
 }
