@@ -43,7 +43,7 @@ SHINGLE = 5
 NUM, DEN = 75, 100  # a link: DEN * |both| >= NUM * |either|
 SMALL = 64  # below this size sets also index one-deletion neighbourhoods
 FEW = 8  # partners under one subset that are compared at once
-DOCS_PER_BUCKET = 10_000
+DOCS_PER_BUCKET = 3000
 MOST_BUCKETS = 16_384
 INDEX, NEXT, DELETED, SHORT = 0, 1, 2, 3  # kinds of signatures
 
