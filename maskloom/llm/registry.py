@@ -4,6 +4,7 @@ from .balanced_shards import op3_shards
 from .best_fit_packing import op8_packing
 from .jaccard_join import OP6_SQL, op6_jaccard
 from .line_winnowing import OP2_SQL, op2_lines
+from .repeated_bytes import op7_repeats
 from .rotated_codes import op1_ann
 from .topk_histogram import OP9_SQL, op9_topk
 from .toxicity import op10_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_shards": op3_shards,
     "op4_warc": op4_warc,
     "op6_jaccard": op6_jaccard,
+    "op7_repeats": op7_repeats,
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
