@@ -1,11 +1,74 @@
-"""A corpus pipeline of five operators; filled in as the operators arrive."""
+"""A training corpus from ``documents`` in five stages: toxicity, line dedup, near duplicates, repeated strings, packing.
 
-STAGES = []
+Every stage takes what its predecessor wrote, works on all of it, and returns the columns it was given (the last one
+returns packed pieces). ``n_chars``, where there is such a column, follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskloom.llm.best_fit_packing import best_fit_pack, default_vocabulary
+from maskloom.llm.common import materialize
+from maskloom.llm.jaccard_join import jaccard_components
+from maskloom.llm.line_winnowing import dedup_lines
+from maskloom.llm.repeated_bytes import remove_repeats
+from maskloom.llm.toxicity import train, with_scores
+
+
+def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.select(*columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below one half, by a model of the labelled ones among them."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return with_scores(docs, model, score_col="__toxicity").filter(F.col("__toxicity") < 0.5).drop("__toxicity")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without runs of lines that stand earlier in the corpus; all documents stay."""
+    return _counted(dedup_lines(docs), docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, or of equal ones, the one with the smallest doc_id."""
+    keyed = docs.withColumn("__uid", F.monotonically_increasing_id())
+    slim = keyed.select(F.col("__uid").alias("doc_id"), "text")
+    groups = jaccard_components(slim).select(F.col("doc_id").alias("__uid"), F.col("component_id").alias("__group"))
+    ids = keyed.select("doc_id", "__uid").join(groups, "__uid")
+    first = ids.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__uid")).alias("__first"))
+    return keyed.join(first.select(F.col("__first.__uid").alias("__uid")), "__uid", "left_semi").select(*docs.columns)
+
+
+def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 400 bytes that stand elsewhere too; all documents stay."""
+    return _counted(remove_repeats(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return best_fit_pack(docs, default_vocabulary())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", keep_one_of_near_copies),
+    ("suffix_array_dedup", drop_repeated_strings),
+    ("best_fit_packing", pack),
+]
+
+#: A kernel machine, winnowing and packing are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from .balanced_shards import op3_shards
 from .best_fit_packing import op8_packing
+from .gumbel_segments import op5_segments
 from .jaccard_join import OP6_SQL, op6_jaccard
 from .line_winnowing import OP2_SQL, op2_lines
 from .repeated_bytes import op7_repeats
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_lines": op2_lines,
     "op3_shards": op3_shards,
     "op4_warc": op4_warc,
+    "op5_segments": op5_segments,
     "op6_jaccard": op6_jaccard,
     "op7_repeats": op7_repeats,
     "op8_packing": op8_packing,
