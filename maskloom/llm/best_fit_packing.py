@@ -29,15 +29,14 @@ from .common import materialize
 CAPACITY = 4096
 END_ID = 1
 CACHED_WORDS = 1_600_000  # about 300 MB a worker at most
-TEXTS_AT_A_TIME = 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _LATIN_1 = re.compile("[\x00-\xff]*")
 
 
-class WordTokens:
-    """Token ids of a text through its words, with a bounded cache of words in two generations.
+class WordTokens(dict):
+    """Token ids of words, encoded when first asked for, in a bounded cache of two generations.
 
     The vocabulary file drops white space and never merges across it, so the ids of a text are those of its words in
     turn. Python also splits at U+001C to U+001F, which the file does not take for white space: such texts go to the
@@ -50,38 +49,31 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> None:
-        """Cache new words. The file separates letters from what follows, so letters and marks are encoded apart."""
-        ends = {}
-        for w in new:
-            stem = w.rstrip(string.punctuation)
-            if len(stem) < len(w) and stem.isalpha():
-                ends[w] = (stem, w[len(stem) :])
-        whole = list((new - ends.keys()).union(*ends.values()).difference(self.cache))
-        if whole:
-            self.cache.update(zip(whole, self._encode(whole)))
-        for w, (stem, marks) in ends.items():
-            self.cache[w] = self.cache[stem] + self.cache[marks]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, the end id last."""
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:  # the file separates letters from what follows, so letters and marks are encoded apart
+            stem = word.rstrip(string.punctuation)
+            if len(stem) < len(word) and stem.isalpha():
+                ids = self[stem] + self[word[len(stem) :]]
+            else:
+                ids = self._encode(word)
+        self[word] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text, the end id last."""
         end = END_ID.to_bytes(4, "little")
-        whole = {i for i, t in enumerate(texts) if any(c in t for c in _SEPARATORS)}
-        words = [[] if i in whole else _folded(t).split() for i, t in enumerate(texts)]
-        if len(self.cache) > CACHED_WORDS // 2:
-            self.cache, self.older = {}, self.cache
-        new = set().union(*words).difference(self.cache)
-        known = new.intersection(self.older)
-        self.cache.update(zip(known, map(self.older.__getitem__, known)))
-        self._learn(new.difference(known))
-        ids = self.cache.__getitem__
-        return [(self._encode([t])[0] if i in whole else b"".join(map(ids, w))) + end for i, (t, w) in enumerate(zip(texts, words))]
+        if any(c in text for c in _SEPARATORS):
+            return self._encode(text) + end
+        if len(self) > CACHED_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, _folded(text).split())) + end
 
 
 def _folded(text: str) -> str:
@@ -107,12 +99,11 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> Da
         for batch in batches:
             rows = []
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), TEXTS_AT_A_TIME):
-                some = [t or "" for t in texts.slice(at, TEXTS_AT_A_TIME).to_pylist()]
-                for doc_id, whole in zip(ids[at : at + TEXTS_AT_A_TIME], tokens(some)):
-                    for piece, a in enumerate(range(0, len(whole), 4 * capacity)):
-                        part = whole[a : a + 4 * capacity]
-                        rows.append((doc_id, piece, a // 4, len(part) // 4, zlib.crc32(part)))
+            for doc_id, text in zip(ids, texts):
+                whole = tokens.ids(text.as_py() or "")
+                for piece, a in enumerate(range(0, len(whole), 4 * capacity)):
+                    part = whole[a : a + 4 * capacity]
+                    rows.append((doc_id, piece, a // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
