@@ -100,9 +100,11 @@ def deal(fp: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 _SENT = "block long, bucket int, values binary, twice binary"
 
 
-def sent_rows(block: int, fp: np.ndarray, dealt, names: list[str], extra: list) -> pa.RecordBatch:
+def sent_rows(block: int, fp: np.ndarray, dealt, names: list[str], extra: list, narrow: bool = False) -> pa.RecordBatch:
+    """A row for each bucket; ``narrow`` sends the upper half of each value, enough to rule most of them out."""
     order, new, bucket, twice = dealt
     values = fp[order][new]
+    values = (values >> np.uint64(32)).astype(np.uint32) if narrow else values
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = [*cut[1:], len(bucket)]
     n = len(cut)
@@ -115,11 +117,11 @@ def sent_rows(block: int, fp: np.ndarray, dealt, names: list[str], extra: list)
     return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, t) for c, t in zip(names, extra)], names=names)
 
 
-def repeated_values(sent: DataFrame) -> DataFrame:
+def repeated_values(sent: DataFrame, kind: type = np.uint64) -> DataFrame:
     """(block, masks): for each block the bits of its distinct values, by bucket, that occur twice in the corpus."""
 
     def one(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table["values"].to_pylist()]
+        parts = [np.frombuffer(x, kind) for x in table["values"].to_pylist()]
         lens = np.array([len(p) for p in parts])
         twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(table["twice"].to_pylist(), lens)])
         v = np.concatenate(parts)
@@ -178,12 +180,12 @@ def parse(docs: DataFrame, buckets: int) -> DataFrame:
         bounds, places, counts = boundaries(h16, starts, lens)
         fp = fingerprints_at(h16, bounds, SEED)
         dealt = deal(fp, buckets)
-        batch = sent_rows(uids[0], fp, dealt, names, types)
+        batch = sent_rows(uids[0], fp, dealt, names, types, narrow=True)
         yield batch.set_column(0, "kind", pa.array([1] * batch.num_rows, pa.int32()))
         order = dealt[0]
         new = np.packbits(dealt[1]).tobytes()
         yield rows(2, 1, block=[uids[0]], uids=[np.array(uids, np.int64).tobytes()], lens=[lens.tobytes()], twice=[new],
-                   places=[places[order].astype(np.int64).tobytes()], counts=[counts[order].astype(np.uint8).tobytes()])
+                   places=[places[order].astype(np.uint32).tobytes()], counts=[counts[order].astype(np.uint8).tobytes()])
 
     def run(batches):
         seen, uids, texts, size = set(), [], [], 0
@@ -218,7 +220,7 @@ def candidate_places(parsed: DataFrame, masks: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 uids, lens = np.frombuffer(r["uids"], np.int64), np.frombuffer(r["lens"], np.int64)
-                places, counts = np.frombuffer(r["places"], np.int64), np.frombuffer(r["counts"], np.uint8).astype(np.int64)
+                places, counts = np.frombuffer(r["places"], np.uint32).astype(np.int64), np.frombuffer(r["counts"], np.uint8).astype(np.int64)
                 new = np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(places)).astype(bool)
                 hit = _flags(r["masks"])[np.cumsum(new) - 1] if len(places) else np.zeros(0, bool)
                 order = np.argsort(places[hit])
@@ -337,7 +339,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = min(MOST_BUCKETS, max(12, docs.count() // DOCS_PER_BUCKET))
     parsed = materialize(parse(docs, buckets), "bytes-parsed")
-    seeds = repeated_values(parsed.filter("kind = 1").select("block", "bucket", "values", "twice"))
+    seeds = repeated_values(parsed.filter("kind = 1").select("block", "bucket", "values", "twice"), np.uint32)
     places = materialize(candidate_places(parsed, seeds), "bytes-places")
     release(spark)
     info = parsed.filter("kind = 0").select("uid", "n", "sha")
