@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 SPACE = "▁"
 LONGEST = 16  # characters of the longest piece of the vocabulary
@@ -197,7 +198,7 @@ def sample_segmentations(rows: DataFrame, vocabulary: str, keys: list[str], text
     """
     slim = rows.select(*keys, F.xxhash64(F.lit(seed), *keys).alias("__seed"), F.col(text_col).cast("string").alias("__text"))
     schema = slim.select(*keys).schema
-    for name, kind in (("sample", "integer"), ("ids", "array<int>"), ("log_prob", "double"), ("perturbed", "double"), ("inclusion", "double"), ("round_trip", "boolean")):
+    for name, kind in (("sample", "integer"), ("ids", ArrayType(IntegerType())), ("log_prob", "double"), ("perturbed", "double"), ("inclusion", "double"), ("round_trip", "boolean")):
         schema = schema.add(name, kind)
     n = len(keys)
 
