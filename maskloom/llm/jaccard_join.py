@@ -18,8 +18,9 @@ than H+1 non-empty segments also takes one-deletion neighbourhoods, and if even
 with all classes of its sizes.
 
 Candidates. Under a subset that few classes share, all partners are candidates. Under one that many share, a class
-is first compared with one representative for each size; links found are joined to components, and only classes
-that remain in different components are then compared pair by pair. Candidates pass a parity sketch, whose distance
+is first compared with one representative for each size, the one most of whose subsets others share; links found are
+joined to components. Crowds that are then not of one component are compared exactly by sketches, block against block,
+asking classes with all members. Candidates pass a parity sketch, whose distance
 never exceeds that of the sets, and the rest are verified on the texts.
 
 Signatures move as packed blocks of 32-bit values within hash buckets; a false collision costs a comparison and
@@ -320,6 +321,67 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int) ->
     return materialize(both.mapInArrow(exact, "u long, v long"), "jaccard-links")
 
 
+def _sketch_words(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches folded to ``width`` bytes, one row each, as 64-bit words where that divides."""
+    out = np.empty((len(sketches), width), np.uint8)
+    for i, s in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0)
+    return out.view(np.uint64) if width % 8 == 0 else out
+
+
+def _near_pairs(x: dict, y: dict, rows: int = 64):
+    """(u, v) of askers in block x and members of block y that sizes and sketches allow to be links."""
+    nx, ny = np.array(x["sizes"]), np.array(y["sizes"])
+    cx, cy = np.array(x["comps"]), np.array(y["comps"])
+    kx, ky = np.array(x["keys"]), np.array(y["keys"])
+    wx, wy = np.array([len(s) for s in x["sketches"]]), np.array([len(s) for s in y["sketches"]])
+    for width in np.unique(wx):
+        i, j = np.flatnonzero((wx == width) & np.array(x["asks"])), np.flatnonzero((wy == width) | (wy == 2 * width))
+        if not len(i) or not len(j):
+            continue
+        a, b = _sketch_words([x["sketches"][k] for k in i], width), _sketch_words([y["sketches"][k] for k in j], width)
+        for at in range(0, len(i), rows):
+            p = i[at : at + rows]
+            fits = (ny[None, j] >= nx[p, None]) & (ny[None, j] * NUM <= nx[p, None] * DEN) & (cx[p, None] != cy[None, j])
+            r, c = np.nonzero(fits)
+            for part in range(0, len(r), 200_000):
+                rr, cc = r[part : part + 200_000], c[part : part + 200_000]
+                apart = np.bitwise_count(a[at + rr] ^ b[cc]).sum(axis=1, dtype=np.int64)
+                most = (nx[p[rr]] + ny[j[cc]]) * (DEN - NUM) // (DEN + NUM)
+                ok = apart <= most
+                u, v = kx[p[rr[ok]]], ky[j[cc[ok]]]
+                yield np.minimum(u, v), np.maximum(u, v)
+
+
+def close_in_crowds(members: DataFrame, block_rows: int = 1000) -> DataFrame:
+    """Pairs that may be links within crowds not yet of one component, by sizes and sketches, block against block.
+
+    Members (cluster, k1, comp, asks, size, sketch) are packed in blocks of bounded size. Every asker of a crowd is
+    held against all its members; only pairs that pass leave a task.
+    """
+    open_ = members.groupBy("cluster").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).filter("a <> b")
+    rows = members.join(open_.select("cluster", F.ceil(F.col("n") / block_rows).alias("blocks")), "cluster")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")))
+    item = F.collect_list(F.struct("k1", "comp", "asks", "size", "sketch"))
+    packed = materialize(rows.groupBy("cluster", "block").agg(item.alias("m"), F.first("blocks").alias("blocks"), F.max("asks").alias("some")), "jaccard-blocks")
+    x = packed.filter("some").select("cluster", F.col("block").alias("bx"), F.col("m").alias("mx"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("by"))
+    y = packed.select("cluster", F.col("block").alias("by"), F.col("m").alias("my"))
+
+    def unpacked(m: list[dict]) -> dict:
+        return {"keys": [r["k1"] for r in m], "comps": [r["comp"] for r in m], "asks": [r["asks"] for r in m], "sizes": [r["size"] for r in m], "sketches": [r["sketch"] for r in m]}
+
+    def compare(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                parts = list(_near_pairs(unpacked(r["mx"]), unpacked(r["my"])))
+                if parts:
+                    u, v = map(np.concatenate, zip(*parts))
+                    yield pa.record_batch({"u": u, "v": v})
+
+    return x.join(y, ["cluster", "by"]).select("mx", "my").mapInArrow(compare, "u long, v long").distinct()
+
+
 def class_links(shared: DataFrame, classes: DataFrame, docs: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
     """(links, components) between classes."""
     w = Window.partitionBy("k1", "kind")
@@ -334,8 +396,11 @@ def class_links(shared: DataFrame, classes: DataFrame, docs: DataFrame, salt: in
     many = chosen.filter(F.col("cost") > FEW).drop("cost")
     busy = many.select("sig").distinct()
     crowd = targets.drop("cost").join(busy, "sig")
-    heads = crowd.groupBy("sig", _size_class(F.col("ny")).alias("class")).agg(F.min(F.struct("y", "ny", "deleted")).alias("h"))
-    heads = heads.select("sig", "class", "h.*")
+    # the member whose subsets most others share is nearest to the middle of its crowd: an original before its copies
+    middle = shared.filter(F.col("kind") == INDEX).groupBy(F.col("k1").alias("y")).agg(F.sum(F.col("cost").cast("long")).alias("weight"))
+    crowd = crowd.join(middle, "y")
+    heads = crowd.groupBy("sig", _size_class(F.col("ny")).alias("class")).agg(F.max(F.struct("weight", "y", "ny", "deleted")).alias("h"))
+    heads = heads.select("sig", "class", "h.y", "h.ny", "h.deleted")
     own = _size_class(F.col("nx"))
     stars = many.withColumn("class", F.explode(F.sequence(own, own + 2))).join(heads, ["sig", "class"]).filter(usable).select(*pair)
     # classes short of units, with all classes of their sizes
@@ -348,13 +413,16 @@ def class_links(shared: DataFrame, classes: DataFrame, docs: DataFrame, salt: in
     first = verify(few.unionByName(stars).unionByName(rest).distinct(), classes, docs, salt)
     comps = materialize(connected_components(first, "jaccard-components"), "jaccard-components")
 
-    # what many share: pairs still in different components
-    comp = lambda a, c: comps.select(F.col("v").alias(a), F.col("comp").alias(c))
-    askers = many.join(comp("x", "cx"), "x", "left").withColumn("cx", F.coalesce("cx", "x"))
-    there = materialize(crowd.join(comp("y", "cy"), "y", "left").withColumn("cy", F.coalesce("cy", "y")), "jaccard-crowd")
-    others = there.groupBy("sig", "cy").agg(F.min("ny").alias("low"), F.max("ny").alias("high"))
-    apart = askers.join(others, "sig").filter((F.col("cx") != F.col("cy")) & (F.col("high") >= F.col("nx")) & (F.col("low") * NUM <= F.col("nx") * DEN))
-    more = apart.select("sig", "x", "nx", "short", "cy").join(there, ["sig", "cy"]).filter(usable).select(*pair).distinct()
+    # what many share: classes still in different components, within each crowd
+    present = crowd.select("sig", "y").unionByName(many.select("sig", F.col("x").alias("y")))  # some ask, but are of another band
+    edges = present.join(heads.groupBy("sig").agg(F.min("y").alias("v")), "sig").select(F.col("y").alias("u"), "v")
+    clusters = connected_components(edges, "jaccard-crowds").withColumnRenamed("comp", "cluster")
+    askers = many.select(F.col("x").alias("k1")).distinct().withColumn("asks", F.lit(True))
+    members = crowd.select(F.col("y").alias("k1")).unionByName(askers.select("k1")).distinct()
+    members = members.join(clusters.withColumnRenamed("v", "k1"), "k1", "left").join(askers, "k1", "left")
+    members = members.join(comps.withColumnRenamed("v", "k1"), "k1", "left").join(classes.select("k1", "size", "sketch"), "k1")
+    members = materialize(members.select(F.coalesce("cluster", "k1").alias("cluster"), "k1", F.coalesce("comp", "k1").alias("comp"), F.coalesce("asks", F.lit(False)).alias("asks"), "size", "sketch"), "jaccard-crowd")
+    more = close_in_crowds(members)
     second = verify(more, classes, docs, salt)
     links = first.unionByName(second).distinct()
     return links, materialize(connected_components(links, "jaccard-components"), "jaccard-components")
