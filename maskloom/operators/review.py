@@ -64,7 +64,7 @@ def decision_gates(decisions: DataFrame, unsupported: DataFrame, external: bool)
             F.array(
                 F.struct(F.lit("unreviewed").alias("gate"), F.col("unreviewed").alias("n"), (F.col("unreviewed") > 0).alias("blocks")),
                 F.struct(F.lit("hyperlink").alias("gate"), F.col("hyperlink").alias("n"), (F.col("hyperlink") > 0).alias("blocks")),
-                F.struct(F.lit("unsupported").alias("gate"), F.col("unsupported").alias("n"), (F.col("unsupported") > 0) & F.lit(external)),
+                F.struct(F.lit("unsupported").alias("gate"), F.col("unsupported").alias("n"), ((F.col("unsupported") > 0) & F.lit(external)).alias("blocks")),
                 F.struct(F.lit("nothing_selected").alias("gate"), F.col("enabled").alias("n"), (F.col("enabled") == 0).alias("blocks")),
             ).cast("array<struct<gate:string,n:bigint,blocks:boolean>>")
         ).alias("g")

@@ -59,7 +59,7 @@ def visual_rows(lines: DataFrame, closeness: float = 0.55) -> DataFrame:
                 number.append(len(rows) - 1)
         return pdf.assign(vrow=number)
 
-    return lines.groupBy(*PAGE).applyInPandas(one, lines.schema.add("vrow", "int"))
+    return lines.groupBy(*PAGE).applyInPandas(one, lines.schema.add("vrow", "integer"))
 
 
 def page_context(lines: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """All queries outside the corpus operators, by name, with SQL for those that SQL can express."""
 
-QUERIES = {}
-ORACLES = {}
+from . import detection_queries, evaluation_queries, join_queries, value_queries
+from .detection_queries import mask_documents
 
-
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+_PARTS = (detection_queries, value_queries, join_queries, evaluation_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
+FLAGSHIP = mask_documents
