@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Character variants and suffixes that alias keys fold.
 KANJI_VARIANTS = ("髙﨑邊邉", "高崎辺辺")
@@ -23,7 +24,7 @@ PLACEHOLDER_KINDS = (
 PLACEHOLDER_SUFFIXES = ("さん", "様", "部長", "課長", "係長", "主任", "担当", "殿", "氏")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
@@ -114,14 +115,14 @@ def class_counts(text: Column) -> dict[str, Column]:
 def hmac_sha256(key: bytes):
     """A column function giving the keyed digest of a text; the key stays in the closure and is never logged."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def digest(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else hmac.new(key, v.encode(), hashlib.sha256).hexdigest())
 
     return digest
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Similarity of two texts by their matching blocks."""
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import class_counts, compact, ocr_normalize
 
@@ -59,7 +60,7 @@ def visual_rows(lines: DataFrame, closeness: float = 0.55) -> DataFrame:
                 number.append(len(rows) - 1)
         return pdf.assign(vrow=number)
 
-    return lines.groupBy(*PAGE).applyInPandas(one, lines.schema.add("vrow", "integer"))
+    return lines.groupBy(*PAGE).applyInPandas(one, StructType([*lines.schema.fields, StructField("vrow", IntegerType())]))
 
 
 def page_context(lines: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ _JAPANESE = [
 ]
 _FOUND = [
     (1, "氏名", 0, 8), (1, "住所", 13, 26), (1, "電話番号", 36, 49), (2, "銀行口座", 14, 21), (2, "パスワード", 28, 34), (2, "氏名", 3, 5),
-    (3, "氏名", 0, 2), (3, "予定日時", 6, 13), (3, "組織名", 13, 18), (6, "郵便番号", 0, 9), (6, "個人番号", 12, 24), (6, "APIキー", 25, 35),
+    (3, "氏名", 0, 2), (3, "予定日時", 6, 13), (3, "組織名", 13, 18), (6, "郵便番号", 0, 9), (6, "個人番号", 12, 24), (6, "APIキー", 25, 37),
 ]
 
 
@@ -101,7 +101,7 @@ def japanese_spans(spark, sf_dir):
 _URLS = [(1, "https://x.example/?name=ann&x=1"), (2, "mailto:bob@example.com"), (3, "https://x.example/"), (4, "https://x.example/?q=1&user=eve#a")]
 
 
-@query("SELECT * FROM " + values_sql([(1, "JP_NAME", "ann", 0.45), (2, "JP_EMAIL", "bob@example.com", 0.92), (4, "JP_NAME", "eve", 0.45)], "id, category, value, score"))
+@query("SELECT id, category, value, CAST(score AS DOUBLE) AS score FROM " + values_sql([(1, "JP_NAME", "ann", 0.45), (2, "JP_EMAIL", "bob@example.com", 0.92), (4, "JP_NAME", "eve", 0.45)], "id, category, value, score"))
 def url_candidates(spark, sf_dir):
     d = detect(inline(spark, _URLS, "id int, url string"), PROFILES["url"], "url", trim=False)
     return d.select("id", F.explode("spans").alias("x")).select("id", "x.category", F.col("x.text").alias("value"), "x.score")
