@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 1_600_000  # about 300 MB a worker at most
+CACHED_WORDS = 500_000  # about 100 MB a worker at most
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -110,7 +110,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> Da
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(cut), PIECES)
 
 
 class RoomTree:

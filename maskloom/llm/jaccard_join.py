@@ -30,6 +30,7 @@ changes no result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, trim_worker, trimmed
 from .components import connected_components
 
 SHINGLE = 5
@@ -101,9 +102,9 @@ def units_needed(size: int) -> int:
     return (size + larger) * (DEN - NUM) // (DEN + NUM) + 1
 
 
-def subsets(tokens: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def subsets(tokens: np.ndarray, band: int, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment of each non-empty subset, where it starts in the sorted tokens, its signature)."""
-    m = np.uint64(segments_of(band))
+    m = np.uint64(segments)
     seg = ((tokens >> np.uint64(32)) * m) >> np.uint64(32)
     start = np.flatnonzero(np.diff(seg, prepend=m))
     return seg[start], start, signature(np.add.reduceat(tokens, start), seg[start], band)
@@ -113,9 +114,9 @@ def signature(content: np.ndarray, seg: np.ndarray, band: int) -> np.ndarray:
     return _mix(content + seg * _A + np.uint64(band + 1) * _C)
 
 
-def one_deletions(tokens: np.ndarray, band: int) -> np.ndarray:
+def one_deletions(tokens: np.ndarray, band: int, segments: int) -> np.ndarray:
     """Signatures of all subsets of at least two elements less one of them."""
-    seg, start, _ = subsets(tokens, band)
+    seg, start, _ = subsets(tokens, band, segments)
     n = np.diff(start, append=len(tokens))
     whole = np.repeat(np.add.reduceat(tokens, start), n)
     some = np.repeat(n, n) > 1
@@ -144,7 +145,7 @@ def linked_sizes(both: int, a: int, b: int) -> bool:
 _SETS = "kind int, doc_id long, n long, k1 long, k2 long, sketch binary, bucket int, keys binary, sizes binary, slack binary, sigs binary, idx binary, kinds binary"
 
 
-def scan_sets(docs: DataFrame, buckets: int, salt: int) -> DataFrame:
+def scan_sets(docs: DataFrame, buckets: int, salt: int, segments: Callable[[int], int] = segments_of) -> DataFrame:
     """One pass over the texts: a row for each document (kind 0), and packed signatures of its batches (kind 1)."""
     names = [x.split()[0] for x in _SETS.split(", ")]
     types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -178,10 +179,10 @@ def scan_sets(docs: DataFrame, buckets: int, salt: int) -> DataFrame:
                         if level > b and s * DEN // NUM < 2**level:
                             spare.append(0)
                             continue
-                        _, start, sig = subsets(t, level)
+                        _, start, sig = subsets(t, level, segments(level))
                         spare.append(len(sig) - need)
                         emit = [(sig, INDEX if level == b else NEXT)]
-                        deleted = one_deletions(t, level) if s < SMALL or len(sig) < need else None
+                        deleted = one_deletions(t, level, segments(level)) if s < SMALL or len(sig) < need else None
                         if level == b and s < SMALL:
                             emit.append((deleted, DELETED))
                         if len(sig) < need:
@@ -216,7 +217,7 @@ def scan_sets(docs: DataFrame, buckets: int, salt: int) -> DataFrame:
                         out[c].append(v)
                 yield table(1, len(cut), **out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, _SETS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(scan), _SETS)
 
 
 _SHARED = "sig long, k1 long, size int, kind int, asks boolean, cost int, slack int"
@@ -245,6 +246,7 @@ def shared_subsets(packed: DataFrame) -> DataFrame:
         keep = np.flatnonzero(asks | target)
         sig, c, kind, asks = sig[keep].astype(np.int64), c[keep], kind[keep], asks[keep]
         cost = n[0, keep] + np.where(kind == SHORT, n[2, keep], 0)
+        trim_worker()
         return pa.table(
             {
                 "sig": np.int64(bucket) << np.int64(32) | sig,
@@ -295,7 +297,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int) ->
                 words.clear()
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    texts = materialize(texts.mapInArrow(mine, "k1 long, text string"), "jaccard-texts").dropDuplicates(["k1"])
+    texts = materialize(texts.mapInArrow(trimmed(mine), "k1 long, text string"), "jaccard-texts").dropDuplicates(["k1"])
 
     def exact(batches):
         words, known = WordHashes(), {}
@@ -318,7 +320,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int) ->
 
     text = lambda a, t: texts.select(F.col("k1").alias(a), F.col("text").alias(t))
     both = close.join(text("u", "tu"), "u").join(text("v", "tv"), "v")
-    return materialize(both.mapInArrow(exact, "u long, v long"), "jaccard-links")
+    return materialize(both.mapInArrow(trimmed(exact), "u long, v long"), "jaccard-links")
 
 
 def _sketch_words(sketches: list[bytes], width: int) -> np.ndarray:
@@ -428,7 +430,7 @@ def class_links(shared: DataFrame, classes: DataFrame, docs: DataFrame, salt: in
     return links, materialize(connected_components(links, "jaccard-components"), "jaccard-components")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, segments: Callable[[int], int] = segments_of) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
     Two documents link when their sets have similarity 0.75 or more; ``component_id`` is the smallest doc_id
@@ -440,7 +442,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     buckets = min(MOST_BUCKETS, max(12, docs.count() // DOCS_PER_BUCKET))
     salt = 0
     while True:
-        scanned = materialize(scan_sets(docs, buckets, salt), "jaccard-sets")
+        scanned = materialize(scan_sets(docs, buckets, salt, segments), "jaccard-sets")
         sets = scanned.filter("kind = 0").select("doc_id", "n", "k1", "k2", "sketch")
         same = sets.filter("n > 0").groupBy("k1").agg(
             F.min("k2").alias("a"), F.max("k2").alias("b"), F.min("doc_id").alias("rep"), F.first("n").alias("size"), F.max("sketch").alias("sketch")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 MIN_RUN = 3
 GRAM = 2
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, min_run: int, gram: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("h", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["fp", "doc_id", "uid", "stretches"])
 
-    return docs.mapInArrow(run, "fp long, doc_id long, uid long, stretches array<struct<s:int,h:long>>")
+    return docs.mapInArrow(trimmed(run), "fp long, doc_id long, uid long, stretches array<struct<s:int,h:long>>")
 
 
 def repeated_stretches(docs: DataFrame, min_run: int = MIN_RUN, gram: int = GRAM) -> DataFrame:
@@ -141,7 +141,7 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, gram: int = GRAM) -> Da
             columns += [pa.array(c, pa.int64()) for c in cols[1:]]
             yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n != "__starts"] + counts)
 
-    return joined.mapInArrow(cut, out.schema)
+    return joined.mapInArrow(trimmed(cut), out.schema)
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, trimmed
 
 LENGTH = 400
 SEED = 256
 REACH = LENGTH - SEED
 PHRASE = 24  # mean bytes between triggers
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 DOCS_PER_BUCKET = 4000
 MOST_BUCKETS = 16_384
 _BYTES = np.random.default_rng(400).integers(0, 2**64, 256, dtype=np.uint64)
@@ -164,7 +164,7 @@ _PARSED = "kind int, uid long, n long, sha string, block long, bucket int, value
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
 
 
-def parse(docs: DataFrame, buckets: int) -> DataFrame:
+def parse(docs: DataFrame, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One pass over (uid, text): a row a document (kind 0), parse suffixes sent to buckets (1), the parse (2)."""
     names = [x.split()[0] for x in _PARSED.split(", ")]
     types = [_KINDS[x.split()[1]] for x in _PARSED.split(", ")]
@@ -201,7 +201,7 @@ def parse(docs: DataFrame, buckets: int) -> DataFrame:
                 uids.append(uid)
                 texts.append(data)
                 size += len(data)
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield from flush(uids, texts)
                     uids, texts, size = [], [], 0
             if info:
@@ -210,7 +210,7 @@ def parse(docs: DataFrame, buckets: int) -> DataFrame:
         if uids:
             yield from flush(uids, texts)
 
-    return docs.mapInArrow(run, _PARSED)
+    return docs.mapInArrow(trimmed(run), _PARSED)
 
 
 def candidate_places(parsed: DataFrame, masks: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def candidate_places(parsed: DataFrame, masks: DataFrame) -> DataFrame:
 _BLOCKS = "block long, uids array<long>, texts array<binary>, starts array<array<long>>, ends array<array<long>>"
 
 
-def text_blocks(rows: DataFrame) -> DataFrame:
+def text_blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents with candidate places, packed into blocks of bounded size (one long document may exceed it)."""
 
     def run(batches):
@@ -267,13 +267,13 @@ def text_blocks(rows: DataFrame) -> DataFrame:
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 held.append((uid.as_py(), data, s.as_py(), e.as_py()))
                 size += len(data)
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield out()
                     held, size = [], 0
         if held:
             yield out()
 
-    return rows.mapInArrow(run, _BLOCKS)
+    return rows.mapInArrow(trimmed(run), _BLOCKS)
 
 
 def _places(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -298,7 +298,7 @@ def send_places(blocks: DataFrame, buckets: int) -> DataFrame:
                 if len(fp):
                     yield sent_rows(block["block"], fp, deal(fp, buckets), names, types)
 
-    return blocks.mapInArrow(run, _SENT)
+    return blocks.mapInArrow(trimmed(run), _SENT)
 
 
 def removed_spans(blocks: DataFrame, masks: DataFrame, buckets: int) -> DataFrame:
@@ -331,21 +331,21 @@ def removed_spans(blocks: DataFrame, masks: DataFrame, buckets: int) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["uid", "starts", "ends", "n_removed", "kept_sha256"])
 
     joined = blocks.join(masks, "block")
-    return joined.mapInArrow(run, "uid long, starts array<long>, ends array<long>, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(trimmed(run), "uid long, starts array<long>, ends array<long>, n_removed long, kept_sha256 string")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(uid, n, starts, ends, n_removed, kept_sha256) for every row of (uid, text); starts is null where none are."""
     spark = docs.sparkSession
     buckets = min(MOST_BUCKETS, max(12, docs.count() // DOCS_PER_BUCKET))
-    parsed = materialize(parse(docs, buckets), "bytes-parsed")
+    parsed = materialize(parse(docs, buckets, block_bytes), "bytes-parsed")
     seeds = repeated_values(parsed.filter("kind = 1").select("block", "bucket", "values", "twice"), np.uint32)
     places = materialize(candidate_places(parsed, seeds), "bytes-places")
     release(spark)
     info = parsed.filter("kind = 0").select("uid", "n", "sha")
     same = info.filter(F.col("n") >= LENGTH).groupBy("sha").agg(F.count("*").alias("copies"), F.min("uid").alias("first"))
     lead = places.join(same.select(F.col("first").alias("uid")), "uid", "left_semi")
-    blocks = materialize(text_blocks(docs.join(lead, "uid").select("uid", "text", "starts", "ends")), "bytes-blocks")
+    blocks = materialize(text_blocks(docs.join(lead, "uid").select("uid", "text", "starts", "ends"), block_bytes), "bytes-blocks")
     release(spark)
     masks = materialize(repeated_values(send_places(blocks, buckets)), "bytes-masks")
     found = materialize(removed_spans(blocks, masks, buckets), "bytes-found")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 DECAY = 0.8
 LENGTH = 4  # of the shared subsequences; shorter landmarks use one less than their own length
 POWER = 3  # of kernel values, itself a kernel: near matches keep some value, faint ones hardly any
@@ -325,7 +327,7 @@ def with_scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text", s
             got = pa.array(model.score(texts), pa.float64()) if texts else pa.array([], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(trimmed(score), schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
