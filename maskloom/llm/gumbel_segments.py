@@ -18,6 +18,7 @@ All noise is a hash of the row's key, the step and the edge: a row's samples dep
 from __future__ import annotations
 
 import heapq
+import math
 import re
 
 import numpy as np
@@ -74,38 +75,44 @@ class Segmenter:
                 self.pieces[self.model.id_to_piece(i)] = i
         rank = np.array([min(-self.model.get_score(i), n) for i in range(n)])
         weight = 1 / (rank + 3)
-        self.logw = alpha * np.log(weight / weight.sum())
-        self.rare = float(self.logw[list(self.pieces.values())].min())
+        self.logw = (alpha * np.log(weight / weight.sum())).tolist()
+        self.rare = min(self.logw[i] for i in self.pieces.values())
         self.runs: list[list[int]] = []  # byte runs, numbered from -1 down
         self.run_of: dict[str, int] = {}
         self.cache: dict[str, tuple] = {}
 
-    def _edges(self, chunk: str, at: int):
-        for to in range(at + 1, min(len(chunk), at + LONGEST) + 1):
-            i = self.pieces.get(chunk[at:to])
-            if i is not None:
-                yield to, i, self.logw[i]
-        if chunk[at] not in self.pieces:
-            if chunk[at] not in self.run_of:
-                self.run_of[chunk[at]] = -1 - len(self.runs)
-                self.runs.append([self.bytes[b] for b in chunk[at].encode("utf-8", "surrogatepass")])
-            run = self.run_of[chunk[at]]
-            yield at + 1, run, self.rare * len(self.runs[-1 - run])
+    def _run(self, char: str) -> tuple[int, float]:
+        """Number and weight of the bytes of a character that is no piece."""
+        if char not in self.run_of:
+            self.run_of[char] = -1 - len(self.runs)
+            self.runs.append([self.bytes[b] for b in char.encode("utf-8", "surrogatepass")])
+        run = self.run_of[char]
+        return run, self.rare * len(self.runs[-1 - run])
 
     def _chunk(self, chunk: str) -> tuple:
         """(characters, first edge of each place, ends, pieces, conditional log-probabilities)."""
         got = self.cache.get(chunk)
         if got is None:
-            n = len(chunk)
-            beta, rows = np.zeros(n + 1), [()] * n
+            n, pieces, logw, exp = len(chunk), self.pieces, self.logw, math.exp
+            beta, rows = [0.0] * (n + 1), [()] * n
             for at in range(n - 1, -1, -1):
-                rows[at] = list(self._edges(chunk, at))
-                s = np.array([w + beta[to] for to, _, w in rows[at]])
-                top = s.max()
-                beta[at] = top + np.log(np.exp(s - top).sum())
-            counts = np.array([len(r) for r in rows])
-            flat = [(to, i, w + beta[to] - beta[at]) for at, r in enumerate(rows) for to, i, w in r]
-            got = (n, np.cumsum(counts) - counts, np.array([x[0] for x in flat], np.int32), np.array([x[1] for x in flat], np.int32), np.array([x[2] for x in flat]))
+                row = []
+                for to in range(at + 1, min(n, at + LONGEST) + 1):
+                    i = pieces.get(chunk[at:to])
+                    if i is not None:
+                        row.append((to, i, logw[i] + beta[to]))
+                if chunk[at] not in pieces:
+                    run, weight = self._run(chunk[at])
+                    row.append((at + 1, run, weight + beta[at + 1]))
+                top = max(x[2] for x in row)
+                beta[at] = top + math.log(sum([exp(x[2] - top) for x in row]))
+                rows[at] = row
+            first, flat = [], []
+            for at, row in enumerate(rows):
+                first.append(len(flat))
+                flat += [(to, i, s - beta[at]) for to, i, s in row]
+            to, ids, logp = zip(*flat)
+            got = (n, np.array(first), np.array(to, np.int32), np.array(ids, np.int32), np.array(logp))
             if len(self.cache) >= CACHED_CHUNKS:
                 self.cache.clear()
             self.cache[chunk] = got
