@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, trimmed
+from .common import discard, materialize, release, trimmed
 
 LENGTH = 400
 SEED = 256
@@ -341,14 +341,16 @@ def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     parsed = materialize(parse(docs, buckets, block_bytes), "bytes-parsed")
     seeds = repeated_values(parsed.filter("kind = 1").select("block", "bucket", "values", "twice"), np.uint32)
     places = materialize(candidate_places(parsed, seeds), "bytes-places")
+    info = materialize(parsed.filter("kind = 0").select("uid", "n", "sha"), "bytes-documents")
+    discard(parsed)
     release(spark)
-    info = parsed.filter("kind = 0").select("uid", "n", "sha")
     same = info.filter(F.col("n") >= LENGTH).groupBy("sha").agg(F.count("*").alias("copies"), F.min("uid").alias("first"))
     lead = places.join(same.select(F.col("first").alias("uid")), "uid", "left_semi")
     blocks = materialize(text_blocks(docs.join(lead, "uid").select("uid", "text", "starts", "ends"), block_bytes), "bytes-blocks")
     release(spark)
     masks = materialize(repeated_values(send_places(blocks, buckets)), "bytes-masks")
     found = materialize(removed_spans(blocks, masks, buckets), "bytes-found")
+    discard(blocks)
     release(spark)
     out = info.join(same.filter("copies > 1").select("sha", "copies"), "sha", "left").join(found, "uid", "left")
     copy = F.col("copies").isNotNull()
