@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, trim_worker, trimmed
+from .common import discard, materialize, release, trim_worker, trimmed
 from .components import connected_components
 
 SHINGLE = 5
@@ -402,7 +402,7 @@ def class_links(shared: DataFrame, classes: DataFrame, docs: DataFrame, salt: in
     middle = shared.filter(F.col("kind") == INDEX).groupBy(F.col("k1").alias("y")).agg(F.sum(F.col("cost").cast("long")).alias("weight"))
     crowd = crowd.join(middle, "y")
     heads = crowd.groupBy("sig", _size_class(F.col("ny")).alias("class")).agg(F.max(F.struct("weight", "y", "ny", "deleted")).alias("h"))
-    heads = heads.select("sig", "class", "h.y", "h.ny", "h.deleted")
+    heads = heads.select("sig", "class", "h.weight", "h.y", "h.ny", "h.deleted")
     own = _size_class(F.col("nx"))
     stars = many.withColumn("class", F.explode(F.sequence(own, own + 2))).join(heads, ["sig", "class"]).filter(usable).select(*pair)
     # classes short of units, with all classes of their sizes
@@ -417,7 +417,8 @@ def class_links(shared: DataFrame, classes: DataFrame, docs: DataFrame, salt: in
 
     # what many share: classes still in different components, within each crowd
     present = crowd.select("sig", "y").unionByName(many.select("sig", F.col("x").alias("y")))  # some ask, but are of another band
-    edges = present.join(heads.groupBy("sig").agg(F.min("y").alias("v")), "sig").select(F.col("y").alias("u"), "v")
+    head = heads.groupBy("sig").agg(F.max(F.struct("weight", "y")).alias("h")).select("sig", F.col("h.y").alias("v"))  # few, as the middle is shared
+    edges = present.join(head, "sig").select(F.col("y").alias("u"), "v")
     clusters = connected_components(edges, "jaccard-crowds").withColumnRenamed("comp", "cluster")
     askers = many.select(F.col("x").alias("k1")).distinct().withColumn("asks", F.lit(True))
     members = crowd.select(F.col("y").alias("k1")).unionByName(askers.select("k1")).distinct()
@@ -442,8 +443,8 @@ def jaccard_components(docs: DataFrame, segments: Callable[[int], int] = segment
     buckets = min(MOST_BUCKETS, max(12, docs.count() // DOCS_PER_BUCKET))
     salt = 0
     while True:
-        scanned = materialize(scan_sets(docs, buckets, salt, segments), "jaccard-sets")
-        sets = scanned.filter("kind = 0").select("doc_id", "n", "k1", "k2", "sketch")
+        scanned = materialize(scan_sets(docs, buckets, salt, segments), "jaccard-scan")
+        sets = materialize(scanned.filter("kind = 0").select("doc_id", "n", "k1", "k2", "sketch"), "jaccard-sets")
         same = sets.filter("n > 0").groupBy("k1").agg(
             F.min("k2").alias("a"), F.max("k2").alias("b"), F.min("doc_id").alias("rep"), F.first("n").alias("size"), F.max("sketch").alias("sketch")
         )
@@ -452,7 +453,8 @@ def jaccard_components(docs: DataFrame, segments: Callable[[int], int] = segment
         salt += 1
     packed = scanned.filter("kind = 1").select("bucket", "keys", "sizes", "slack", "sigs", "idx", "kinds")
     shared = materialize(shared_subsets(packed), "jaccard-shared")
-    short = _short_classes(packed)
+    short = materialize(_short_classes(packed), "jaccard-short")
+    discard(scanned)
     classes = materialize(same.select("k1", "rep", "size", "sketch").join(short, "k1", "left").withColumn("short", F.coalesce("short", F.lit(False))), "jaccard-classes")
     release(docs.sparkSession)
     _, comps = class_links(shared, classes, docs, salt)
