@@ -12,16 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_folder: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share.
+    """A new folder below ``spark.checkpoint.dir``, which all executors share, as a full URI.
 
-    Only where that setting is missing (single-machine tests) a temporary folder is set instead.
+    Only where that setting is missing (single-machine tests) a temporary folder is made instead. Folders stay until
+    whoever owns the checkpoint folder clears it, as results that are read later may depend on them.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="maskloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = _own_folder.setdefault("base", "file://" + tempfile.mkdtemp(prefix="maskloom-"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(conf).makeQualified(path).toString()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
