@@ -54,13 +54,41 @@ ADDRESSES = (
 )
 URL = (
     Rule("JP_EMAIL", EMAIL.pattern, 0.92, name="url_email"),
-    Rule("JP_NAME", r"[?&](?:name|user|username|fullname|full_name)=([^&#\s]+)", 0.45, 1, name="url_name"),
+    Rule("JP_NAME", r"(?:name|person|user|contact)=([A-Za-z][A-Za-z.\-_%]{2,60})", 0.45, 1, name="url_name"),
+)
+DESIGNATORS = ("株式会社", "有限会社", "合同会社", "医療法人", "学校法人", "社会福祉法人")
+SUFFIX_DESIGNATORS = ("株式会社", "有限会社", "合同会社")
+_CHARS = "一-龯々〆ヵヶぁ-んァ-ヶーA-Za-z0-9"
+WORD = (
+    Rule("会社名", rf"(?:{'|'.join(DESIGNATORS)})[{_CHARS}]{{2,24}}", 0.88, name="word_company_prefix"),
+    Rule("会社名", rf"[{_CHARS}]{{2,30}}(?:{'|'.join(SUFFIX_DESIGNATORS)})", 0.86, name="word_company_suffix"),
+    Rule("会社名", rf"(?:組織として|取引先(?:として|は)?|販売先(?:として|は)?|委託先(?:として|は)?|共同研究先(?:として|は)?)\s*([{_CHARS}]{{2,20}}(?:ラボ|研究所|センター|支店|本社|工場))", 0.72, 1, "word_contextual_organization"),
+    Rule("会社名", rf"(?:会社名|法人名|取引先|顧客企業)[:：]\s*([{_CHARS}]{{2,24}})", 0.82, 1, "word_company_label"),
+    Rule("銀行名", rf"(?:銀行名|金融機関|振込先|口座)[:：は\s]*([{_CHARS}]{{2,20}}(?:銀行|信用金庫|信用組合))", 0.90, 1, "word_bank_label"),
+    Rule("銀行名", rf"([{_CHARS}]{{2,20}}(?:銀行|信用金庫|信用組合))", 0.86, 1, "word_bank_name"),
+    Rule("氏名", r"([一-龯々〆ヵヶ]{1,4}[ 　]+[一-龯々〆ヵヶ]{1,5})", 0.70, 1, "word_japanese_full_name_space"),
+    Rule("氏名", r"(?:担当者|連絡者|確認者|責任者|代表者)\s*[:：は]\s*([一-龯々〆ヵヶ]{2,6})(?![ 　])", 0.76, 1, "word_person_role_label"),
+)
+_END = "(?=氏名|氏名カナ|カナ|会社名|法人名|住所|所在地|電話|TEL|メール|口座|API|パスワード|森|南|$)"
+OCR = (
+    Rule("メールアドレス", r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})", 1.0, 1, "auto"),
+    Rule("APIキー", r"(sk-[A-Za-z0-9_-]{10,}|api[_-]?[A-Za-z0-9_-]{8,}|secret[_-]?[A-Za-z0-9_-]{8,}|tok[_-]?[A-Za-z0-9_-]{8,})", 1.0, 1, "auto"),
+    Rule("電話番号", r"(?:電話|TEL)[:：]?([0O][0-9OIl]{1,3}[-ー−－]?[0-9OIl]{3,4}[-ー−－]?[0-9OIl]{4})", 1.0, 1, "auto"),
+    Rule("銀行口座", r"(?:普通|当座)([0-9OIl]{7})", 0.5, 1, "review"),
+    Rule("氏名", rf"(?:氏名|名前)[:：]?([一-龯々〆ヵヶ]{{2,8}}?){_END}", 0.5, 1, "review"),
+    Rule("氏名カナ", rf"(?:氏名カナ|カナ)[:：]?([ァ-ヶー]{{4,16}}?){_END}", 0.5, 1, "review"),
+    Rule("会社名", rf"(?:会社名|法人名)[:：]?((?:株式会社|有限会社|合同会社)[{_CHARS}]{{2,24}}?){_END}", 0.5, 1, "review"),
+    Rule("住所", rf"(?:住所|所在地)[:：]?((?:東京都|北海道|京都府|大阪府|[一-龯]{{2,3}}県)[一-龯々〆ヵヶぁ-んァ-ヶー0-9\-ー−－]{{4,40}}?){_END}", 0.5, 1, "review"),
+    Rule("パスワード", r"(?:パスワード|password)[:：]?([A-Za-z0-9!#$%&@_\-]{6,})", 0.5, 1, "review"),
+    Rule("氏名候補", r"([一-龯々〆ヵヶ]{1,3}さん)", 0.5, 1, "review"),
 )
 PROFILES = {
     "plain": (EMAIL, IPV4, POSTAL, PERSONAL_NUMBER),
     "direct": DIRECT,
     "japanese": (*DIRECT, *ADDRESSES, *NAMES),
     "url": URL,
+    "word": WORD,
+    "ocr": OCR,
 }
 
 # Labels and alias kinds of the categories.

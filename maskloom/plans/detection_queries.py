@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import class_counts
 from ..operators import spatial as S
 from ..operators.detect import detect, kind_of, label_of, match_offsets
+from ..operators.profiles import detect_in_pages, detect_in_paragraphs, span_rects
 from ..operators.rules import PROFILES, Rule
 from .flagship import mask_texts
 from .tables import inline, table, values_sql
@@ -98,10 +99,10 @@ def japanese_spans(spark, sf_dir):
     return d.select("id", F.explode("spans").alias("x")).select("id", label_of(x["category"]).alias("label"), kind_of(x["category"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("value"))
 
 
-_URLS = [(1, "https://x.example/?name=ann&x=1"), (2, "mailto:bob@example.com"), (3, "https://x.example/"), (4, "https://x.example/?q=1&user=eve#a")]
+_URLS = [(1, "https://x.example/?name=anne&x=1"), (2, "mailto:bob@example.com"), (3, "https://x.example/"), (4, "https://x.example/?q=1&user=eve#a")]
 
 
-@query("SELECT id, category, value, CAST(score AS DOUBLE) AS score FROM " + values_sql([(1, "JP_NAME", "ann", 0.45), (2, "JP_EMAIL", "bob@example.com", 0.92), (4, "JP_NAME", "eve", 0.45)], "id, category, value, score"))
+@query("SELECT id, category, value, CAST(score AS DOUBLE) AS score FROM " + values_sql([(1, "JP_NAME", "anne", 0.45), (2, "JP_EMAIL", "bob@example.com", 0.92), (4, "JP_NAME", "eve", 0.45)], "id, category, value, score"))
 def url_candidates(spark, sf_dir):
     d = detect(inline(spark, _URLS, "id int, url string"), PROFILES["url"], "url", trim=False)
     return d.select("id", F.explode("spans").alias("x")).select("id", "x.category", F.col("x.text").alias("value"), "x.score")
@@ -162,3 +163,34 @@ def greedy_assignment(spark, sf_dir):
     return S.greedy_assignment(items, found)
 
 
+
+
+_PARAGRAPHS = [
+    (1, "取引先：北方商事株式会社です。担当者：田中一郎"), (2, "振込先は青空銀行です"), (3, "氏　名　：　山田 太郎"), (4, "第1条 委託業務"),
+    (5, "株式会社みらい電機様"), (6, "委託先は西部研究所"), (7, None), (8, "会社名：会社"),
+]
+
+
+@query("SELECT * FROM " + values_sql([(1, "会社名", "北方商事株式会社"), (1, "氏名", "田中一郎"), (2, "銀行名", "青空銀行"), (3, "氏名", "山田 太郎"), (5, "会社名", "株式会社みらい電機"), (6, "会社名", "西部研究所")], "id, category, value"))
+def paragraph_spans(spark, sf_dir):
+    d = detect_in_paragraphs(inline(spark, _PARAGRAPHS, "id int, text string"))
+    return d.select("id", F.explode("spans").alias("x")).select("id", "x.category", F.col("x.text").alias("value"))
+
+
+_PAGE_WORDS = [
+    ("f", 1, 0.0, 0.0, 20.0, 10.0, "電話:", 0, 0, 0), ("f", 1, 20.0, 0.0, 120.0, 10.0, "090-1111-2222", 0, 0, 1),
+    ("f", 1, 0.0, 20.0, 40.0, 30.0, "氏名:山田", 0, 1, 0), ("f", 1, 0.0, 40.0, 100.0, 50.0, "住所a@b.example", 0, 2, 0),
+]
+
+
+@query("SELECT * FROM " + values_sql([("電話番号", "AUTO", "090-1111-2222"), ("氏名", "REVIEW_REQUIRED", "山田"), ("メールアドレス", "AUTO", "a@b.example")], "category, status, value"))
+def page_spans(spark, sf_dir):
+    found = detect_in_pages(S.ocr_lines(inline(spark, _PAGE_WORDS, _WORD_SCHEMA)))
+    return found.select(F.explode("spans").alias("x")).select("x.category", "x.status", F.col("x.text").alias("value"))
+
+
+@query("SELECT category, round(x0, 6) AS x0, round(x1, 6) AS x1 FROM (SELECT '電話番号' AS category, 20.0::DOUBLE AS x0, 120.0::DOUBLE AS x1 UNION ALL SELECT '氏名', 24.0, 40.0 UNION ALL SELECT 'メールアドレス', 100.0 * 2 / 13, 100.0)")
+def page_span_rectangles(spark, sf_dir):
+    words = inline(spark, _PAGE_WORDS, _WORD_SCHEMA)
+    r = span_rects(detect_in_pages(S.ocr_lines(words)), words)
+    return r.select("category", F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"))

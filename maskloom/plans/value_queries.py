@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import generalise as G
 from ..functions import text as T
+from ..functions import variants as V
 from ..operators.alias import number_aliases, with_aliases
 from .tables import inline, table, values_sql
 
@@ -195,3 +196,24 @@ def text_similarity(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
     return b.join(nxt, "item_id").select("item_id", T.sequence_ratio(F.col("text"), F.col("other")).alias("ratio"))
+
+
+_VARIANTS = [(1, "name", "髙橋 一郎"), (2, "name", "サトウ ハナコ"), (3, "organization", "株式会社 みらい"), (4, "phone", "090-1234-5678"), (5, "email", "Ann+x@B.example"), (6, "phone", "+81-80-1111-2222")]
+_WRITTEN = {
+    1: ["髙橋", "髙橋 一郎", "髙橋一郎", "高橋", "高橋 一郎", "高橋一郎"],
+    2: ["SATO", "SATO HANAKO", "Sato", "Sato Hanako", "さとう はなこ", "さとうはなこ", "サトウ", "サトウ ハナコ", "サトウハナコ"],
+    3: ["みらい", "株式会社 みらい", "株式会社みらい"], 4: ["+81-90-1234-5678", "090-1234-5678", "09012345678"],
+    5: ["Ann+x@B.example", "ann+x@b.example", "ann@b.example"], 6: ["+81-80-1111-2222", "08011112222", "818011112222"],
+}
+
+
+@query("SELECT * FROM " + values_sql([(i, w) for i, ws in _WRITTEN.items() for w in ws], "id, variant"))
+def value_variants(spark, sf_dir):
+    v, k = F.col("v"), F.col("kind")
+    found = F.when(k == "name", V.name_variants(v)).when(k == "organization", V.organization_variants(v)).when(k == "phone", V.phone_variants(v)).otherwise(V.email_variants(v))
+    return inline(spark, _VARIANTS, "id int, kind string, v string").select("id", F.explode(found).alias("variant"))
+
+
+@query("SELECT * FROM " + values_sql([(1, "顧客042と競合企業、番号は下4桁がXXXX")], "id, text"))
+def generic_rewrites(spark, sf_dir):
+    return inline(spark, [(1, "C0042と競合B社、番号は下4桁が1234")], "id int, text string").select("id", V.rewrite_generic(F.col("text")).alias("text"))
