@@ -7,7 +7,7 @@ words is a grouped function over the page; everything else is column work.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -15,14 +15,24 @@ from ..functions.text import class_counts, compact, ocr_normalize
 
 PAGE = ["file_id", "page"]
 
-# Words that tell what a page is about, and labels with the kind of the value beside them.
-FINANCIAL_WORDS = ("売上", "利益", "資産", "負債", "前期", "当期", "百万円", "千円")
-EXPLANATORY_WORDS = ("例", "説明", "手順", "参照", "記入例", "注意")
-BANK_GUIDE_WORDS = ("振込先", "取扱", "手数料", "窓口", "口座開設")
+# Words that tell what a page is about, and labels, headers and headings with the kind of their values.
+FINANCIAL_WORDS = (
+    "貸借対照表", "損益計算書", "勘定科目", "資産の部", "負債の部", "純資産", "流動資産", "固定資産", "流動負債", "固定負債",
+    "売上高", "売上原価", "販売費", "営業利益",
+)
+EXPLANATORY_WORDS = ("制度", "説明", "相談", "協議会", "設置", "活動", "ご案内", "お問い合わせ", "都道府県", "市区町村")
+BANK_GUIDE_WORDS = ("銀行取引", "銀行協会", "相談室", "あっせん", "苦情", "活動")
 LABEL_KINDS = (
-    ("氏名", "氏名"), ("名前", "氏名"), ("担当者", "氏名"), ("会社名", "会社名"), ("住所", "住所"), ("所在地", "住所"),
-    ("電話", "電話番号"), ("口座番号", "銀行口座"), ("支店名", "銀行口座"),
+    ("企業名称", "会社名"), ("会社名", "会社名"), ("法人名", "会社名"), ("商号", "会社名"), ("所在地", "住所"), ("住所", "住所"),
+    ("代表者", "氏名"), ("代表取締役", "氏名"), ("取引銀行", "銀行名"), ("金融機関", "銀行名"),
+)
+COLUMN_KINDS = (
+    ("氏名", "氏名"), ("株主", "氏名"), ("株主名", "氏名"), ("所在地", "住所"), ("住所", "住所"), ("販売先", "会社名"),
+    ("仕入先", "会社名"), ("外注先", "会社名"), ("取引先", "会社名"),
 )
+SECTION_HEADINGS = ("主な仕入", "仕入先", "外注先", "主な販売先", "販売先", "取引先", "株主一覧", "役員構成")
+CORPORATE_MARKER = r"(?:株式会社|有限会社|合同会社|[（(]株[）)]?|[（(]有[）)]?|㈱|㈲|株\)|有\))"
+NUMERIC_ONLY = r"^[0-9０-９,.\-ー−－%％①-⑳\s]+$"
 
 
 def word_boxes(words: DataFrame) -> DataFrame:
@@ -72,11 +82,50 @@ def page_context(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*PAGE).agg(flag(FINANCIAL_WORDS).alias("financial"), flag(EXPLANATORY_WORDS).alias("explanatory"), flag(BANK_GUIDE_WORDS).alias("bank_guide"))
 
 
+def _kind_of(text: Column, pairs) -> Column:
+    kind = F.lit(None).cast("string")
+    for label, k in reversed(pairs):
+        kind = F.when(text == label, k).otherwise(kind)
+    return kind
+
+
+def table_columns(words: DataFrame, depth: float = 380.0) -> DataFrame:
+    """Values under header rows: (page, header, kind, text, rectangle), one for each line of a column.
+
+    A line with two header words or more is a header row. A column reaches half way to the headers beside it, and
+    ``depth`` points down or to the next header row of its page.
+    """
+    w = word_boxes(words)
+    row = Window.partitionBy(*PAGE, "block", "line").orderBy("x0")
+    heads = w.withColumn("kind", _kind_of(F.col("norm"), COLUMN_KINDS)).filter(F.col("kind").isNotNull())
+    heads = heads.withColumn("n", F.count("*").over(Window.partitionBy(*PAGE, "block", "line"))).filter("n > 1")
+    left, right = (F.lag("x1").over(row) + F.col("x0")) / 2, (F.col("x1") + F.lead("x0").over(row)) / 2
+    heads = heads.select(*PAGE, F.col("norm").alias("header"), "kind", F.coalesce(left, F.lit(float("-inf"))).alias("left"), F.coalesce(right, F.lit(float("inf"))).alias("right"), F.col("y1").alias("top"))
+    nxt = F.min("top").over(Window.partitionBy(*PAGE).orderBy("top").rangeBetween(1, Window.unboundedFollowing))
+    heads = heads.withColumn("bottom", F.least(F.col("top") + depth, F.coalesce(nxt, F.lit(float("inf")))))
+    centre = (F.col("x0") + F.col("x1")) / 2
+    below = w.join(heads, PAGE).filter((F.col("y0") >= F.col("top")) & (F.col("y1") <= F.col("bottom")) & (centre >= F.col("left")) & (centre < F.col("right")))
+    below = below.filter(~F.col("norm").rlike(NUMERIC_ONLY) & (_kind_of(F.col("norm"), COLUMN_KINDS).isNull()))
+    parts = F.sort_array(F.collect_list(F.struct("x0", "word_no", "text")))
+    return below.groupBy(*PAGE, "header", "kind", "block", "line").agg(
+        F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"),
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+    )
+
+
+def section_blocks(lines: DataFrame, depth: float = 260.0, reach: float = 150.0) -> DataFrame:
+    """Lines with a corporate marker below a section heading: each belongs to the nearest heading above it."""
+    headed = lines.withColumn("t", compact(F.col("text")))
+    heads = headed.filter(F.col("t").isin(*SECTION_HEADINGS)).select(*PAGE, F.col("t").alias("heading"), F.col("x0").alias("hx"), F.col("y1").alias("hy"))
+    near = headed.filter(F.col("t").rlike(CORPORATE_MARKER)).join(heads, PAGE)
+    near = near.filter((F.col("y0") >= F.col("hy")) & (F.col("y0") - F.col("hy") <= depth) & (F.abs(F.col("x0") - F.col("hx")) <= reach))
+    last = near.groupBy(*PAGE, "block", "line").agg(F.max_by(F.struct("heading", "text", "x0", "y0", "x1", "y1"), "hy").alias("v"))
+    return last.select(*PAGE, "v.*")
+
+
 def label_values(lines: DataFrame, gap_right: float = 20.0, gap_below: float = 3.0) -> DataFrame:
     """Values to the right of a label on its row, else below it: (page, label, kind, text, place, rectangle)."""
-    kind = F.lit(None).cast("string")
-    for label, k in reversed(LABEL_KINDS):
-        kind = F.when(F.regexp_replace(compact(F.col("text")), "[:：]$", "") == label, k).otherwise(kind)
+    kind = _kind_of(F.regexp_replace(compact(F.col("text")), "[:：]$", ""), LABEL_KINDS)
     labels = lines.withColumn("kind", kind).filter(F.col("kind").isNotNull())
     left = labels.select(*PAGE, F.col("text").alias("label"), "kind", *(F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")))
     pairs = left.join(lines, PAGE)

@@ -124,14 +124,14 @@ def page_quality(spark, sf_dir):
 
 
 _WORDS = [
-    ("f", 1, 10.0, 10.0, 40.0, 20.0, "氏名", 0, 0, 0), ("f", 1, 80.0, 10.0, 120.0, 20.0, "山田", 0, 1, 0), ("f", 1, 122.0, 11.0, 160.0, 20.0, "太郎", 0, 1, 1),
-    ("f", 1, 10.0, 50.0, 40.0, 60.0, "住所", 1, 0, 0), ("f", 1, 12.0, 65.0, 90.0, 75.0, "東京都港区", 1, 1, 0), ("f", 1, 10.0, 90.0, 90.0, 99.0, "売上", 2, 0, 0),
-    ("f", 1, 95.0, 90.0, 150.0, 99.0, "利益", 2, 0, 1),
+    ("f", 1, 10.0, 10.0, 40.0, 20.0, "代表者", 0, 0, 0), ("f", 1, 80.0, 10.0, 120.0, 20.0, "山田", 0, 1, 0), ("f", 1, 122.0, 11.0, 160.0, 20.0, "太郎", 0, 1, 1),
+    ("f", 1, 10.0, 50.0, 40.0, 60.0, "住所", 1, 0, 0), ("f", 1, 12.0, 65.0, 90.0, 75.0, "東京都港区", 1, 1, 0), ("f", 1, 10.0, 90.0, 90.0, 99.0, "売上高", 2, 0, 0),
+    ("f", 1, 95.0, 90.0, 150.0, 99.0, "営業利益", 2, 0, 1),
 ]
 _WORD_SCHEMA = "file_id string, page int, x0 double, y0 double, x1 double, y1 double, text string, block int, line int, word_no int"
 
 
-@query("SELECT * FROM " + values_sql([("氏名", "氏名", "山田 太郎", "right"), ("住所", "住所", "東京都港区", "below")], "label, kind, text, place"))
+@query("SELECT * FROM " + values_sql([("代表者", "氏名", "山田 太郎", "right"), ("住所", "住所", "東京都港区", "below")], "label, kind, text, place"))
 def label_value_pairs(spark, sf_dir):
     lines = S.line_boxes(inline(spark, _WORDS, _WORD_SCHEMA))
     return S.label_values(lines).select("label", "kind", "text", "place")
@@ -194,3 +194,20 @@ def page_span_rectangles(spark, sf_dir):
     words = inline(spark, _PAGE_WORDS, _WORD_SCHEMA)
     r = span_rects(detect_in_pages(S.ocr_lines(words)), words)
     return r.select("category", F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"))
+
+
+_TABLE_WORDS = [
+    ("f", 1, 10.0, 10.0, 40.0, 20.0, "氏名", 0, 0, 0), ("f", 1, 110.0, 10.0, 140.0, 20.0, "住所", 0, 0, 1), ("f", 1, 12.0, 30.0, 30.0, 40.0, "山田", 1, 0, 0),
+    ("f", 1, 32.0, 30.0, 60.0, 40.0, "太郎", 1, 0, 1), ("f", 1, 100.0, 30.0, 180.0, 40.0, "大阪市北区", 1, 0, 2), ("f", 1, 12.0, 50.0, 40.0, 60.0, "12,300", 2, 0, 0),
+    ("f", 1, 10.0, 100.0, 60.0, 110.0, "仕入先", 3, 0, 0), ("f", 1, 12.0, 120.0, 90.0, 130.0, "株式会社北方", 4, 0, 0), ("f", 1, 400.0, 120.0, 480.0, 130.0, "株式会社遠方", 5, 0, 0),
+]
+
+
+@query("SELECT * FROM " + values_sql([("氏名", "氏名", "山田 太郎"), ("住所", "住所", "大阪市北区"), ("氏名", "氏名", "株式会社北方"), ("住所", "住所", "株式会社遠方")], "header, kind, text"))
+def table_column_values(spark, sf_dir):
+    return S.table_columns(inline(spark, _TABLE_WORDS, _WORD_SCHEMA)).select("header", "kind", "text")
+
+
+@query("SELECT * FROM " + values_sql([("仕入先", "株式会社北方")], "heading, text"))
+def section_block_values(spark, sf_dir):
+    return S.section_blocks(S.line_boxes(inline(spark, _TABLE_WORDS, _WORD_SCHEMA))).select("heading", "text")
