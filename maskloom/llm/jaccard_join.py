@@ -418,11 +418,15 @@ def class_links(shared: DataFrame, classes: DataFrame, docs: DataFrame, salt: in
     # what many share: classes still in different components, within each crowd
     present = crowd.select("sig", "y").unionByName(many.select("sig", F.col("x").alias("y")))  # some ask, but are of another band
     head = heads.groupBy("sig").agg(F.max(F.struct("weight", "y")).alias("h")).select("sig", F.col("h.y").alias("v"))  # few, as the middle is shared
-    edges = present.join(head, "sig").select(F.col("y").alias("u"), "v")
-    clusters = connected_components(edges, "jaccard-crowds").withColumnRenamed("comp", "cluster")
+    # a member ties its subsets' heads together: the heads, far fewer, are what is joined to crowds
+    tied = present.join(head, "sig").groupBy(F.col("y").alias("k1")).agg(F.sort_array(F.collect_set("v")).alias("heads"))
+    tied = materialize(tied, "jaccard-heads")
+    edges = tied.filter(F.size("heads") > 1).select(F.col("heads")[0].alias("u"), F.explode(F.slice("heads", 2, F.size("heads") - 1)).alias("v"))
+    crowds = connected_components(edges.distinct(), "jaccard-crowds").withColumnRenamed("comp", "cluster")
+    clusters = tied.select("k1", F.col("heads")[0].alias("v")).join(crowds, "v", "left").select("k1", F.coalesce("cluster", "v").alias("cluster"))
     askers = many.select(F.col("x").alias("k1")).distinct().withColumn("asks", F.lit(True))
     members = crowd.select(F.col("y").alias("k1")).unionByName(askers.select("k1")).distinct()
-    members = members.join(clusters.withColumnRenamed("v", "k1"), "k1", "left").join(askers, "k1", "left")
+    members = members.join(clusters, "k1", "left").join(askers, "k1", "left")
     members = members.join(comps.withColumnRenamed("v", "k1"), "k1", "left").join(classes.select("k1", "size", "sketch"), "k1")
     members = materialize(members.select(F.coalesce("cluster", "k1").alias("cluster"), "k1", F.coalesce("comp", "k1").alias("comp"), F.coalesce("asks", F.lit(False)).alias("asks"), "size", "sketch"), "jaccard-crowd")
     more = close_in_crowds(members)
