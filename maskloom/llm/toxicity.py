@@ -160,7 +160,7 @@ class Landmarks:
         return out
 
 
-def choose_landmarks(texts: list[str], labels: np.ndarray, count: int, least_z: float = 6.0) -> list[str]:
+def choose_landmarks(texts: list[str], labels: np.ndarray, count: int, least_z: float = 4.0) -> list[str]:
     """Word beginnings whose share of documents differs most between the labels, none the beginning of another."""
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     if not n1 or not n0:
@@ -192,7 +192,7 @@ def choose_landmarks(texts: list[str], labels: np.ndarray, count: int, least_z:
     return chosen
 
 
-def fit_squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.005, steps: int = 50) -> np.ndarray:
+def fit_squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
     """Weights of the linear machine, bias last, by Newton steps on the squared hinge loss."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     reg = ridge * np.eye(x1.shape[1])
