@@ -17,20 +17,24 @@ SPAN = "struct<start:int,end:int,category:string,score:double,rule:int,text:stri
 
 
 def match_offsets(text: Column, pattern: str) -> Column:
-    """array<struct<start, text>>: every match of a pattern that cannot be empty, with its start."""
+    """array<struct<start, text>>: every match of a pattern that cannot be empty, with its start.
+
+    Two passes over the text: the matches, and what stands between them (one piece more than matches).
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,text:string>>")
     step = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("b")),
-        first,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["b"])).alias("start"), x["m"].alias("text")))).alias("out"),
+        F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("b")),
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(
+            F.struct(
+                (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["b"])).alias("start"), x["m"].alias("text")))).alias("out"),
+            )
         ),
         lambda acc: acc["out"],
     )
-    return F.when(F.size(found) > 0, step).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
+    return F.coalesce(step, none)
 
 
 def rule_spans(text: Column, rules: Iterable[Rule]) -> Column:
@@ -39,7 +43,7 @@ def rule_spans(text: Column, rules: Iterable[Rule]) -> Column:
 
 
 def _spans_of(text: Column, r: Rule, number: int) -> Column:
-    pattern = f"(?iu){r.pattern}"
+    pattern = r.flags + r.pattern
 
     def one(m: Column) -> Column:
         part = m["text"] if r.group == 0 else F.regexp_extract(m["text"], pattern, r.group)
@@ -50,7 +54,10 @@ def _spans_of(text: Column, r: Rule, number: int) -> Column:
             F.lit(r.score).alias("score"), F.lit(number).alias("rule"), part.alias("text"),
         )
 
-    return F.transform(match_offsets(text, pattern), one).cast(f"array<{SPAN}>")
+    found = match_offsets(text, pattern)
+    if r.needs:  # a plain search spares most texts the pattern
+        found = F.when(text.rlike(r.needs), found).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
+    return F.transform(found, one).cast(f"array<{SPAN}>")
 
 
 def _resized(x: Column, skip: Column, keep: Column) -> Column:
@@ -99,7 +106,7 @@ def detect(df: DataFrame, rules: Iterable[Rule], text_col: str = "text", out: st
         spans = F.filter(F.transform(spans, trim_span), lambda x: ~is_noise(x, text))
     spans = F.filter(spans, lambda x: F.length(F.trim(x["text"])) >= 2)
     none = F.array().cast(f"array<{SPAN}>")
-    return df.withColumn(out, F.when(F.trim(text) != "", greedy(spans)).otherwise(none)).withColumn(out, F.coalesce(out, none))
+    return df.withColumn(out, F.when(F.trim(text) != "", F.coalesce(greedy(spans), none)).otherwise(none))
 
 
 def label_of(category: Column) -> Column:

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
@@ -22,10 +27,12 @@ def greedy(spans: Column, same_category_only: bool = False) -> Column:
         hit = overlaps(a, b)
         return hit & (a["category"] == b["category"]) if same_category_only else hit
 
-    taken = F.aggregate(
-        ordered, F.slice(ordered, F.lit(1), F.lit(0)), lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.concat(acc, F.array(x)))
-    )
-    return F.array_sort(taken)
+    def fold(o: Column) -> Column:
+        return F.aggregate(
+            o, F.slice(o, F.lit(1), F.lit(0)), lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.concat(acc, F.array(x)))
+        )
+
+    return F.array_sort(let(ordered, fold))
 
 
 def apply_edits(text: Column, edits: Column) -> Column:

@@ -9,22 +9,25 @@ from ..functions.generalise import PREFECTURE
 
 @dataclass(frozen=True)
 class Rule:
-    """``group`` is the part of a match that is the span; patterns are matched without regard to case."""
+    """``group`` is the part of a match that is the span. ``flags`` are left out where case plays no part, and
+    ``needs`` is a quick pattern that a text with any match contains."""
 
     category: str
     pattern: str
     score: float
     group: int = 0
     name: str = ""
+    flags: str = "(?iu)"
+    needs: str = ""
 
 
 _TAIL = r"[一-龯ぁ-んァ-ヶー0-9０-９\-－一二三四五六七八九十百千丁目番地号の]+"
 _FULL = r"Ａ-Ｚａ-ｚ０-９"
 
-EMAIL = Rule("JP_EMAIL", rf"[A-Za-z0-9._%+\-{_FULL}．＿％＋－]+[@＠][A-Za-z0-9.\-{_FULL}．－]+[.．][A-Za-zＡ-Ｚａ-ｚ]{{2,}}", 0.94)
-IPV4 = Rule("JP_IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", 0.90)
-POSTAL = Rule("JP_POSTAL_CODE", r"(?:〒\s*[0-9０-９]{3}[-－]?[0-9０-９]{4}|[0-9０-９]{3}[-－][0-9０-９]{4})", 0.88)
-PERSONAL_NUMBER = Rule("JP_PERSONAL_NUMBER", r"(?<![A-Za-z0-9０-９])[0-9０-９]{12}(?![A-Za-z0-9０-９])", 0.87)
+EMAIL = Rule("JP_EMAIL", rf"[A-Za-z0-9._%+\-{_FULL}．＿％＋－]+[@＠][A-Za-z0-9.\-{_FULL}．－]+[.．][A-Za-zＡ-Ｚａ-ｚ]{{2,}}", 0.94, flags="", needs="[@＠]")
+IPV4 = Rule("JP_IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", 0.90, flags="", needs=r"\d\.\d")
+POSTAL = Rule("JP_POSTAL_CODE", r"(?:〒\s*[0-9０-９]{3}[-－]?[0-9０-９]{4}|[0-9０-９]{3}[-－][0-9０-９]{4})", 0.88, flags="", needs="〒|[0-9０-９]{3}[-－][0-9０-９]")
+PERSONAL_NUMBER = Rule("JP_PERSONAL_NUMBER", r"(?<![A-Za-z0-9０-９])[0-9０-９]{12}(?![A-Za-z0-9０-９])", 0.87, flags="", needs="[0-9０-９]{12}")
 
 DIRECT = (
     EMAIL,

@@ -28,6 +28,8 @@ def query(sql: str | None = None):
 ASCII_EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+[.][A-Za-z]{2,}"
 ASCII_IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b"
 
+PLAIN = (Rule("JP_EMAIL", ASCII_EMAIL, 0.94, flags="", needs="@"), Rule("JP_IP_ADDRESS", ASCII_IPV4, 0.90, flags="", needs=r"\d\.\d"))
+
 
 def _spans_sql(pattern: str, source: str, key: str, text: str) -> str:
     return f"""WITH m AS (SELECT {key}, regexp_extract_all({text}, '{pattern}') AS m, regexp_split_to_array({text}, '{pattern}') AS s FROM {source}),
@@ -58,7 +60,7 @@ def detect_email_spans_in_pages(spark, sf_dir):
 @query(f"""SELECT lang, category, count(*) AS n FROM (SELECT lang, 'JP_EMAIL' AS category, unnest(regexp_extract_all(text, '{ASCII_EMAIL}')) FROM documents
   UNION ALL SELECT lang, 'JP_IP_ADDRESS', unnest(regexp_extract_all(text, '{ASCII_IPV4}')) FROM documents) GROUP BY 1, 2""")
 def span_counts(spark, sf_dir):
-    d = detect(table(spark, sf_dir, "documents"), (Rule("JP_EMAIL", ASCII_EMAIL, 0.94), Rule("JP_IP_ADDRESS", ASCII_IPV4, 0.90)))
+    d = detect(table(spark, sf_dir, "documents"), PLAIN)
     return d.select("lang", F.explode("spans.category").alias("category")).groupBy("lang", "category").agg(F.count("*").alias("n"))
 
 
@@ -67,7 +69,7 @@ def redact_documents(spark, sf_dir):
     """Spans replaced by their category, in one pass over each text."""
     from ..operators.resolve import apply_edits
 
-    d = detect(table(spark, sf_dir, "documents"), (Rule("JP_EMAIL", ASCII_EMAIL, 0.94), Rule("JP_IP_ADDRESS", ASCII_IPV4, 0.90)))
+    d = detect(table(spark, sf_dir, "documents"), PLAIN)
     edits = F.transform("spans", lambda x: F.struct(x["start"], x["end"], F.concat(F.lit("<"), x["category"], F.lit(">")).alias("replacement")))
     return d.select("doc_id", apply_edits(F.col("text"), edits).alias("masked"))
 
