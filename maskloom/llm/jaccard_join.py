@@ -197,7 +197,7 @@ def scan_sets(docs: DataFrame, buckets: int, salt: int, segments: Callable[[int]
                     keys.append(k1)
                     sizes.append(s)
                     slack.append(spare)
-                if len(words) > 400_000:
+                if len(words) > 200_000:
                     words.clear()
                 cols = list(zip(*rows))
                 yield table(0, len(rows), **dict(zip(("doc_id", "n", "k1", "k2", "sketch"), cols)))
@@ -217,7 +217,7 @@ def scan_sets(docs: DataFrame, buckets: int, salt: int, segments: Callable[[int]
                         out[c].append(v)
                 yield table(1, len(cut), **out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(scan), _SETS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(scan, 2000), _SETS)
 
 
 _SHARED = "sig long, k1 long, size int, kind int, asks boolean, cost int, slack int"
@@ -293,7 +293,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int) ->
         words = WordHashes()
         for b in batches:
             keep = [set_keys(shingle_set(t, words), salt)[0] == k if t else False for k, t in zip(b["k1"].to_pylist(), b["text"].to_pylist())]
-            if len(words) > 400_000:
+            if len(words) > 200_000:
                 words.clear()
             yield b.filter(pa.array(keep, pa.bool_()))
 
@@ -304,7 +304,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int) ->
 
         def tokens(k, text):
             if k not in known:
-                if len(known) > 500:
+                if len(known) > 200:
                     known.clear()
                 known[k] = shingle_set(text, words)
             return known[k]
@@ -314,13 +314,13 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int) ->
             for u, v, tu, tv in zip(*(b[c].to_pylist() for c in ("u", "v", "tu", "tv"))):
                 x, y = tokens(u, tu), tokens(v, tv)
                 keep.append(linked_sizes(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-            if len(words) > 400_000:
+            if len(words) > 200_000:
                 words.clear()
             yield pa.record_batch({c: b[c] for c in ("u", "v")}).filter(pa.array(keep, pa.bool_()))
 
     text = lambda a, t: texts.select(F.col("k1").alias(a), F.col("text").alias(t))
     both = close.join(text("u", "tu"), "u").join(text("v", "tv"), "v")
-    return materialize(both.mapInArrow(trimmed(exact), "u long, v long"), "jaccard-links")
+    return materialize(both.mapInArrow(trimmed(exact, 250), "u long, v long"), "jaccard-links")
 
 
 def _sketch_words(sketches: list[bytes], width: int) -> np.ndarray:
