@@ -28,7 +28,7 @@ from .common import materialize, trimmed
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 400_000  # about 80 MB a worker at most
+CACHED_WORDS = 300_000  # about 60 MB a worker at most
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _SEPARATORS = "\x1c\x1d\x1e\x1f"

@@ -58,21 +58,22 @@ def release(spark: SparkSession) -> None:
 
 def trim_worker() -> None:
     """Give a Python worker's freed memory back to the system at the end of a partition; workers are used again."""
-    import pyarrow as pa
-
     gc.collect()
-    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library can
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def trimmed(run, rows: int = 1000):
-    """``run`` over a partition's batches, cut to so many rows that few texts are Python objects at a time."""
+def trimmed(run, rows: int | None = 1000):
+    """``run`` over a partition's batches, cut to so many rows that few texts are Python objects at a time.
+
+    None leaves batches as they are.
+    """
 
     def cut(batches):
         for b in batches:
-            for at in range(0, b.num_rows, rows):
-                yield b.slice(at, rows)
+            step = rows or max(1, b.num_rows)
+            for at in range(0, b.num_rows, step):
+                yield b.slice(at, step)
 
     def whole(batches):
         yield from run(cut(batches))

@@ -210,7 +210,7 @@ def parse(docs: DataFrame, buckets: int, block_bytes: int = BLOCK_BYTES) -> Data
         if uids:
             yield from flush(uids, texts)
 
-    return docs.mapInArrow(trimmed(run), _PARSED)
+    return docs.mapInArrow(trimmed(run, None), _PARSED)
 
 
 def candidate_places(parsed: DataFrame, masks: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def candidate_places(parsed: DataFrame, masks: DataFrame) -> DataFrame:
                 )
 
     blocks = parsed.filter("kind = 2").select("block", "uids", "lens", "places", "counts", "twice").join(masks, "block")
-    return blocks.mapInArrow(trimmed(find, 1), "uid long, starts array<long>, ends array<long>")
+    return blocks.mapInArrow(find, "uid long, starts array<long>, ends array<long>")
 
 
 _BLOCKS = "block long, uids array<long>, texts array<binary>, starts array<array<long>>, ends array<array<long>>"
@@ -273,7 +273,7 @@ def text_blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield out()
 
-    return rows.mapInArrow(trimmed(run), _BLOCKS)
+    return rows.mapInArrow(trimmed(run, None), _BLOCKS)
 
 
 def _places(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -298,7 +298,7 @@ def send_places(blocks: DataFrame, buckets: int) -> DataFrame:
                 if len(fp):
                     yield sent_rows(block["block"], fp, deal(fp, buckets), names, types)
 
-    return blocks.mapInArrow(trimmed(run, 1), _SENT)
+    return blocks.mapInArrow(trimmed(run, None), _SENT)
 
 
 def removed_spans(blocks: DataFrame, masks: DataFrame, buckets: int) -> DataFrame:
@@ -331,7 +331,7 @@ def removed_spans(blocks: DataFrame, masks: DataFrame, buckets: int) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["uid", "starts", "ends", "n_removed", "kept_sha256"])
 
     joined = blocks.join(masks, "block")
-    return joined.mapInArrow(trimmed(run, 1), "uid long, starts array<long>, ends array<long>, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(trimmed(run, None), "uid long, starts array<long>, ends array<long>, n_removed long, kept_sha256 string")
 
 
 def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -394,7 +394,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
             keep = [i for i in range(len(names)) if i not in (s, e)]
             yield pa.RecordBatch.from_arrays([cols[i] for i in keep], names=[names[i] for i in keep])
 
-    return joined.mapInArrow(trimmed(cut), joined.drop("__starts", "__ends").schema)
+    return joined.mapInArrow(cut, joined.drop("__starts", "__ends").schema)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
