@@ -5,6 +5,9 @@ The corpus is read as one sequence of non-blank lines, documents in the order of
 up in the same one, is deleted at the later place; the first place keeps it. Lines are compared without white space
 at their ends. Blank lines are skipped over when lines are compared and stay in the text.
 
+With ``min_words``, a passage of fewer lines counts as well if it has that many words: each stretch of 1 to
+``min_run`` - 1 lines with words enough is a fingerprint of its own, and from there on is treated as all others are.
+
 Each gram of ``gram`` lines is hashed; of every ``window = min_run - gram + 1`` consecutive grams the smallest hash is
 kept as fingerprint (the rightmost of equals), so any two equal runs of ``min_run`` lines hold the same fingerprint at
 the same place. Only fingerprints that occur again are joined by their positions. From such a position the match is
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialize, trimmed
 
 MIN_RUN = 3
+MIN_WORDS = 50
 GRAM = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,8 +65,14 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     return np.arange(len(view)) + window - 1 - np.argmin(view[:, ::-1], axis=1)
 
 
-def fingerprints(docs: DataFrame, min_run: int, gram: int) -> DataFrame:
-    """(fp, doc_id, uid, at, stretches): chosen fingerprints with the stretches of lines that chose them."""
+def wordy(words: list[int], n: int, min_words: int) -> list[int]:
+    """Starts of the stretches of n lines that have ``min_words`` words, given each line's."""
+    upto = np.cumsum([0, *words])
+    return np.flatnonzero(upto[n:] - upto[:-n] >= min_words).tolist()
+
+
+def fingerprints(docs: DataFrame, min_run: int, gram: int, min_words: int | None = None) -> DataFrame:
+    """(fp, doc_id, uid, stretches): chosen fingerprints with the stretches of lines (start, lines, hash) that chose them."""
     window = min_run - gram + 1
 
     def run(batches):
@@ -71,7 +81,7 @@ def fingerprints(docs: DataFrame, min_run: int, gram: int) -> DataFrame:
             ids, uids, texts = (batch.column(i).to_pylist() for i in range(3))
             for doc_id, uid, text in zip(ids, uids, texts):
                 lines = [x for x in split_lines(text or "") if x.strip()]
-                if len(lines) < min_run:
+                if len(lines) < min_run and min_words is None:
                     continue
                 h = line_hashes(lines)
                 grams = gram_hashes(h, gram)
@@ -79,47 +89,54 @@ def fingerprints(docs: DataFrame, min_run: int, gram: int) -> DataFrame:
                 edge = np.flatnonzero(np.diff(chosen, prepend=-1))
                 for a, b in zip(edge, [*edge[1:], len(chosen)]):
                     at = int(chosen[a])
-                    out.append((int(grams[at].view(np.int64)), doc_id, uid, [{"s": int(i), "h": int(whole[i])} for i in range(a, b)]))
+                    out.append((int(grams[at].view(np.int64)), doc_id, uid, [{"s": int(i), "n": min_run, "h": int(whole[i])} for i in range(a, b)]))
+                if min_words is not None:
+                    words = [len(x.split()) for x in lines]
+                    for n in range(1, min_run):
+                        own = gram_hashes(h, n).view(np.int64)
+                        out += [(int(own[i]), doc_id, uid, [{"s": i, "n": n, "h": int(own[i])}]) for i in wordy(words, n, min_words)]
             cols = list(zip(*out)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("h", pa.int64())])))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32()), ("h", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["fp", "doc_id", "uid", "stretches"])
 
-    return docs.mapInArrow(trimmed(run), "fp long, doc_id long, uid long, stretches array<struct<s:int,h:long>>")
+    return docs.mapInArrow(trimmed(run), "fp long, doc_id long, uid long, stretches array<struct<s:int,n:int,h:long>>")
 
 
-def repeated_stretches(docs: DataFrame, min_run: int = MIN_RUN, gram: int = GRAM) -> DataFrame:
-    """(doc_id, uid, s): starts of stretches of ``min_run`` lines that stand at an earlier place too."""
-    fps = materialize(fingerprints(docs, min_run, gram), "lines-fingerprints")
+def repeated_stretches(docs: DataFrame, min_run: int = MIN_RUN, gram: int = GRAM, min_words: int | None = None) -> DataFrame:
+    """(doc_id, uid, s, n): starts and lines of stretches that stand at an earlier place too."""
+    fps = materialize(fingerprints(docs, min_run, gram, min_words), "lines-fingerprints")
     again = fps.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("fp")
-    rows = fps.join(again, "fp").select("doc_id", "uid", F.explode("stretches").alias("x")).select("doc_id", "uid", "x.s", "x.h")
+    rows = fps.join(again, "fp").select("doc_id", "uid", F.explode("stretches").alias("x")).select("doc_id", "uid", "x.s", "x.n", "x.h")
     rows = materialize(rows, "lines-stretches")
     place = F.struct(F.col("doc_id").alias("d"), F.col("uid").alias("u"), F.col("s").alias("p"))
-    first = rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
-    return rows.join(first.select("h", "first"), "h").filter(place > F.col("first")).select("doc_id", "uid", "s")
+    first = rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter(F.col("copies") > 1)
+    return rows.join(first.select("h", "first"), "h").filter(place > F.col("first")).select("doc_id", "uid", "s", "n")
 
 
-def remove_lines(text: str | None, starts: list[int], min_run: int) -> tuple[str | None, int, int, int]:
-    """(kept text, non-blank lines, lines removed, runs) of one text, given starts among its non-blank lines."""
+def remove_lines(text: str | None, stretches: list[dict]) -> tuple[str | None, int, int, int]:
+    """(kept text, non-blank lines, lines removed, runs) of one text, given stretches of its non-blank lines."""
     if text is None:
         return None, 0, 0, 0
     lines = split_lines(text)
     solid = [i for i, x in enumerate(lines) if x.strip()]
-    gone = {i for s in starts for i in range(s, s + min_run)}
+    gone = {i for x in stretches for i in range(x["s"], x["s"] + x["n"])}
     runs = sum(1 for i in gone if i - 1 not in gone)
     drop = {solid[i] for i in gone}
     return "\n".join(x for i, x in enumerate(lines) if i not in drop), len(solid), len(gone), runs
 
 
-def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, gram: int = GRAM) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, gram: int = GRAM, min_words: int | None = None) -> DataFrame:
     """All rows and columns of ``docs``, with the text without its later repeated runs.
 
+    A run has ``min_run`` lines or, where ``min_words`` is given, that many words on however few lines.
+
     Columns ``__n_lines``, ``__n_removed`` and ``__n_runs`` are added. Null texts stay null; rows with a null doc_id
     come before all others; of repeated rows the first keeps its text. A document all of whose lines stand earlier
     keeps an empty text. No rows in: no rows out. Other columns, whatever their names, pass through.
     """
     keyed = docs.withColumn("__uid", F.monotonically_increasing_id())
     slim = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__uid").alias("uid"), F.col("text").cast("string"))
-    starts = repeated_stretches(slim, min_run, gram).groupBy("uid").agg(F.sort_array(F.collect_set("s")).alias("__starts"))
+    starts = repeated_stretches(slim, min_run, gram, min_words).groupBy("uid").agg(F.collect_set(F.struct("s", "n")).alias("__starts"))
     joined = keyed.join(starts.withColumnRenamed("uid", "__uid"), "__uid", "left").drop("__uid")
     names = joined.columns
     text_at, starts_at = names.index("text"), names.index("__starts")
@@ -131,7 +148,7 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, gram: int = GRAM) -> Da
     def cut(batches):
         for batch in batches:
             got = [
-                remove_lines(t, s or [], min_run)
+                remove_lines(t, s or [])
                 for t, s in zip(batch.column(text_at).to_pylist(), batch.column(starts_at).to_pylist())
             ]
             cols = list(zip(*got)) or [()] * 4
@@ -146,8 +163,17 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, gram: int = GRAM) -> Da
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, lines and runs removed, and the SHA-256 of the kept text."""
+    return _counts(spark, sf_dir, None)
+
+
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, where runs of at least 50 words on one or two lines are removed too."""
+    return _counts(spark, sf_dir, MIN_WORDS)
+
+
+def _counts(spark: SparkSession, sf_dir: str, min_words: int | None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("string").alias("text"))
-    return dedup_lines(docs).select(
+    return dedup_lines(docs, min_words=min_words).select(
         "doc_id",
         F.col("__n_lines").alias("n_lines"),
         F.col("__n_removed").alias("n_removed"),

@@ -4,7 +4,7 @@ from .balanced_shards import op3_shards
 from .best_fit_packing import op8_packing
 from .gumbel_segments import op5_segments
 from .jaccard_join import OP6_SQL, op6_jaccard
-from .line_winnowing import OP2_SQL, op2_lines
+from .line_winnowing import OP2_SQL, op2_lines, op2_passages
 from .repeated_bytes import op7_repeats
 from .rotated_codes import op1_ann
 from .topk_histogram import OP9_SQL, op9_topk
@@ -14,6 +14,7 @@ from .warc_zstd import OP4_SQL, op4_warc
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_lines": op2_lines,
+    "op2_passages": op2_passages,
     "op3_shards": op3_shards,
     "op4_warc": op4_warc,
     "op5_segments": op5_segments,

@@ -8,7 +8,7 @@ import pytest
 
 from maskloom.llm import jaccard_join
 from maskloom.llm.jaccard_join import OP6_SQL, jaccard_components, op6_jaccard, units_needed
-from maskloom.llm.line_winnowing import OP2_SQL, dedup_lines, op2_lines
+from maskloom.llm.line_winnowing import OP2_SQL, dedup_lines, op2_lines, op2_passages
 from maskloom.llm.repeated_bytes import op7_repeats, remove_repeats, repeated_spans
 
 TYPE = "doc_id long, text string, fp string, n int, uid int"
@@ -37,6 +37,30 @@ def test_lines_small(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
 
 
+def brute_lines(rows, min_run=3, min_words=50):
+    docs = sorted((i, [x.rstrip() for x in (t or "").split("\n") if x.strip()]) for i, t in rows)
+    seen, gone = set(), {i: set() for i, _ in docs}
+    for i, lines in docs:
+        for at in range(len(lines)):
+            for n in range(1, min_run + 1):
+                run = tuple(lines[at : at + n])
+                if len(run) == n and (n == min_run or sum(len(x.split()) for x in run) >= min_words):
+                    if run in seen:
+                        gone[i] |= set(range(at, at + n))
+                    seen.add(run)
+    return {i: (len(lines), len(gone[i])) for i, lines in docs}
+
+
+def test_long_passages_on_few_lines(spark, sf):
+    rng = random.Random(7)
+    line, half, rest, short = (" ".join(words(rng, n)) for n in (50, 30, 20, 49))
+    rows = [(1, line), (2, line), (3, f"x\n{line} \ny"), (4, f"{half}\n\n{rest}"), (5, f"u\n{half}\n{rest}"), (6, half), (7, short), (8, short)]
+    got = {r.doc_id: r.text for r in dedup_lines(frame(spark, rows), min_words=50).collect()}
+    assert got == {1: line, 2: "", 3: "x\ny", 4: rows[3][1], 5: "u", 6: half, 7: short, 8: short}
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in op2_passages(spark, sf).collect()} == brute_lines(docs)
+
+
 def components(rows):
     def shingles(t):
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
