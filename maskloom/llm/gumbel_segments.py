@@ -212,8 +212,8 @@ def sample_segmentations(rows: DataFrame, vocabulary: str, keys: list[str], text
     def run(batches):
         s = segmenter(vocabulary, alpha)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
                 row, out = [], []
                 for i, (key, text) in enumerate(zip(part.column(n).to_pylist(), part.column(n + 1).to_pylist())):
                     for j, (ids, logp, g, inclusion) in enumerate(s.sample(text or "", k, key % 2**64)):
@@ -235,6 +235,6 @@ def default_vocabulary() -> str:
 
 
 def op5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four distinct segmentations of every turn of ``conversations``, seeded by conversation and turn."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return sample_segmentations(turns, default_vocabulary(), ["conv_id", "turn"])
+    """Four distinct segmentations of every text of ``documents``, seeded by document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return sample_segmentations(docs, default_vocabulary(), ["doc_id"])

@@ -73,3 +73,10 @@ def test_rows(spark, sf):
     assert q.filter("not round_trip").count() == 0
     again = {tuple(map(str, r)) for r in op5_segments(spark, sf).collect()}
     assert again == {tuple(map(str, r)) for r in q.collect()}
+
+
+def test_all_documents_are_segmented(spark, sf):
+    want = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op5_segments(spark, sf).groupBy("doc_id").agg({"sample": "max"}).collect()
+    assert {r.doc_id for r in got} == want
+    assert max(r["max(sample)"] for r in got) == 4
