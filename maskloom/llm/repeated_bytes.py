@@ -9,10 +9,9 @@ every string of ``length`` bytes has its first boundary within ``REACH`` bytes a
 Parse suffixes are compared first: only strings whose parse suffix, to ``SEED`` bytes, starts somewhere else too can
 repeat. That is most of the work saved, as a boundary stands for some 24 places.
 
-Corpus order. Of the places left, the suffixes are ordered to a depth of ``length`` bytes: a suffix's rank is the
-fingerprint of its piece of phrase and the parse after it, built by doubling as suffix arrays are, and sorted in hash
-buckets. Suffixes that agree to that depth are neighbours in that order. (It is an order of fingerprints, not of
-letters: repeats need neighbours of equal prefix, not an alphabet.)
+Comparison. No suffix array of dictionary or parse is built. Of the places left, each string of ``length`` bytes has a
+64-bit fingerprint, made by doubling, and fingerprints are compared in hash buckets; equal ones count as repeats, and
+the bytes themselves are not compared.
 
 Each block of documents sends a bucket the sorted distinct fingerprints it has, however often a string occurs in it,
 and gets back one bit for each; no group of occurrences is ever gathered. Documents that are copies of one another
