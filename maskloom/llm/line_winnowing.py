@@ -10,9 +10,9 @@ With ``min_words``, a passage of fewer lines counts as well if it has that many
 
 Each gram of ``gram`` lines is hashed; of every ``window = min_run - gram + 1`` consecutive grams the smallest hash is
 kept as fingerprint (the rightmost of equals), so any two equal runs of ``min_run`` lines hold the same fingerprint at
-the same place. Only fingerprints that occur again are joined by their positions. From such a position the match is
-extended both ways: all stretches of ``min_run`` lines that chose this fingerprint reach from it to either side, and
-each is looked up by its own hash for its first place. Overlapping later stretches make up a run, whole however long
+the same place. Only fingerprints that occur again are kept. No match is extended
+line by line: each fingerprint carries the hashes of all stretches of ``min_run`` lines that chose it, and each stretch
+whose fingerprint occurs again is looked up by its own hash for its first place. Overlapping later stretches make up a run, whole however long
 it is. All of this is counting and taking minima by hash: no pairs are formed, and a line that very many documents
 share is pre-aggregated before it is shuffled.
 """
