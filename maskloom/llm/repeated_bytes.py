@@ -1,21 +1,24 @@
 """Removal of long repeated byte strings, by prefix-free parsing of the corpus.
 
 Every byte covered by a string of ``length`` bytes that also starts at another place is removed; documents are never
-joined, strings are judged on the input, and all copies go.
+joined, strings are judged on the input. With ``keep="none"`` all copies go; with ``keep="first"`` a string only
+counts at places after its first one, documents in the order of their ids.
 
-Parsing. A rolling hash of 16 bytes triggers the phrase boundaries, so equal text is cut alike wherever it stands.
-A place with no trigger in the next ``REACH`` bytes is a boundary itself, which depends on the text alone too; so
-every string of ``length`` bytes has its first boundary within ``REACH`` bytes and then at least ``SEED`` bytes.
-Parse suffixes are compared first: only strings whose parse suffix, to ``SEED`` bytes, starts somewhere else too can
-repeat. That is most of the work saved, as a boundary stands for some 24 places.
+Copies. Equal texts are found by digest; one of them is parsed and stands for all.
 
-Comparison. No suffix array of dictionary or parse is built. Of the places left, each string of ``length`` bytes has a
-64-bit fingerprint, made by doubling, and fingerprints are compared in hash buckets; equal ones count as repeats, and
-the bytes themselves are not compared.
+Narrowing. Triggers of the rolling hash bound the phrases, so every string of ``length`` bytes has its first boundary
+within ``reach`` bytes (a place without one is a boundary itself) and then at least ``seed`` bytes of parse. Only
+strings whose parse, to ``seed`` bytes, starts somewhere else too can repeat. This step compares 32-bit fingerprints
+and only rules places out.
 
-Each block of documents sends a bucket the sorted distinct fingerprints it has, however often a string occurs in it,
-and gets back one bit for each; no group of occurrences is ever gathered. Documents that are copies of one another
-are known by their digests, and one of them stands for all.
+Partition. Of the 16-byte strings in the window of a place, the one with the smallest hash is its anchor. Equal
+strings have equal anchors, so a partition by anchor holds all places of a string. Consecutive places of one anchor
+are a slice of text, some three times its own places long. Equal slices are counted before they are shuffled. An anchor
+that very many different slices share is split by how far its places stand before it and by the bytes that all of
+these have in common, again and again until its parts are small.
+
+Order. In each partition the slices are parsed into phrases; the suffix arrays of dictionary and parse combine into the
+order of all places (``prefix_free``), where equal strings are neighbours. Bytes are compared, not only fingerprints.
 """
 
 from __future__ import annotations
@@ -27,30 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release, trimmed
+from .common import discard, materialize, release, trim_worker, trimmed
+from .prefix_free import OVERLAP, SuffixOrder, fingerprints16, join_hashes, triggers
 
 LENGTH = 400
-SEED = 256
-REACH = LENGTH - SEED
-PHRASE = 24  # mean bytes between triggers
 BLOCK_BYTES = 1 << 20
 DOCS_PER_BUCKET = 4000
-MOST_BUCKETS = 16_384
-_BYTES = np.random.default_rng(400).integers(0, 2**64, 256, dtype=np.uint64)
-
-
-def _join(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprint of a string from those of its two parts; ``size`` tells the levels apart."""
-    x = left * np.uint64(0x9E3779B97F4A7C15 + 2 * size) + right
-    return x ^ (x >> np.uint64(29))
+PARTITION_BYTES = 1 << 20
+HOT_BYTES = 1 << 22  # slices of one anchor beyond which it is split
 
 
-def fingerprints16(data: np.ndarray) -> np.ndarray:
-    """Fingerprints of all strings of 16 bytes."""
-    h = _BYTES[data]
-    for k in (1, 2, 4, 8):
-        h = _join(h[:-k], h[k:], k)
-    return h
+def seed_of(length: int) -> int:
+    """Bytes of parse that are compared first: the largest power of two within 0.65 of the length."""
+    return 2 ** int(np.log2(0.65 * length))
 
 
 def fingerprints_at(h16: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -58,30 +50,18 @@ def fingerprints_at(h16: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     if size == 16:
         return h16[at]
     half = size // 2
-    return _join(fingerprints_at(h16, at, half), fingerprints_at(h16, at + half, half), half)
+    return join_hashes(fingerprints_at(h16, at, half), fingerprints_at(h16, at + half, half), half)
 
 
-def whole_fingerprints(h16: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Fingerprints of the strings of LENGTH = 256 + 128 + 16 bytes at ascending places, from dense doubling."""
-    if not len(at):
-        return np.zeros(0, np.uint64)
-    h, levels = h16, {16: h16}
-    for k in (16, 32, 64, 128):
-        h = _join(h[:-k], h[k:], k) if len(h) > k else h[:0]
-        levels[2 * k] = h
-    x = _join(levels[256][at], levels[128][at + 256], 3)
-    return _join(x, h16[at + 384], 5)
-
-
-def boundaries(h16: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def boundaries(h16: np.ndarray, starts: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(boundary, first of the places whose first boundary it is, their number), for all places of concatenated
-    documents that have LENGTH bytes left in their own document."""
+    documents that have ``length`` bytes left in their own document."""
     n = len(h16)
     ends = np.repeat(starts + lens, lens)[:n]
-    at = np.flatnonzero(np.arange(n) + LENGTH <= ends)
-    trigger = np.flatnonzero(h16 % np.uint64(PHRASE) == 0)
+    at = np.flatnonzero(np.arange(n) + length <= ends)
+    trigger = triggers(h16)
     nxt = np.append(trigger, np.iinfo(np.int64).max)[np.searchsorted(trigger, at)]
-    first = np.where(nxt - at <= REACH, nxt, at)
+    first = np.where(nxt - at <= length - seed_of(length), nxt, at)
     cut = np.flatnonzero(np.diff(first, prepend=-1))
     return first[cut], at[cut], np.diff(cut, append=len(first))
 
@@ -96,14 +76,10 @@ def deal(fp: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return order, new, to[order][start].astype(np.int32), np.diff(start, append=len(s)) > 1
 
 
-_SENT = "block long, bucket int, values binary, twice binary"
-
-
-def sent_rows(block: int, fp: np.ndarray, dealt, names: list[str], extra: list, narrow: bool = False) -> pa.RecordBatch:
-    """A row for each bucket; ``narrow`` sends the upper half of each value, enough to rule most of them out."""
+def sent_rows(block: int, fp: np.ndarray, dealt, names: list[str], extra: list) -> pa.RecordBatch:
+    """A row for each bucket, with the upper half of each value: enough to rule most of them out."""
     order, new, bucket, twice = dealt
-    values = fp[order][new]
-    values = (values >> np.uint64(32)).astype(np.uint32) if narrow else values
+    values = (fp[order][new] >> np.uint64(32)).astype(np.uint32)
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = [*cut[1:], len(bucket)]
     n = len(cut)
@@ -116,11 +92,11 @@ def sent_rows(block: int, fp: np.ndarray, dealt, names: list[str], extra: list,
     return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, t) for c, t in zip(names, extra)], names=names)
 
 
-def repeated_values(sent: DataFrame, kind: type = np.uint64) -> DataFrame:
+def repeated_values(sent: DataFrame) -> DataFrame:
     """(block, masks): for each block the bits of its distinct values, by bucket, that occur twice in the corpus."""
 
     def one(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, kind) for x in table["values"].to_pylist()]
+        parts = [np.frombuffer(x, np.uint32) for x in table["values"].to_pylist()]
         lens = np.array([len(p) for p in parts])
         twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(table["twice"].to_pylist(), lens)])
         v = np.concatenate(parts)
@@ -145,71 +121,44 @@ def _flags(masks: list[dict] | None) -> np.ndarray:
     return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
-def _spread(flags: np.ndarray, dealt) -> np.ndarray:
-    """Flags of distinct values back to the places they came from."""
-    order, new, _, _ = dealt
-    out = np.empty(len(order), bool)
-    out[order] = flags[np.cumsum(new) - 1]
-    return out
-
-
-def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (exclusive) of runs of consecutive ascending places."""
-    cut = np.flatnonzero(np.diff(places, prepend=-2) != 1)
-    return places[cut], places[np.append(cut[1:], len(places)) - 1] + 1 if len(places) else places
-
-
-_PARSED = "kind int, uid long, n long, sha string, block long, bucket int, values binary, twice binary, uids binary, lens binary, places binary, counts binary"
+_PARSED = "kind int, block long, bucket int, values binary, twice binary, uids binary, lens binary, places binary, counts binary"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
 
 
-def parse(docs: DataFrame, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One pass over (uid, text): a row a document (kind 0), parse suffixes sent to buckets (1), the parse (2)."""
+def parse(texts: DataFrame, buckets: int, length: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One pass over (uid, text): parse suffixes sent to buckets (kind 1), and the parse (2)."""
     names = [x.split()[0] for x in _PARSED.split(", ")]
     types = [_KINDS[x.split()[1]] for x in _PARSED.split(", ")]
 
-    def rows(kind: int, count: int, **cols) -> pa.RecordBatch:
-        cols["kind"] = [kind] * count
-        return pa.RecordBatch.from_arrays([pa.array(cols.get(c, [None] * count), t) for c, t in zip(names, types)], names=names)
-
     def flush(uids, texts):
         lens = np.array([len(t) for t in texts], np.int64)
         starts = np.cumsum(lens) - lens
         h16 = fingerprints16(np.frombuffer(b"".join(texts), np.uint8))
-        bounds, places, counts = boundaries(h16, starts, lens)
-        fp = fingerprints_at(h16, bounds, SEED)
+        bounds, places, counts = boundaries(h16, starts, lens, length)
+        fp = fingerprints_at(h16, bounds, seed_of(length))
         dealt = deal(fp, buckets)
-        batch = sent_rows(uids[0], fp, dealt, names, types, narrow=True)
+        batch = sent_rows(uids[0], fp, dealt, names, types)
         yield batch.set_column(0, "kind", pa.array([1] * batch.num_rows, pa.int32()))
         order = dealt[0]
-        new = np.packbits(dealt[1]).tobytes()
-        yield rows(2, 1, block=[uids[0]], uids=[np.array(uids, np.int64).tobytes()], lens=[lens.tobytes()], twice=[new],
-                   places=[places[order].astype(np.uint32).tobytes()], counts=[counts[order].astype(np.uint8).tobytes()])
+        row = {"kind": 2, "block": uids[0], "uids": np.array(uids, np.int64).tobytes(), "lens": lens.tobytes(), "twice": np.packbits(dealt[1]).tobytes(),
+               "places": places[order].astype(np.uint32).tobytes(), "counts": counts[order].astype(np.uint16).tobytes()}
+        yield pa.RecordBatch.from_arrays([pa.array([row.get(c)], t) for c, t in zip(names, types)], names=names)
 
     def run(batches):
-        seen, uids, texts, size = set(), [], [], 0
+        uids, texts, size = [], [], 0
         for batch in batches:
-            info = []
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                sha = hashlib.sha256(data).hexdigest()
-                info.append((uid, len(data), sha))
-                if len(data) < LENGTH or sha in seen:
-                    continue
-                seen.add(sha)
+                data = text.as_py()
                 uids.append(uid)
                 texts.append(data)
                 size += len(data)
                 if size >= block_bytes:
                     yield from flush(uids, texts)
                     uids, texts, size = [], [], 0
-            if info:
-                cols = list(zip(*info))
-                yield rows(0, len(info), uid=cols[0], n=cols[1], sha=cols[2])
         if uids:
             yield from flush(uids, texts)
 
-    return docs.mapInArrow(trimmed(run, None), _PARSED)
+    return texts.mapInArrow(trimmed(run, None), _PARSED)
 
 
 def candidate_places(parsed: DataFrame, masks: DataFrame) -> DataFrame:
@@ -219,7 +168,7 @@ def candidate_places(parsed: DataFrame, masks: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 uids, lens = np.frombuffer(r["uids"], np.int64), np.frombuffer(r["lens"], np.int64)
-                places, counts = np.frombuffer(r["places"], np.uint32).astype(np.int64), np.frombuffer(r["counts"], np.uint8).astype(np.int64)
+                places, counts = np.frombuffer(r["places"], np.uint32).astype(np.int64), np.frombuffer(r["counts"], np.uint16).astype(np.int64)
                 new = np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(places)).astype(bool)
                 hit = _flags(r["masks"])[np.cumsum(new) - 1] if len(places) else np.zeros(0, bool)
                 order = np.argsort(places[hit])
@@ -246,154 +195,306 @@ def candidate_places(parsed: DataFrame, masks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(find, "uid long, starts array<long>, ends array<long>")
 
 
-_BLOCKS = "block long, uids array<long>, texts array<binary>, starts array<array<long>>, ends array<array<long>>"
+def window_minima(values: np.ndarray, window: int) -> np.ndarray:
+    """The smallest of every ``window`` consecutive values, by running minima of blocks from both sides."""
+    n = len(values) - window + 1
+    if n <= 0:
+        return values[:0]
+    pad = -len(values) % window
+    blocks = np.append(values, np.full(pad, np.iinfo(values.dtype).max, values.dtype)).reshape(-1, window)
+    before = np.minimum.accumulate(blocks, axis=1).ravel()
+    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(after[:n], before[window - 1 : window - 1 + n])
 
 
-def text_blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents with candidate places, packed into blocks of bounded size (one long document may exceed it)."""
+_SLICE = "anchor long, d1 long, d2 long, m int, off int, text binary"
+_SLICE_TYPES = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
 
-    def run(batches):
-        held, size = [], 0
 
-        def out():
-            uids, texts, starts, ends = zip(*held)
-            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int64()))]
-            cols = ([uids[0]], [list(uids)], [list(texts)], [list(starts)], [list(ends)])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["block", "uids", "texts", "starts", "ends"])
+def digest(data: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def slices(rows: DataFrame, length: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(ord, uid, pos) and a slice: of (uid, ord, text, starts, ends), the candidate places by anchor.
+
+    A task sends a slice's text only the first times it meets it.
+    """
+    window = length - OVERLAP + 1
+    names = ["ord", "uid", "pos", *(x.split()[0] for x in _SLICE.split(", "))]
+    types = [pa.int64()] * 3 + _SLICE_TYPES
+
+    def flush(held, seen):
+        lens = np.array([len(t) for _, _, t, _, _ in held], np.int64)
+        base = np.cumsum(lens) - lens
+        data = b"".join(t for _, _, t, _, _ in held)
+        h16 = fingerprints16(np.frombuffer(data, np.uint8))
+        least = window_minima((h16 >> np.uint64(32) << np.uint64(32)) | np.arange(len(h16), dtype=np.uint64), window)
+        at = np.concatenate([np.arange(b + x, b + y) for b, (_, _, _, s, e) in zip(base, held) for x, y in zip(s, e)])
+        anchor = (least[at] & np.uint64(2**32 - 1)).astype(np.int64)
+        cut = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(anchor) != 0)))
+        p0, m, anchor = at[cut], np.diff(cut, append=len(at)), anchor[cut]
+        doc = np.searchsorted(base, p0, "right") - 1
+        cols = [[] for _ in range(3)]
+        for p, k in zip(p0.tolist(), m.tolist()):
+            text = data[p : p + k - 1 + length]
+            d = digest(text)
+            cols[0].append(d[0])
+            cols[1].append(d[1])
+            cols[2].append(None if d in seen else text)
+            seen.add(d)
+        if len(seen) > 200_000:
+            seen.clear()
+        out = [np.array([h[1] for h in held])[doc], np.array([h[0] for h in held])[doc], p0 - base[doc],
+               h16[anchor].view(np.int64), cols[0], cols[1], m, anchor - p0, cols[2]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
+    def run(batches):
+        held, size, seen = [], 0, set()
         for b in batches:
-            for uid, text, s, e in zip(*(b.column(i) for i in range(4))):
-                data = text.as_py().encode("utf-8", "surrogatepass")
-                held.append((uid.as_py(), data, s.as_py(), e.as_py()))
+            for uid, ord_, text, s, e in zip(*(b.column(i) for i in range(5))):
+                data = text.as_py()
+                held.append((uid.as_py(), ord_.as_py(), data, s.as_py(), e.as_py()))
                 size += len(data)
                 if size >= block_bytes:
-                    yield out()
+                    yield from flush(held, seen)
                     held, size = [], 0
         if held:
-            yield out()
+            yield from flush(held, seen)
+
+    return rows.mapInArrow(trimmed(run, None), "ord long, uid long, pos long, " + _SLICE)
 
-    return rows.mapInArrow(trimmed(run, None), _BLOCKS)
 
+_KEY = ["anchor", "d1", "d2"]
 
-def _places(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts of the texts in the block, their lengths, candidate places, fingerprints there)."""
-    lens = np.array([len(t) for t in block["texts"]], np.int64)
-    base = np.cumsum(lens) - lens
-    runs = [(b + s, b + e) for b, ss, es in zip(base, block["starts"], block["ends"]) for s, e in zip(ss, es)]
-    at = np.concatenate([np.arange(s, e) for s, e in runs]) if runs else np.zeros(0, np.int64)
-    h16 = fingerprints16(np.frombuffer(b"".join(block["texts"]), np.uint8))
-    return base, lens, at, whole_fingerprints(h16, at)
 
+def distinct_slices(rows: DataFrame) -> DataFrame:
+    """Each slice once, with its number of copies ``n`` and the first of their places."""
+    return rows.groupBy(*_KEY).agg(
+        F.sum("n").alias("n"), F.min(F.struct("ord", "uid", "pos")).alias("first"), F.first("m").alias("m"), F.first("off").alias("off"), F.first("text", True).alias("text")
+    ).select(*_KEY, "n", "first.ord", "first.uid", "first.pos", "m", "off", "text")
 
-def send_places(blocks: DataFrame, buckets: int) -> DataFrame:
-    names = [x.split()[0] for x in _SENT.split(", ")]
-    types = [_KINDS[x.split()[1]] for x in _SENT.split(", ")]
+
+def split_slices(rows: DataFrame, length: int, level: int) -> DataFrame:
+    """Parts of slices by their places' distance to the anchor, each with a key of the bytes all such places share."""
+    step = -(-(length - OVERLAP + 1) // 2 ** (level + 1))
+    names = ["p_anchor", "p_d1", "p_d2", "base", "ord", "uid", "pos", "n", *(x.split()[0] for x in _SLICE.split(", "))]
+    types = [pa.int64()] * 8 + _SLICE_TYPES
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                block = b.slice(i, 1).to_pylist()[0]
-                _, _, _, fp = _places(block)
-                if len(fp):
-                    yield sent_rows(block["block"], fp, deal(fp, buckets), names, types)
+            out = []
+            for r in b.to_pylist():
+                text, off, m = r["text"], r["off"], r["m"]
+                part = (off - np.arange(m)) // step
+                cut = np.flatnonzero(np.diff(part, prepend=-1))
+                for i, k in zip(cut.tolist(), np.diff(cut, append=m).tolist()):
+                    low = int(part[i]) * step
+                    high = min(low + step - 1, length - OVERLAP)
+                    shared = text[max(0, off - low) : max(0, off - high + length)]
+                    key, _ = digest(shared + f"/{r['anchor']}/{level}/{low}".encode())
+                    own = text[i : i + k - 1 + length]
+                    out.append((r["anchor"], r["d1"], r["d2"], i, r["ord"], r["uid"], r["pos"] + i, r["n"], key, *digest(own), k, off - i, own))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return blocks.mapInArrow(trimmed(run, None), _SENT)
+    return rows.mapInArrow(run, "p_anchor long, p_d1 long, p_d2 long, base long, ord long, uid long, pos long, n long, " + _SLICE)
 
 
-def removed_spans(blocks: DataFrame, masks: DataFrame, buckets: int) -> DataFrame:
-    """(uid, starts, ends, n_removed, kept_sha256) of documents that lose bytes."""
+_RUN = "array<struct<s:long,e:long>>"
+_RUN_TYPE = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                block = b.slice(i, 1).to_pylist()[0]
-                base, lens, at, fp = _places(block)
-                if not len(fp):
-                    continue
-                hit = at[_spread(_flags(block["masks"]), deal(fp, buckets))]
-                out = []
-                for uid, text, a, n in zip(block["uids"], block["texts"], base, lens):
-                    p = hit[np.searchsorted(hit, a) : np.searchsorted(hit, a + n)] - a
-                    if not len(p):
-                        continue
-                    cut = np.flatnonzero(np.append(True, np.diff(p) > LENGTH))
-                    start, end = p[cut], p[np.append(cut[1:], len(p)) - 1] + LENGTH
-                    kept, last = hashlib.sha256(), 0
-                    for s, e in zip(start, end):
-                        kept.update(text[last:s])
-                        last = e
-                    kept.update(text[last:])
-                    out.append((uid, start.tolist(), end.tolist(), int((end - start).sum()), kept.hexdigest()))
-                if out:
-                    cols = list(zip(*out))
-                    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["uid", "starts", "ends", "n_removed", "kept_sha256"])
-
-    joined = blocks.join(masks, "block")
-    return joined.mapInArrow(trimmed(run, None), "uid long, starts array<long>, ends array<long>, n_removed long, kept_sha256 string")
-
-
-def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(uid, n, starts, ends, n_removed, kept_sha256) for every row of (uid, text); starts is null where none are."""
-    spark = docs.sparkSession
-    buckets = min(MOST_BUCKETS, max(12, docs.count() // DOCS_PER_BUCKET))
-    parsed = materialize(parse(docs, buckets, block_bytes), "bytes-parsed")
-    seeds = repeated_values(parsed.filter("kind = 1").select("block", "bucket", "values", "twice"), np.uint32)
+
+def runs_of(flags: np.ndarray) -> list[dict]:
+    """Runs of set flags as start and end (exclusive)."""
+    edge = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0))
+    return [{"s": s, "e": e} for s, e in edge.reshape(-1, 2).tolist()]
+
+
+def repeated_places(slices_: DataFrame, length: int, partitions: int) -> DataFrame:
+    """For each slice the runs of its places whose string stands elsewhere too (``again``), or earlier (``later``)."""
+
+    def one(table: pa.Table) -> pa.Table:
+        texts = [x.as_py() for x in table["text"]]
+        order = SuffixOrder(texts)
+        m = table["m"].to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(m)), m)
+        first = np.cumsum(m) - m
+        inside = np.arange(len(owner)) - first[owner]
+        places = order.starts[owner] + inside
+        ordered = order.sort(places)
+        same = order.equal_neighbours(ordered, length)
+        back = np.searchsorted(places, ordered)  # places ascend
+        group = np.cumsum(~same) - 1
+        size = np.bincount(group)
+        again, later = np.zeros(len(places), bool), np.zeros(len(places), bool)
+        again[back] = (size > 1)[group]
+        many = np.flatnonzero((size > 1)[group])
+        if len(many):
+            who, g = back[many], group[many]
+            at = (table["pos"].to_numpy()[owner] + inside)[who]
+            rank = np.lexsort((at, table["uid"].to_numpy()[owner][who], table["ord"].to_numpy()[owner][who], g))
+            lead = np.append(True, np.diff(g[rank]) != 0)
+            later[who[rank[~lead]]] = True
+        again |= np.repeat(table["n"].to_numpy() > 1, m)
+        ends = first + m
+        cols = {c: table[c] for c in (*_KEY, "n", "m", "ord", "uid", "pos")}
+        cols["again"] = pa.array([runs_of(again[a:b]) for a, b in zip(first, ends)], _RUN_TYPE)
+        cols["later"] = pa.array([runs_of(later[a:b]) for a, b in zip(first, ends)], _RUN_TYPE)
+        del order
+        trim_worker()
+        return pa.table(cols)
+
+    schema = f"anchor long, d1 long, d2 long, n long, m int, ord long, uid long, pos long, again {_RUN}, later {_RUN}"
+    return slices_.withColumn("part", F.pmod(F.col("anchor"), F.lit(partitions))).groupBy("part").applyInArrow(
+        lambda key, table: one(table), schema
+    )
+
+
+def at_copies(copies: DataFrame, found: DataFrame) -> DataFrame:
+    """The runs found for slices at each of their ``copies``: a copy other than the first is later throughout.
+
+    Slices with at least a thousandth of all copies, a thousand at most, are broadcast, as their copies would be one
+    task's; the others are shuffled.
+    """
+    bound = max(1000, copies.count() // 1000)
+    common = F.broadcast(found.filter(F.col("n") >= bound))
+    on = [F.col(f"c.{k}") == F.col(f"f.{k}") for k in _KEY]
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("f.m").cast("long").alias("e")))
+    is_first = (F.col("c.ord") == F.col("f.ord")) & (F.col("c.uid") == F.col("f.uid")) & (F.col("c.pos") == F.col("f.pos"))
+    runs = ["c.*", F.col("f.again").alias("again"), F.when(is_first, F.col("f.later")).otherwise(whole).alias("later")]
+    many = copies.alias("c").join(common.alias("f"), on).select(*runs)
+    rest = copies.join(common.select(*_KEY), _KEY, "left_anti").select(*copies.columns)
+    return many.unionByName(rest.alias("c").join(found.filter(F.col("n") < bound).alias("f"), on).select(*runs))
+
+
+def _moved(runs: str, base: str) -> F.Column:
+    return F.flatten(F.collect_list(F.transform(runs, lambda r: F.struct((r["s"] + F.col(base)).alias("s"), (r["e"] + F.col(base)).alias("e")))))
+
+
+def repeated_runs(texts: DataFrame, length: int, keep: str, block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """(uid, runs): runs of places in the different texts (uid, ord, text) whose string is to be removed."""
+    buckets = max(12, texts.count() // DOCS_PER_BUCKET)
+    parsed = materialize(parse(texts.select("uid", "text"), buckets, length, block_bytes), "bytes-parsed")
+    seeds = repeated_values(parsed.filter("kind = 1").select("block", "bucket", "values", "twice"))
     places = materialize(candidate_places(parsed, seeds), "bytes-places")
-    info = materialize(parsed.filter("kind = 0").select("uid", "n", "sha"), "bytes-documents")
     discard(parsed)
-    release(spark)
-    same = info.filter(F.col("n") >= LENGTH).groupBy("sha").agg(F.count("*").alias("copies"), F.min("uid").alias("first"))
-    lead = places.join(same.select(F.col("first").alias("uid")), "uid", "left_semi")
-    blocks = materialize(text_blocks(docs.join(lead, "uid").select("uid", "text", "starts", "ends"), block_bytes), "bytes-blocks")
-    release(spark)
-    masks = materialize(repeated_values(send_places(blocks, buckets)), "bytes-masks")
-    found = materialize(removed_spans(blocks, masks, buckets), "bytes-found")
-    discard(blocks)
-    release(spark)
-    out = info.join(same.filter("copies > 1").select("sha", "copies"), "sha", "left").join(found, "uid", "left")
-    copy = F.col("copies").isNotNull()
-    return out.select(
-        "uid", "n",
-        F.when(copy, F.array(F.lit(0).cast("long"))).otherwise(F.col("starts")).alias("starts"),
-        F.when(copy, F.array("n")).otherwise(F.col("ends")).alias("ends"),
-        F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+    release(texts.sparkSession)
+    cut = slices(texts.select("uid", "ord", "text").join(places, "uid").select("uid", "ord", "text", "starts", "ends"), length, block_bytes)
+    rows = first = materialize(cut.withColumn("n", F.lit(1).cast("long")), "bytes-slices")
+    levels, cold, scratched = [], [], [places, first]
+    last = int(np.ceil(np.log2(length)))
+    while True:
+        whole = materialize(distinct_slices(rows), "bytes-distinct")
+        scratched.append(whole)
+        hot = whole.groupBy("anchor").agg(F.sum(F.length("text")).alias("bytes")).filter(F.col("bytes") > hot_bytes).select("anchor")
+        hot = materialize(hot, "bytes-hot")
+        scratched.append(hot)
+        if len(levels) > last or hot.isEmpty():
+            cold.append(whole)
+            break
+        cold.append(whole.join(hot, "anchor", "left_anti"))
+        split = whole.join(hot, "anchor", "left_semi")
+        rows = materialize(split_slices(split, length, len(levels)), "bytes-split")
+        scratched.append(rows)
+        levels.append((split, rows))
+    every = cold[0]
+    for c in cold[1:]:
+        every = every.unionByName(c)
+    size = every.agg(F.sum(F.length("text"))).first()[0] or 0
+    found = materialize(repeated_places(every.drop("off"), length, int(size // PARTITION_BYTES) + 1), "bytes-found")
+    scratched.append(found)
+    for split, parts in reversed(levels):  # what was found for parts, put together
+        got = at_copies(parts.drop("text", "off"), found).groupBy("p_anchor", "p_d1", "p_d2")
+        got = got.agg(_moved("again", "base").alias("some"), _moved("later", "base").alias("later"))
+        on = [split[k] == got[f"p_{k}"] for k in _KEY]
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("m").cast("long").alias("e")))
+        parents = split.drop("off", "text").join(got, on).drop("p_anchor", "p_d1", "p_d2")
+        parents = parents.withColumn("again", F.when(F.col("n") > 1, whole).otherwise(F.col("some"))).drop("some")
+        found = materialize(found.unionByName(parents), "bytes-found")
+        scratched.append(found)
+    runs = "again" if keep == "none" else "later"
+    out = at_copies(first.drop("m", "off", "text", "n"), found).filter(F.size(runs) > 0)
+    out = materialize(out.groupBy("uid").agg(_moved(runs, "pos").alias("runs")), "bytes-runs")
+    for table in scratched:
+        discard(table)
+    release(texts.sparkSession)
+    return out
+
+
+def keyed_texts(docs: DataFrame, text_col: str, order_col: str | None) -> DataFrame:
+    """(uid, ord, n, sha, text, row): numbered rows, written once, so that every job sees the same numbers."""
+    text = F.col(text_col).cast("string").cast("binary")
+    place = F.coalesce(F.col(order_col).cast("long"), F.lit(-(2**63)).cast("long")) if order_col else F.lit(0).cast("long")
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("uid"), place.alias("ord"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n"),
+        F.sha2(F.coalesce(text, F.lit("").cast("binary")), 256).alias("sha"), text.alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),
     )
+    return materialize(rows, "bytes-documents")
+
+
+def removals(keyed: DataFrame, length: int, keep: str = "none", block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """(uid, whole, runs) of the rows of (uid, ord, n, sha, text) that lose something: all bytes, or those of strings
+    that start in the runs."""
+    long_ = keyed.filter(F.col("n") >= length)
+    lead = long_.groupBy("sha").agg(F.min(F.struct("ord", "uid")).alias("f"), F.count("*").alias("copies"))
+    lead = materialize(lead.select("f.uid", "copies"), "bytes-leads")
+    runs = repeated_runs(long_.join(lead, "uid", "left_semi").select("uid", "ord", "text"), length, keep, block_bytes, hot_bytes)
+    copy = F.col("copies").isNull() | (F.col("copies") > (1 if keep == "none" else 2**62))
+    out = long_.select("uid").join(lead, "uid", "left").join(runs, "uid", "left")
+    return out.select("uid", copy.alias("whole"), "runs").filter(F.col("whole") | F.col("runs").isNotNull())
 
 
-def with_uid(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__uid", F.monotonically_increasing_id())
+def _spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
+    """Removed bytes as maximal runs, of runs of places in any order."""
+    s, e = np.array([r["s"] for r in runs]), np.array([r["e"] for r in runs]) - 1 + length
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], np.maximum.accumulate(e[order])
+    cut = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
+    return list(zip(s[cut].tolist(), e[np.append(cut[1:], len(s)) - 1].tolist()))
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, texts without repeated strings of 400 bytes.
+def kept_texts(keyed: DataFrame, removed: DataFrame, length: int) -> DataFrame:
+    """(uid, kept, n_removed, n_spans) of the rows that lose something."""
 
-    Bytes are removed as they are; where that splits a character, its remaining bytes are dropped from the text.
-    Null texts stay null. Other columns, whatever their names, pass through.
+    def run(batches):
+        for b in batches:
+            out = []
+            for uid, text, whole, runs in zip(*(b.column(i) for i in range(4))):
+                data = text.as_py()
+                spans = [(0, len(data))] if whole.as_py() else _spans(runs.as_py(), length)
+                ends = [0, *(e for _, e in spans)]
+                kept = b"".join(data[x:y] for x, y in zip(ends, [*(s for s, _ in spans), len(data)]))
+                out.append((uid.as_py(), kept, len(data) - len(kept), len(spans)))
+            if out:
+                types = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["uid", "kept", "n_removed", "n_spans"])
+
+    rows = keyed.select("uid", "text").join(removed, "uid").select("uid", "text", "whole", "runs")
+    return rows.mapInArrow(trimmed(run), "uid long, kept binary, n_removed long, n_spans long")
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, keep: str = "none", order_col: str | None = "doc_id") -> DataFrame:
+    """All rows and columns of ``docs``, texts without repeated strings of ``length`` bytes (32 at least).
+
+    ``keep="first"`` leaves each string at its first place, by ``order_col`` (a whole number; null comes first), then
+    by the order of rows, then within the text. Bytes are removed as they are; where that splits a character, its
+    remaining bytes are dropped from the text. Null texts stay null, empty and shorter ones as they are. Of equal rows
+    all are emptied, or all but one with ``keep="first"``. No rows in: no rows out. Other columns, whatever their
+    names, pass through. A text of any size is one row of one task.
     """
-    keyed = with_uid(docs)
-    spans = repeated_spans(keyed.select(F.col("__uid").alias("uid"), F.col(text_col).cast("string").alias("text")))
-    spans = spans.filter(F.col("n_removed") > 0).select(F.col("uid").alias("__uid"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-    joined = keyed.join(spans, "__uid", "left").drop("__uid")
-    names = joined.columns
-    t, s, e = (names.index(c) for c in (text_col, "__starts", "__ends"))
-
-    def cut(batches):
+    keyed = keyed_texts(docs, text_col, order_col if order_col in docs.columns else None)
+    cut = kept_texts(keyed, removals(keyed, length, keep), length).select("uid", F.col("kept").alias("cut"))
+
+    def decoded(batches):
         for b in batches:
-            texts = []
-            for text, ss, es in zip(b.column(t).to_pylist(), b.column(s).to_pylist(), b.column(e).to_pylist()):
-                if text is not None and ss:
-                    data = text.encode("utf-8", "surrogatepass")
-                    parts = [data[x:y] for x, y in zip([0, *es], [*ss, len(data)])]
-                    text = b"".join(parts).decode("utf-8", "ignore")
-                texts.append(text)
-            cols = list(b.columns)
-            cols[t] = pa.array(texts, cols[t].type)
-            keep = [i for i in range(len(names)) if i not in (s, e)]
-            yield pa.RecordBatch.from_arrays([cols[i] for i in keep], names=[names[i] for i in keep])
+            yield b.set_column(1, "cut", pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column(1)], pa.string()))
 
-    return joined.mapInArrow(cut, joined.drop("__starts", "__ends").schema)
+    cut = cut.mapInArrow(decoded, "uid long, cut string")
+    text = F.coalesce("cut", F.col("text").cast("string")).cast(docs.schema[text_col].dataType)
+    return keyed.join(cut, "uid", "left").select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,10 +503,12 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null texts are empty. Rows with a null or repeated doc_id are documents of their own. Texts under 400 bytes lose
     nothing. No rows in: no rows out. Extra columns are ignored.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("string").alias("text"))
-    keyed = with_uid(docs)
-    spans = repeated_spans(keyed.select(F.col("__uid").alias("uid"), "text"))
-    ids = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__uid").alias("uid"))
-    return ids.join(spans, "uid").select(
-        "doc_id", F.col("n").alias("n_bytes"), "n_removed", F.when(F.col("starts").isNull(), 0).otherwise(F.size("starts")).cast("long").alias("n_spans"), "kept_sha256"
-    )
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    keyed = keyed_texts(docs, "text", "doc_id")
+    cut = kept_texts(keyed, removals(keyed, LENGTH), LENGTH).select("uid", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = keyed.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), "n", "sha").join(cut, "uid", "left")
+    none = F.lit(0).cast("long")
+    return out.select(
+        "doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+    )

@@ -4,12 +4,14 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from maskloom.llm import jaccard_join
 from maskloom.llm.jaccard_join import OP6_SQL, jaccard_components, op6_jaccard, units_needed
 from maskloom.llm.line_winnowing import OP2_SQL, dedup_lines, op2_lines, op2_passages
-from maskloom.llm.repeated_bytes import op7_repeats, remove_repeats, repeated_spans
+from maskloom.llm.prefix_free import SuffixOrder
+from maskloom.llm.repeated_bytes import keyed_texts, kept_texts, op7_repeats, removals, remove_repeats
 
 TYPE = "doc_id long, text string, fp string, n int, uid int"
 
@@ -161,14 +163,46 @@ def passages(rng):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_repeated_bytes_equal_brute_force(spark, seed):
+def brute_first(rows, n):
+    """Texts without what is covered by strings of n bytes that also start at an earlier place."""
+    seen, out = set(), {}
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, k)):
+        d = (rows[k][1] or "").encode()
+        gone = bytearray(len(d))
+        for i in range(len(d) - n + 1):
+            if d[i : i + n] in seen:
+                gone[i : i + n] = b"\1" * n
+            seen.add(d[i : i + n])
+        out[k] = bytes(b for b, g in zip(d, gone) if not g)
+    return [out[k] for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("seed, length, hot", [(1, 400, 2**22), (2, 250, 2**22), (3, 400, 3000), (4, 100, 500)])
+def test_repeated_bytes_equal_brute_force(spark, seed, length, hot):
+    """Also where nearly every anchor is split into parts."""
     rows = passages(random.Random(seed))
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(t for _, t in rows)], "uid long, text string")
-    got = {r.uid: r for r in repeated_spans(df, block_bytes=2000).collect()}
-    for uid, want in enumerate(brute_bytes_in_order(rows)):
-        r = got[uid]
-        assert (r.n, r.n_removed, len(r.starts or []), r.kept_sha256) == want
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    keyed = keyed_texts(df, "text", "doc_id")
+    ids = {r.uid: r.row.doc_id for r in keyed.collect()}
+    got = kept_texts(keyed, removals(keyed, length, block_bytes=2000, hot_bytes=hot), length).collect()
+    found = {ids[r.uid]: (r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got}
+    want = {d: tuple(rest) for d, _, *rest in brute_bytes(rows, length) if rest[0]}
+    assert found == want
+    got = kept_texts(keyed, removals(keyed, length, "first", block_bytes=2000, hot_bytes=hot), length).collect()
+    kept = {ids[r.uid]: bytes(r.kept) for r in got}
+    assert [kept.get(d, (t or "").encode()) for d, t in rows] == brute_first(rows, length)
+
+
+def test_many_contexts_of_one_passage(spark):
+    """One passage with a different text before and after it in every document: its edges are split."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    shared = text(500)
+    rows = [(i, text(rng.randrange(300, 400)) + shared + text(rng.randrange(300, 400))) for i in range(60)]
+    keyed = keyed_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "text", "doc_id")
+    ids = {r.uid: r.row.doc_id for r in keyed.collect()}
+    got = kept_texts(keyed, removals(keyed, 400, hot_bytes=6000), 400).collect()
+    assert {ids[r.uid]: (r.n_removed, r.n_spans) for r in got} == {d: (w[0], w[1]) for d, _, *w in brute_bytes(rows) if w[0]}
 
 
 def brute_bytes_in_order(rows):
@@ -178,6 +212,23 @@ def brute_bytes_in_order(rows):
     return [by[i] for i in range(len(rows))]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_suffix_order(seed):
+    rng = random.Random(seed)
+    parts = [bytes(rng.choice(b"abc \xff\0") for _ in range(rng.randrange(1, 300))) for _ in range(5)]
+    strings = [b"".join(rng.choice(parts)[rng.randrange(20) :] for _ in range(rng.randrange(1, 6))) for _ in range(12)]
+    order = SuffixOrder([*strings, b"a" * 500, b"", b"x"])
+    raw, ends = order.data.tobytes(), {}
+    for a, e in zip(order.starts.tolist(), order.ends.tolist()):
+        ends |= dict.fromkeys(range(a, e), e)
+    got = order.sort(np.arange(len(raw)))
+    suffixes = [raw[p : ends[p]] for p in got.tolist()]
+    assert suffixes == sorted(suffixes)
+    places = order.sort(np.array([p for p in range(len(raw)) if p + 60 <= ends[p]]))
+    want = [False, *(raw[p : p + 60] == raw[q : q + 60] for p, q in zip(places[1:], places))]
+    assert order.equal_neighbours(places, 60).tolist() == want
+
+
 def test_repeated_bytes_on_tables(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in op7_repeats(spark, sf).collect()) == brute_bytes(docs)
@@ -188,3 +239,11 @@ def test_texts_without_repeats_keep_their_columns(spark):
     got = {r.doc_id: (r.text, r.fp, r.uid) for r in remove_repeats(frame(spark, rows)).collect()}
     assert got == {1: ("", "clash", 8), 2: ("x" * 10, "clash", 8), None: (None, "clash", 8)}
     assert remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_first_places_keep_clashing_columns(spark):
+    t = "é" * 500
+    df = spark.createDataFrame([(2, t, 5, "u", 1), (1, t, 6, "v", 2), (1, t, 7, "w", 3), (3, None, 8, None, 4)], "doc_id long, text string, uid long, sha string, runs int").coalesce(1)
+    got = sorted((r.uid, r.text, r.sha, r.runs) for r in remove_repeats(df, length=250, keep="first").collect())
+    assert [(u, (x or "")[:1], s, n) for u, x, s, n in got] == [(5, "", "u", 1), (6, "é", "v", 2), (7, "", "w", 3), (8, "", None, 4)]
+    assert remove_repeats(df, length=250, keep="first").columns == df.columns
