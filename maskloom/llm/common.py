@@ -18,11 +18,13 @@ _own_folder: dict[str, str] = {}
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share, as a full URI.
 
-    Only where that setting is missing (single-machine tests) a temporary folder is made instead. Folders stay until
-    whoever owns the checkpoint folder clears it, as results that are read later may depend on them.
+    Where that setting is missing, a single machine gets a temporary folder instead; on a cluster that would lose data,
+    so it is an error. Folders that results depend on stay until whoever owns the checkpoint folder clears it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own_folder.setdefault("base", "file://" + tempfile.mkdtemp(prefix="maskloom-"))
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")

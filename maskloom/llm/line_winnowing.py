@@ -132,9 +132,11 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, gram: int = GRAM, min_w
 
     Columns ``__n_lines``, ``__n_removed`` and ``__n_runs`` are added. Null texts stay null; rows with a null doc_id
     come before all others; of repeated rows the first keeps its text. A document all of whose lines stand earlier
-    keeps an empty text. No rows in: no rows out. Other columns, whatever their names, pass through.
+    keeps an empty text. No rows in: no rows out. Other columns pass through, but for the names
+    ``__uid``, ``__starts`` and those above, which are taken. A text of any size is one row of one task.
     """
-    keyed = docs.withColumn("__uid", F.monotonically_increasing_id())
+    # numbered once and written, so that every job sees the same numbers
+    keyed = materialize(docs.withColumn("__uid", F.monotonically_increasing_id()), "lines-documents")
     slim = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__uid").alias("uid"), F.col("text").cast("string"))
     starts = repeated_stretches(slim, min_run, gram, min_words).groupBy("uid").agg(F.collect_set(F.struct("s", "n")).alias("__starts"))
     joined = keyed.join(starts.withColumnRenamed("uid", "__uid"), "__uid", "left").drop("__uid")

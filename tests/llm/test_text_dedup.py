@@ -53,6 +53,24 @@ def brute_lines(rows, min_run=3, min_words=50):
     return {i: (len(lines), len(gone[i])) for i, lines in docs}
 
 
+def lines_left(rows, min_run=3, min_words=50):
+    """Each text by id without the lines of runs that stand earlier."""
+    seen, left = set(), {}
+    for doc_id, text in sorted(rows):
+        lines = (text or "").split("\n")
+        solid = [i for i, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for at in range(len(solid)):
+            for n in range(1, min_run + 1):
+                run = tuple(lines[i].rstrip() for i in solid[at : at + n])
+                if len(run) == n and (n == min_run or sum(len(x.split()) for x in run) >= min_words):
+                    if run in seen:
+                        gone |= set(solid[at : at + n])
+                    seen.add(run)
+        left[doc_id] = None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return left
+
+
 def test_long_passages_on_few_lines(spark, sf):
     rng = random.Random(7)
     line, half, rest, short = (" ".join(words(rng, n)) for n in (50, 30, 20, 49))
