@@ -1,7 +1,8 @@
 """Consistent pseudonyms: one alias for each key of a kind within a scope, numbered by first appearance.
 
 Numbers need a total order of first appearances. Keys are distinct by an aggregation first; they are then ranked
-within hash-free ranges of their order, so that one scope with very many keys is numbered by many tasks.
+within ranges of their order, so that one scope with very many keys is numbered by many tasks, and the counts of
+earlier ranges, one row each, are added. Ranges come from the order's own values, so every job sees the same ones.
 """
 
 from __future__ import annotations
@@ -23,6 +24,22 @@ def alias_text(kind: Column, number: Column) -> Column:
     return F.concat(prefix, F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string")))
 
 
+def order_range(order: str, schema, size: int) -> Column:
+    """A coarse value that ascends with an order: of whole numbers their multiple of ``size``, of times the day, of
+    texts the first characters, of structs that of the first field."""
+    kind, at = schema[order].dataType, F.col(order)
+    while kind.typeName() == "struct":
+        at, kind = at[kind.fields[0].name], kind.fields[0].dataType
+    name = kind.typeName()
+    if name in ("byte", "short", "integer", "long"):
+        return F.floor(at / size)
+    if name in ("timestamp", "timestamp_ntz", "date"):
+        return F.to_date(at)
+    if name == "string":
+        return F.substring(at, 1, 4)
+    raise TypeError(f"no ranges for an order of type {name}")
+
+
 def first_appearances(values: DataFrame, scope: list[str], order: str = "ord") -> DataFrame:
     """(scope, kind, norm_key, ord): keys with the smallest order they appear at."""
     return values.groupBy(*scope, "kind", "norm_key").agg(F.min(order).alias("ord"))
@@ -37,13 +54,14 @@ def number_aliases(firsts: DataFrame, scope: list[str], extra: DataFrame | None
     events = firsts.select(*keys, "norm_key", "ord", F.lit(0).alias("taken"))
     if extra is not None:
         events = events.unionByName(extra.select(*keys, F.lit(None).cast("string").alias("norm_key"), "ord", F.lit(1).alias("taken")))
-    whole = F.col("ord") if dict(firsts.dtypes)["ord"] in ("bigint", "int") else F.lit(0)
-    ranged = events.withColumn("__r", F.floor(whole / range_size))
+    ranged = events.withColumn("__r", order_range("ord", firsts.schema, range_size))
     sizes = ranged.groupBy(*keys, "__r").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     own = Window.partitionBy(*keys, "__r").orderBy("ord", "taken", "norm_key")
-    out = ranged.withColumn("__i", F.row_number().over(own)).join(sizes, [*keys, "__r"])
+    size = sizes.withColumnRenamed("__r", "__s")
+    on = [ranged[k] == size[k] for k in keys] + [ranged["__r"].eqNullSafe(size["__s"])]  # a null order is a range too
+    out = ranged.withColumn("__i", F.row_number().over(own)).join(size, on).drop(*[size[k] for k in keys])
     out = out.filter(F.col("taken") == 0).withColumn("alias_no", (F.col("__before") + F.col("__i")).cast("int"))
     return out.select(*keys, "norm_key", "alias_no", alias_text(F.col("kind"), F.col("alias_no")).alias("alias"))
 

@@ -16,12 +16,13 @@ from .rules import KINDS, LABELS, NOISE_NAMES, Rule
 SPAN = "struct<start:int,end:int,category:string,score:double,rule:int,text:string>"
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
+def match_offsets(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, text>>: every match of a pattern that cannot be empty, with its start.
 
     Two passes over the text: the matches, and what stands between them (one piece more than matches).
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     none = F.array().cast("array<struct<start:int,text:string>>")
     step = F.aggregate(
         F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("b")),
@@ -47,7 +48,7 @@ def _spans_of(text: Column, r: Rule, number: int) -> Column:
 
     def one(m: Column) -> Column:
         part = m["text"] if r.group == 0 else F.regexp_extract(m["text"], pattern, r.group)
-        shift = F.lit(0) if r.group == 0 else F.length(m["text"]) - F.length(part)  # such groups end their match
+        shift = F.lit(0) if r.group == 0 or r.leads else F.length(m["text"]) - F.length(part)
         start = (m["start"] + shift).cast("int")
         return F.struct(
             start.alias("start"), (start + F.length(part)).cast("int").alias("end"), F.lit(r.category).alias("category"),
@@ -88,7 +89,7 @@ def trim_span(x: Column) -> Column:
 
 def is_noise(x: Column, text: Column) -> Column:
     t = F.trim(x["text"])
-    address = (x["category"] == "JP_ADDRESS") & (t.rlike("^[0-9]{7,}$") | t.rlike(r"^(?:0|\+81)[0-9\-\s]{8,}$"))
+    address = (x["category"] == "JP_ADDRESS") & (t.rlike("^[0-9]{7,}$") | t.rlike(r"(?U)^(?:0|\+81)[0-9\-\s]{8,}$"))
     told = text.rlike("さん|様|My name is|名前は|氏名は|名義は")
     name = (x["category"] == "JP_NAME") & (t.isin(*NOISE_NAMES) | ((F.length(t) > 20) & ~told))
     when = t.rlike("[0-9０-９]{1,2}月[0-9０-９]{1,2}日[0-9０-９]{1,2}時")

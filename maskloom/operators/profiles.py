@@ -36,7 +36,7 @@ def trim_word_spans(spans: Column) -> Column:
     lead = "^.*[ \\t　:：、。，,/／「」『』（）()はをがにへでと]"
     spans = F.transform(spans, lambda x: F.when(x["rule"] == 1, _cut_start(x, lead)).otherwise(x))
     labelled = F.lit("^$")
-    label_of = lambda x: F.coalesce(*[F.when(x["category"] == n, F.lit(f"^(?:{v})[:：は\\s]*")) for n, v in _LABELS.items()], labelled)
+    label_of = lambda x: F.coalesce(*[F.when(x["category"] == n, F.lit(f"(?U)^(?:{v})[:：は\\s]*")) for n, v in _LABELS.items()], labelled)
     spans = F.transform(spans, lambda x: _cut_start(x, label_of(x)))
     stop = lambda x: F.regexp_extract(x["text"], f"^(.+?)(?:{_STOP})", 1)
     stopped = lambda x: x["category"].isin("会社名", "住所", "銀行名") & (stop(x) != "")

@@ -37,24 +37,24 @@ def _spans_sql(pattern: str, source: str, key: str, text: str) -> str:
       SELECT {key}, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start, m[i] AS value FROM i"""
 
 
-def _located(spark, sf_dir, name, key, text, pattern):
-    x = F.explode(match_offsets(F.col(text), pattern))
-    return table(spark, sf_dir, name).select(key, x.alias("x")).select(key, F.col("x.start").cast("int").alias("start"), F.col("x.text").alias("value"))
+def _located(spark, sf_dir, name, key, text, rule):
+    found = table(spark, sf_dir, name).filter(F.col(text).rlike(rule.needs))
+    return found.select(key, F.explode(match_offsets(F.col(text), rule.pattern)).alias("x")).select(key, F.col("x.start").cast("int").alias("start"), F.col("x.text").alias("value"))
 
 
 @query(_spans_sql(ASCII_EMAIL, "documents", "doc_id", "text"))
 def detect_email_spans(spark, sf_dir):
-    return _located(spark, sf_dir, "documents", "doc_id", "text", ASCII_EMAIL)
+    return _located(spark, sf_dir, "documents", "doc_id", "text", PLAIN[0])
 
 
 @query(_spans_sql(ASCII_IPV4, "documents", "doc_id", "text"))
 def detect_ip_spans(spark, sf_dir):
-    return _located(spark, sf_dir, "documents", "doc_id", "text", ASCII_IPV4)
+    return _located(spark, sf_dir, "documents", "doc_id", "text", PLAIN[1])
 
 
 @query(_spans_sql(ASCII_EMAIL, "pages", "page_id", "html"))
 def detect_email_spans_in_pages(spark, sf_dir):
-    return _located(spark, sf_dir, "pages", "page_id", "html", ASCII_EMAIL)
+    return _located(spark, sf_dir, "pages", "page_id", "html", PLAIN[0])
 
 
 @query(f"""SELECT lang, category, count(*) AS n FROM (SELECT lang, 'JP_EMAIL' AS category, unnest(regexp_extract_all(text, '{ASCII_EMAIL}')) FROM documents
