@@ -1,55 +1,17 @@
-"""Helpers shared by the operators of this subpackage: shared scratch folders, sizes, bounded packing."""
+"""Helpers shared by the operators of this subpackage: workers' memory, files on shared storage, notes beside tables."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialize, scratch
 
-_own_folder: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share, as a full URI.
-
-    Where that setting is missing, a single machine gets a temporary folder instead; on a cluster that would lose data,
-    so it is an error. Folders that results depend on stay until whoever owns the checkpoint folder clears it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own_folder.setdefault("base", "file://" + tempfile.mkdtemp(prefix="maskloom-"))
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return path.getFileSystem(conf).makeQualified(path).toString()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    This cuts lineage with a table that outlives any executor; nothing is kept in executor memory.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.materialized_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` wrote, once all that follows from it is written too."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(df.materialized_at)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+__all__ = ["discard", "materialize", "scratch"]  # and what follows
 
 
 def release(spark: SparkSession) -> None:
@@ -95,6 +57,49 @@ def fs_and_path(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+class Notes:
+    """A small table (uid, ...) laid beside a large one whose rows were numbered by ``monotonically_increasing_id``.
+
+    Its rows are written in folders by the partition in a number's upper bits. A task of the large table reads the
+    notes of the rows it meets from the shared folder: nothing of the large table is shuffled, and nothing is broadcast.
+    """
+
+    def __init__(self, table: DataFrame, name: str):
+        spark = table.sparkSession
+        self.path = scratch(spark, name)
+        table.withColumn("pid", F.shiftright("uid", 33)).repartition("pid").write.partitionBy("pid").parquet(self.path)
+        self.columns = [c for c in table.columns if c != "uid"]
+        self.materialized_at, self.sparkSession = self.path, spark  # for ``discard``
+
+    def reader(self):
+        """A function of a uid that gives its note as a tuple, None where there is none; for one task."""
+        import pyarrow.parquet as pq
+
+        columns, path, held = self.columns, self.path, {"pid": None, "rows": {}}
+
+        def load(pid: int) -> dict:
+            files, root = fs_and_path(path)
+            folder, rows = f"{root}/pid={pid}", {}
+            from pyarrow import fs
+
+            for info in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                if info.base_name.endswith(".parquet"):
+                    with files.open_input_file(info.path) as f:
+                        t = pq.read_table(f, columns=["uid", *columns])
+                    rows.update(zip(t["uid"].to_pylist(), zip(*(t[c].to_pylist() for c in columns)) if columns else [()] * t.num_rows))
+            return rows
+
+        def note(uid: int):
+            if uid >> 33 != held["pid"]:
+                held["pid"], held["rows"] = uid >> 33, load(uid >> 33)
+            return held["rows"].get(uid)
+
+        return note
+
+    def __getstate__(self):
+        return {"path": self.path, "columns": self.columns}
+
+
 def crc32_text(column) -> F.Column:
     """Unsigned CRC-32 of a text's UTF-8 bytes, null as the empty text."""
     return F.crc32(F.encode(F.coalesce(column, F.lit("")), "UTF-8"))

@@ -45,8 +45,8 @@ def suffix_ranks(first: np.ndarray, ends: np.ndarray, known: int) -> np.ndarray:
     s = first[order]
     start = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if n else np.zeros(0, np.int64)
     size = np.diff(start, append=n)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(start, size)
+    rank = np.empty(n, np.int32)  # a partition has far fewer than 2**31 bytes
+    rank[order] = np.repeat(start.astype(np.int32), size)
     open_ = order[np.repeat(size > 1, size)]
     open_ = open_[ends[open_] - open_ >= known]
     while len(open_):
@@ -59,7 +59,7 @@ def suffix_ranks(first: np.ndarray, ends: np.ndarray, known: int) -> np.ndarray:
         at = np.arange(len(open_))
         head = np.maximum.accumulate(np.where(old, at, 0))
         sub = np.maximum.accumulate(np.where(new, at, 0))
-        rank[open_] = now + sub - head
+        rank[open_] = now + (sub - head).astype(np.int32)
         cut = np.flatnonzero(new)
         size = np.diff(cut, append=len(open_))
         known *= 2

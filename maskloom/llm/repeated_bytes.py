@@ -29,15 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import discard, materialize, release, trim_worker, trimmed
+from .common import Notes, discard, materialize, release, trim_worker, trimmed
 from .prefix_free import OVERLAP, SuffixOrder, fingerprints16, join_hashes, triggers
 
 LENGTH = 400
 BLOCK_BYTES = 1 << 20
 DOCS_PER_BUCKET = 4000
-PARTITION_BYTES = 1 << 20
-HOT_BYTES = 1 << 22  # slices of one anchor beyond which it is split
+PARTITION_BYTES = 1 << 19
+HOT_BYTES = 1 << 20  # slices of one anchor beyond which it is split
 
 
 def seed_of(length: int) -> int:
@@ -125,8 +126,8 @@ _PARSED = "kind int, block long, bucket int, values binary, twice binary, uids b
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
 
 
-def parse(texts: DataFrame, buckets: int, length: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One pass over (uid, text): parse suffixes sent to buckets (kind 1), and the parse (2)."""
+def parse(texts: DataFrame, leads: Notes, buckets: int, length: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One pass over (uid, text) of the leads: parse suffixes sent to buckets (kind 1), and the parse (2)."""
     names = [x.split()[0] for x in _PARSED.split(", ")]
     types = [_KINDS[x.split()[1]] for x in _PARSED.split(", ")]
 
@@ -145,9 +146,11 @@ def parse(texts: DataFrame, buckets: int, length: int, block_bytes: int = BLOCK_
         yield pa.RecordBatch.from_arrays([pa.array([row.get(c)], t) for c, t in zip(names, types)], names=names)
 
     def run(batches):
-        uids, texts, size = [], [], 0
+        uids, texts, size, lead = [], [], 0, leads.reader()
         for batch in batches:
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if lead(uid) is None:
+                    continue
                 data = text.as_py()
                 uids.append(uid)
                 texts.append(data)
@@ -216,8 +219,8 @@ def digest(data: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def slices(rows: DataFrame, length: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(ord, uid, pos) and a slice: of (uid, ord, text, starts, ends), the candidate places by anchor.
+def slices(rows: DataFrame, places: Notes, length: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(ord, uid, pos) and a slice: of (uid, ord, text) and notes (starts, ends), the candidate places by anchor.
 
     A task sends a slice's text only the first times it meets it.
     """
@@ -251,11 +254,14 @@ def slices(rows: DataFrame, length: int, block_bytes: int = BLOCK_BYTES) -> Data
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     def run(batches):
-        held, size, seen = [], 0, set()
+        held, size, seen, place = [], 0, set(), places.reader()
         for b in batches:
-            for uid, ord_, text, s, e in zip(*(b.column(i) for i in range(5))):
+            for uid, ord_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                at = place(uid)
+                if at is None:
+                    continue
                 data = text.as_py()
-                held.append((uid.as_py(), ord_.as_py(), data, s.as_py(), e.as_py()))
+                held.append((uid, ord_, data, *at))
                 size += len(data)
                 if size >= block_bytes:
                     yield from flush(held, seen)
@@ -373,15 +379,17 @@ def _moved(runs: str, base: str) -> F.Column:
     return F.flatten(F.collect_list(F.transform(runs, lambda r: F.struct((r["s"] + F.col(base)).alias("s"), (r["e"] + F.col(base)).alias("e")))))
 
 
-def repeated_runs(texts: DataFrame, length: int, keep: str, block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(uid, runs): runs of places in the different texts (uid, ord, text) whose string is to be removed."""
-    buckets = max(12, texts.count() // DOCS_PER_BUCKET)
-    parsed = materialize(parse(texts.select("uid", "text"), buckets, length, block_bytes), "bytes-parsed")
+def repeated_runs(texts: DataFrame, lead: DataFrame, length: int, keep: str, block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """(uid, runs): runs of places in those of the texts (uid, ord, text) that are leads whose string is to be removed."""
+    buckets = max(12, lead.count() // DOCS_PER_BUCKET)
+    leads = Notes(lead.select("uid"), "bytes-lead")
+    parsed = materialize(parse(texts.select("uid", "text"), leads, buckets, length, block_bytes), "bytes-parsed")
     seeds = repeated_values(parsed.filter("kind = 1").select("block", "bucket", "values", "twice"))
-    places = materialize(candidate_places(parsed, seeds), "bytes-places")
+    places = Notes(candidate_places(parsed, seeds), "bytes-places")
     discard(parsed)
+    discard(leads)
     release(texts.sparkSession)
-    cut = slices(texts.select("uid", "ord", "text").join(places, "uid").select("uid", "ord", "text", "starts", "ends"), length, block_bytes)
+    cut = slices(texts.select("uid", "ord", "text"), places, length, block_bytes)
     rows = first = materialize(cut.withColumn("n", F.lit(1).cast("long")), "bytes-slices")
     levels, cold, scratched = [], [], [places, first]
     last = int(np.ceil(np.log2(length)))
@@ -441,7 +449,7 @@ def removals(keyed: DataFrame, length: int, keep: str = "none", block_bytes: int
     long_ = keyed.filter(F.col("n") >= length)
     lead = long_.groupBy("sha").agg(F.min(F.struct("ord", "uid")).alias("f"), F.count("*").alias("copies"))
     lead = materialize(lead.select("f.uid", "copies"), "bytes-leads")
-    runs = repeated_runs(long_.join(lead, "uid", "left_semi").select("uid", "ord", "text"), length, keep, block_bytes, hot_bytes)
+    runs = repeated_runs(long_.select("uid", "ord", "text"), lead, length, keep, block_bytes, hot_bytes)
     copy = F.col("copies").isNull() | (F.col("copies") > (1 if keep == "none" else 2**62))
     out = long_.select("uid").join(lead, "uid", "left").join(runs, "uid", "left")
     return out.select("uid", copy.alias("whole"), "runs").filter(F.col("whole") | F.col("runs").isNotNull())
@@ -456,24 +464,29 @@ def _spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
     return list(zip(s[cut].tolist(), e[np.append(cut[1:], len(s)) - 1].tolist()))
 
 
-def kept_texts(keyed: DataFrame, removed: DataFrame, length: int) -> DataFrame:
-    """(uid, kept, n_removed, n_spans) of the rows that lose something."""
+def kept_texts(keyed: DataFrame, removed: DataFrame, length: int, hashed: bool = False) -> DataFrame:
+    """(uid, kept, n_removed, n_spans) of the rows that lose something; ``hashed`` gives the digest of what is kept."""
+    losses = Notes(removed.select("uid", "whole", "runs"), "bytes-losses")
+    kind = pa.string() if hashed else pa.binary()
 
     def run(batches):
+        loss = losses.reader()
         for b in batches:
             out = []
-            for uid, text, whole, runs in zip(*(b.column(i) for i in range(4))):
+            for uid, text in zip(b.column(0).to_pylist(), b.column(1)):
+                found = loss(uid)
+                if found is None:
+                    continue
                 data = text.as_py()
-                spans = [(0, len(data))] if whole.as_py() else _spans(runs.as_py(), length)
+                spans = [(0, len(data))] if found[0] else _spans(found[1], length)
                 ends = [0, *(e for _, e in spans)]
                 kept = b"".join(data[x:y] for x, y in zip(ends, [*(s for s, _ in spans), len(data)]))
-                out.append((uid.as_py(), kept, len(data) - len(kept), len(spans)))
+                out.append((uid, hashlib.sha256(kept).hexdigest() if hashed else kept, len(data) - len(kept), len(spans)))
             if out:
-                types = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                types = (pa.int64(), kind, pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["uid", "kept", "n_removed", "n_spans"])
 
-    rows = keyed.select("uid", "text").join(removed, "uid").select("uid", "text", "whole", "runs")
-    return rows.mapInArrow(trimmed(run), "uid long, kept binary, n_removed long, n_spans long")
+    return keyed.select("uid", "text").mapInArrow(trimmed(run), f"uid long, kept {'string' if hashed else 'binary'}, n_removed long, n_spans long")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, keep: str = "none", order_col: str | None = "doc_id") -> DataFrame:
@@ -486,15 +499,25 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     names, pass through. A text of any size is one row of one task.
     """
     keyed = keyed_texts(docs, text_col, order_col if order_col in docs.columns else None)
-    cut = kept_texts(keyed, removals(keyed, length, keep), length).select("uid", F.col("kept").alias("cut"))
+    losses = Notes(removals(keyed, length, keep).select("uid", "whole", "runs"), "bytes-losses")
 
-    def decoded(batches):
+    def cut(batches):
+        loss = losses.reader()
         for b in batches:
-            yield b.set_column(1, "cut", pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column(1)], pa.string()))
+            out = []
+            for uid, text in zip(b.column(0).to_pylist(), b.column(1)):
+                found, data = loss(uid), text.as_py()
+                if found is not None:
+                    spans = [(0, len(data))] if found[0] else _spans(found[1], length)
+                    ends = [0, *(e for _, e in spans)]
+                    data = b"".join(data[x:y] for x, y in zip(ends, [*(s for s, _ in spans), len(data)]))
+                out.append(None if data is None else data.decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(2)], names=["text", "row"])
 
-    cut = cut.mapInArrow(decoded, "uid long, cut string")
-    text = F.coalesce("cut", F.col("text").cast("string")).cast(docs.schema[text_col].dataType)
-    return keyed.join(cut, "uid", "left").select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    rows = keyed.select("uid", "text", "row")
+    done = rows.mapInArrow(trimmed(cut), StructType([StructField("text", StringType()), rows.schema["row"]]))
+    text = F.col("text").cast(docs.schema[text_col].dataType)
+    return done.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,7 +528,7 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     keyed = keyed_texts(docs, "text", "doc_id")
-    cut = kept_texts(keyed, removals(keyed, LENGTH), LENGTH).select("uid", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    cut = kept_texts(keyed, removals(keyed, LENGTH), LENGTH, hashed=True).withColumnRenamed("kept", "kept_sha256")
     out = keyed.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), "n", "sha").join(cut, "uid", "left")
     none = F.lit(0).cast("long")
     return out.select(
