@@ -9,6 +9,7 @@ from ..functions.generalise import replacement
 from ..functions.labels import cleanup_address_tail, cleanup_alias_notes, preserve_reason
 from ..functions.text import is_ambiguous_name
 from ..functions.variants import rewrite_generic
+from ..storage import materialize
 from .dictionary import PLACE, candidate_masks, dictionary, literal_hits, seed_aliases
 from .resolve import apply_edits, coverage_anti_join, overlaps
 from .structured import PRESERVED_KINDS, default_enabled, typed_cells
@@ -48,7 +49,7 @@ def literal_findings(texts: DataFrame, words: DataFrame, ambiguous: DataFrame, a
     doubt = honorific | (~F.col("single") & (F.col("category") == "氏名") & (F.coalesce("known", F.lit(False)) | is_ambiguous_name(F.col("text"))))
     hits = hits.withColumn("doubt", doubt).withColumn("ord", F.struct("sheet_ord", "row", "col", F.col("start").alias("at")))
     masks = candidate_masks(hits.filter("doubt").withColumn("base", F.when(F.col("single"), F.lit(None)).otherwise(F.col("alias"))), ["file_id"], "text", "base")
-    sure = hits.filter("NOT doubt").withColumn("mask", F.col("alias"))
+    sure = hits.filter("NOT doubt").withColumn("mask", F.col("alias")).drop("norm_key")
     every = masks.drop("base").unionByName(sure)
     why = F.when(honorific, "曖昧な姓+敬称候補").when(F.col("doubt"), "曖昧な表記ゆれ候補").when(F.col("single"), "構造列から作成した1文字姓辞書").otherwise("構造列から作成した同一人物・組織辞書")
     kept = F.lit(analysis) & F.col("category").isin(*SECRET_KINDS)
@@ -79,11 +80,12 @@ def scan_cells(cells: DataFrame, analysis: bool = True, extra: DataFrame | None
     """All findings of workbooks: columns under known headers, then known values in the text of other cells."""
     from .dictionary import ambiguous_keys
 
-    typed = typed_cells(cells)
+    # written once each: what follows reads them several times
+    typed = materialize(typed_cells(cells), "cells-typed")
     known = typed.filter(F.col("kind").isNotNull())
-    _, cell_aliases = seed_aliases(known, extra)
+    cell_aliases = materialize(seed_aliases(known, extra)[1], "cells-aliases")
     value_of = F.when(F.col("kind") == "name", F.col("alias")).otherwise(replacement(F.col("kind"), F.col("value"), F.col("alias"), analysis))
-    words = dictionary(known, cell_aliases, value_of)
+    words = materialize(dictionary(known, cell_aliases, value_of), "cells-words")
     texts = typed.filter(F.col("kind").isNull()).select(*PLACE, "sheet_ord", F.col("value").alias("text"))
     return column_findings(known, cell_aliases, analysis).unionByName(literal_findings(texts, words, ambiguous_keys(known), analysis)).select(*FINDING)
 

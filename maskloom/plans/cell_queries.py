@@ -37,7 +37,7 @@ def workbooks(spark, sf_dir):
     values = [F.col("c_name"), F.concat(F.lit("カナ"), F.col("c_custkey").cast("string")), F.col("c_phone"), land, born, note]
     body = c.select(
         F.concat(F.lit("f"), F.col("c_nationkey").cast("string")).alias("file_id"), F.concat(F.lit("0"), n.cast("string"), F.lit("_"), F.col("c_mktsegment")).alias("sheet"), n.alias("sheet_ord"),
-        (F.col("c_custkey") + 1).cast("int").alias("row"), (F.col("c_custkey") % 7 == 0).alias("odd"), F.posexplode(F.array(*values)).alias("i", "value"),
+        (F.col("c_custkey") + 2).cast("int").alias("row"), (F.col("c_custkey") % 7 == 0).alias("odd"), F.posexplode(F.array(*values)).alias("i", "value"),
     )
     body = body.select("file_id", "sheet", "sheet_ord", "row", (F.col("i") + 1).alias("col"), "value", (F.col("odd") & (F.col("i") == 4)).alias("is_formula"))
     heads = body.select("file_id", "sheet", "sheet_ord").distinct().select("*", F.posexplode(F.array(*map(F.lit, HEADERS))).alias("i", "value"))
@@ -53,7 +53,7 @@ BASE = """WITH c AS (SELECT *, (10 + c_nationkey)::VARCHAR || '-555-' || lpad((c
     split_part(c_phone, '-', 1) || '-XXX-' || split_part(c_phone, '-', 4) AS masked FROM a)"""
 
 
-@query(BASE + " SELECT file_id, sheet, c_custkey + 1 AS row, col, person AS alias FROM b, (VALUES (1), (2)) AS t(col)")
+@query(BASE + " SELECT file_id, sheet, c_custkey + 2 AS row, col, person AS alias FROM b, (VALUES (1), (2)) AS t(col)")
 def seeded_name_aliases(spark, sf_dir):
     """Names and the kana beside them share an alias; on the sheet of people from elsewhere each name has its own."""
     known = typed_cells(workbooks(spark, sf_dir)).filter("kind IS NOT NULL")
@@ -66,7 +66,7 @@ def seeded_name_aliases(spark, sf_dir):
   firsts AS (SELECT c_nationkey, land, min((n * 10000000 + c_custkey)) AS o FROM v WHERE land IS NOT NULL GROUP BY 1, 2
     UNION ALL SELECT c_nationkey, NULL, n * 10000000 + c_custkey FROM v WHERE land IS NULL),
   k AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY o) AS k FROM firsts)
-  SELECT 'f' || v.c_nationkey AS file_id, c_custkey + 1 AS row, '固定電話' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS alias
+  SELECT 'f' || v.c_nationkey AS file_id, c_custkey + 2 AS row, '固定電話' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS alias
   FROM v JOIN k ON k.c_nationkey = v.c_nationkey AND k.land = v.land""")
 def blank_landlines_use_numbers(spark, sf_dir):
     cells = workbooks(spark, sf_dir)
@@ -76,8 +76,8 @@ def blank_landlines_use_numbers(spark, sf_dir):
     return aliases.filter("col = 4").select("file_id", F.col("row").cast("long"), "alias")
 
 
-@query(BASE + """ SELECT file_id, c_custkey + 1 AS row, 4 AS start, upper(c_name) AS text, person AS alias FROM b WHERE NOT elsewhere
-  UNION ALL SELECT file_id, c_custkey + 1, length(c_name) + 8, c_phone, masked FROM b""")
+@query(BASE + """ SELECT file_id, c_custkey + 2 AS row, 4 AS start, upper(c_name) AS text, person AS alias FROM b WHERE NOT elsewhere
+  UNION ALL SELECT file_id, c_custkey + 2, length(c_name) + 8, c_phone, masked FROM b""")
 def dictionary_hits(spark, sf_dir):
     """Known names in any case and phone numbers in notes; not the name within the e-mail address."""
     from ..functions.generalise import replacement
@@ -91,7 +91,7 @@ def dictionary_hits(spark, sf_dir):
     return hits.select("file_id", F.col("row").cast("long"), F.explode("hits").alias("h")).select("file_id", "row", "h.start", "h.text", "h.alias")
 
 
-@query(BASE + """ SELECT file_id, c_custkey + 1 AS row, '列単位' AS detection, '見出し「生年月日」 / 分析継続用のため' || CASE WHEN c_custkey % 7 = 0 THEN '数式セルは維持' ELSE '型と値を維持' END AS reason,
+@query(BASE + """ SELECT file_id, c_custkey + 2 AS row, '列単位' AS detection, '見出し「生年月日」 / 分析継続用のため' || CASE WHEN c_custkey % 7 = 0 THEN '数式セルは維持' ELSE '型と値を維持' END AS reason,
   ((1950 + c_custkey % 50) // 10 * 10)::VARCHAR || '年代' AS replacement, FALSE AS enabled FROM b""")
 def preserved_columns(spark, sf_dir):
     """Findings in columns whose type and value an analysis keeps, with the reason."""
@@ -99,7 +99,7 @@ def preserved_columns(spark, sf_dir):
     return found.select("file_id", F.col("row").cast("long"), "detection", "reason", "replacement", "enabled")
 
 
-@query(BASE + """ SELECT file_id, c_custkey + 1 AS row, person AS name, person AS kana, masked AS phone, (1950 + c_custkey % 50)::VARCHAR || '-01-02' AS born,
+@query(BASE + """ SELECT file_id, c_custkey + 2 AS row, person AS name, person AS kana, masked AS phone, (1950 + c_custkey % 50)::VARCHAR || '-01-02' AS born,
   'Ask ' || CASE WHEN elsewhere THEN upper(c_name) ELSE person END || ' or ' || masked || ' today; mail x' || c_name || '@e.org' AS note FROM b""")
 def converted_workbooks(spark, sf_dir):
     """Cells after all findings were applied, one row of the sheet a row."""
@@ -114,9 +114,9 @@ def converted_workbooks(spark, sf_dir):
 def cells_outside_table_headers(spark, sf_dir):
     """Every tenth customer heads a table of its own that starts in the second column; every fifth one without a header."""
     cells = workbooks(spark, sf_dir).filter("row > 1")
-    tables = cells.filter("col = 1 AND (row - 1) % 5 = 0").select("file_id", "sheet", F.col("row").alias("top"), F.lit(2).alias("left"), (1 + (F.col("row") - 1) % 4).alias("right"), F.when((F.col("row") - 1) % 10 == 0, 1).otherwise(0).alias("header_rows"))
+    tables = cells.filter("col = 1 AND (row - 2) % 5 = 0").select("file_id", "sheet", F.col("row").alias("top"), F.lit(2).alias("left"), (1 + (F.col("row") - 2) % 4).alias("right"), F.when((F.col("row") - 2) % 10 == 0, 1).otherwise(0).alias("header_rows"))
     tables = tables.filter("right >= left")
-    return C.without_table_headers(cells, tables).groupBy((F.col("row") - 1).cast("long").alias("id")).agg(F.count("*").alias("n"))
+    return C.without_table_headers(cells, tables).groupBy((F.col("row") - 2).cast("long").alias("id")).agg(F.count("*").alias("n"))
 
 
 FAMILY = ("森", "林", "原", "関")
