@@ -6,6 +6,8 @@ words is a grouped function over the page; everything else is column work.
 
 from __future__ import annotations
 
+from statistics import median
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,24 +52,21 @@ def line_boxes(words: DataFrame) -> DataFrame:
 
 
 def visual_rows(lines: DataFrame, closeness: float = 0.55) -> DataFrame:
-    """Add ``vrow``: lines whose centres lie within a share of the height of the row's median belong to one row."""
+    """Add ``vrow``: a line joins the first row whose median centre lies within a share of the larger height, its own or
+    the median of the row's (one point at least); lines come from the top, then from the left."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y0", "x0", "block", "line"], kind="stable")
-        rows: list[dict] = []
-        number = []
+        centres, heights, number = [], [], []
         for y0, y1 in zip(pdf["y0"], pdf["y1"]):
-            centre, height = (y0 + y1) / 2, y1 - y0
-            for i, r in enumerate(rows):
-                middle = sorted(r["c"])[len(r["c"]) // 2] if len(r["c"]) % 2 else sum(sorted(r["c"])[len(r["c"]) // 2 - 1 : len(r["c"]) // 2 + 1]) / 2
-                if abs(centre - middle) <= closeness * max(height, r["h"]):
-                    r["c"].append(centre)
-                    r["h"] = max(r["h"], height)
-                    number.append(i)
-                    break
-            else:
-                rows.append({"c": [centre], "h": height})
-                number.append(len(rows) - 1)
+            centre, tall = (y0 + y1) / 2, max(y1 - y0, 1.0)
+            at = next((i for i, (c, h) in enumerate(zip(centres, heights)) if abs(centre - median(c)) <= closeness * max(median(h), tall)), len(centres))
+            if at == len(centres):
+                centres.append([])
+                heights.append([])
+            centres[at].append(centre)
+            heights[at].append(tall)
+            number.append(at)
         return pdf.assign(vrow=number)
 
     return lines.groupBy(*PAGE).applyInPandas(one, StructType([*lines.schema.fields, StructField("vrow", IntegerType())]))
@@ -155,6 +154,7 @@ def ocr_lines(words: DataFrame) -> DataFrame:
     return word_boxes(words).groupBy(*PAGE).agg(F.array_join(F.transform(ordered, lambda p: p["t"]), "").alias("norm"))
 
 
+# Limits of page quality.
 QUALITY = {"warn_chars": 40, "fail_chars": 10, "warn_garble": 0.08, "fail_garble": 0.18, "warn_area": 0.0005, "fail_area": 0.0001, "blank_chars": 80, "dark": 0.001}
 
 
@@ -174,20 +174,26 @@ def page_quality(pages: DataFrame, text: str = "text", limits: dict[str, float]
 
 
 def spatial_dedupe(cands: DataFrame, share: float = 0.78) -> DataFrame:
-    """Candidates of a page in order of rank, then area: one that mostly overlaps a kept one of its kind goes."""
+    """Candidates of a page in order of ``cand_id``: of one kind, text and rounded place the first; then one that overlaps
+    a kept one of its kind, whose text holds or is held by it or whose centre is near, goes or takes its place, by the
+    higher ``rank``, then the smaller area."""
+    from .layout import same_place
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_a=(pdf.x1 - pdf.x0) * (pdf.y1 - pdf.y0)).sort_values(["rank", "_a", "cand_id"], kind="stable")
-        kept: list = []
-        for r in pdf.itertuples():
-            for k in kept:
-                w, h = min(r.x1, k.x1) - max(r.x0, k.x0), min(r.y1, k.y1) - max(r.y0, k.y0)
-                small = min((r.x1 - r.x0) * (r.y1 - r.y0), (k.x1 - k.x0) * (k.y1 - k.y0))
-                if r.kind == k.kind and w > 0 and h > 0 and small and w * h / small >= share:
-                    break
-            else:
+        order = lambda r: (r.rank, -(r.x1 - r.x0) * (r.y1 - r.y0))
+        kept, seen = [], set()
+        for r in pdf.sort_values("cand_id", kind="stable").itertuples():
+            rect = (r.x0, r.y0, r.x1, r.y1)
+            key = (r.kind, r.norm, *map(round, rect))
+            if key in seen:
+                continue
+            seen.add(key)
+            at = next((i for i, k in enumerate(kept) if k.kind == r.kind and same_place((k.x0, k.y0, k.x1, k.y1), k.norm, rect, r.norm, share)), None)
+            if at is None:
                 kept.append(r)
-        return pdf.loc[[k.Index for k in kept]].drop(columns="_a")
+            elif order(r) > order(kept[at]):
+                kept[at] = r
+        return pdf.loc[[k.Index for k in kept]]
 
     return cands.groupBy(*PAGE).applyInPandas(one, cands.schema)
 
