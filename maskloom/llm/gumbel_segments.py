@@ -7,10 +7,11 @@ backward sums over the lattice give edge by edge.
 
 Gumbel top-k: give every path's log-probability independent Gumbel noise, and the k largest are a sample without
 replacement. Perturbed A* search finds them without listing paths. The root has the largest perturbed value of all
-paths below it; the values of a node's children are drawn under the condition that the largest is the node's own. So
-expanding the best open node follows one path to the end, which is the next sample, and leaves the siblings it
-passed as open nodes. The next best open value is the threshold kappa, and 1 - exp(-exp(log p - kappa)) is the
-probability that the path would be among k samples.
+paths below it; which child attains a node's value is a draw by their probabilities, and the largest value of the
+others, as one set, is Gumbel noise around the logarithm of their sum, cut off at the node's value. So expanding the
+best open node follows one path to the end, which is the next sample, and leaves one set of siblings at each place it
+passed. The next best open value is the threshold kappa, and 1 - exp(-exp(log p - kappa)) is the probability that the
+path would be among k samples.
 
 All noise is a hash of the row's key, the step and the edge: a row's samples depend on nothing but the row.
 """
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,36 +27,146 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .common import trim_worker
+
 SPACE = "▁"
-LONGEST = 16  # characters of the longest piece of the vocabulary
-CACHED_CHUNKS = 60_000
-_CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")  # no piece reaches from one chunk into the next
+BATCH_CHARS = 200_000  # of texts that are segmented together
+BITS = 40  # of a draw among the edges of a place
+_MARK = np.uint64(0x9E3779B97F4A7C15)
 
 
-def uniform_noise(seed: int, step: int, n: int) -> np.ndarray:
-    """n numbers in (0, 1), a hash of seed, step and place."""
-    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x += np.uint64((seed * 0xBF58476D1CE4E5B9 + step * 0x94D049BB133111EB) % 2**64)
+def uniform_noise(seeds: np.ndarray, step: int, nth: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1), a hash of seed, step and place."""
+    x = nth.astype(np.uint64) * _MARK
+    x += seeds * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(step * 0x94D049BB133111EB % 2**64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start, ``size`` of them, one after the other."""
+    upto = np.cumsum(size)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - upto + size, size)
+
+
+def cut_gumbel(location: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbel noise around a location, given that it is at most so much; minus infinity where the location is."""
+    with np.errstate(invalid="ignore"):
+        return np.where(np.isfinite(location), -np.logaddexp(-most, np.log(-np.log(u)) - location), -np.inf)
+
+
+class Trie:
+    """The pieces by their characters: transitions in one open hash table, looked up for many places at once."""
+
+    def __init__(self, pieces: dict[str, int]):
+        steps: dict[tuple[int, int], int] = {}
+        self.piece = [-1]
+        for text, i in pieces.items():
+            node = 0
+            for c in text:
+                nxt = steps.setdefault((node, ord(c)), len(self.piece))
+                if nxt == len(self.piece):
+                    self.piece.append(-1)
+                node = nxt
+            self.piece[node] = i
+        self.piece = np.array(self.piece, np.int64)
+        self.bits = max(4, (4 * len(steps)).bit_length())
+        self.keys, self.to = np.full(2**self.bits, -1, np.int64), np.full(2**self.bits, -1, np.int64)
+        keys = np.array([n << 21 | c for n, c in steps], np.int64)
+        mask, held = 2**self.bits - 1, set()
+        for key, at, to in zip(keys.tolist(), self._slot(keys).tolist(), steps.values()):
+            while at in held:
+                at = at + 1 & mask
+            held.add(at)
+            self.keys[at], self.to[at] = key, to
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _MARK) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The node each transition leads to, -1 where there is none."""
+        key = nodes << 21 | chars
+        at = self._slot(key)
+        out = np.where(self.keys[at] == key, self.to[at], -1)
+        left = np.flatnonzero((self.keys[at] != key) & (self.keys[at] != -1))
+        while len(left):
+            at[left] = at[left] + 1 & (2**self.bits - 1)
+            k = self.keys[at[left]]
+            hit = k == key[left]
+            out[left[hit]] = self.to[at[left[hit]]]
+            left = left[~hit & (k != -1)]
+        return out
+
+
 class Lattice:
-    """Edges of one text, by start: ``first`` of each place, then end, piece and log-probability given the start."""
+    """Edges of some texts, by start: ``first`` of each place, then end, piece and log-probability given the start.
+
+    No piece reaches from one chunk, white space and what follows it, into the next, so chunks are summed up apart.
+    """
 
-    def __init__(self, chunks: list[tuple]):
-        sizes = np.array([c[0] for c in chunks], np.int64)
-        self.starts = np.cumsum(sizes) - sizes
-        self.length = int(sizes.sum())
-        edges = np.array([len(c[2]) for c in chunks], np.int64)
-        self.end = np.concatenate([c[2] for c in chunks]) + np.repeat(self.starts, edges)
-        self.piece = np.concatenate([c[3] for c in chunks])
-        self.logp = np.concatenate([c[4] for c in chunks])
-        base = np.repeat(np.cumsum(edges) - edges, sizes)
-        self.first = np.concatenate([c[1] for c in chunks]) + base
-        self.place = np.repeat(np.arange(self.length), np.diff(self.first, append=len(self.end)))
+    def __init__(self, segmenter: "Segmenter", texts: list[str]):
+        joined = [SPACE + t.replace(" ", SPACE) for t in texts]
+        self.sizes = np.array([len(t) for t in joined], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.length = int(self.sizes.sum())
+        chars = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        space = chars == ord(SPACE)
+        self.heads = space & ~np.append(False, space[:-1])
+        self.heads[self.ends - self.sizes] = True
+        starts = np.flatnonzero(self.heads)
+        stop = np.repeat(np.append(starts[1:], self.length), np.diff(starts, append=self.length))
+
+        at, node, deep, found = np.arange(self.length), np.zeros(self.length, np.int64), 0, []
+        while len(at):
+            node = segmenter.trie.step(node, chars[at + deep])
+            deep += 1
+            on = node >= 0
+            at, node = at[on], node[on]
+            piece = segmenter.trie.piece[node]
+            hit = piece >= 0
+            found.append((at[hit], np.full(int(hit.sum()), deep), piece[hit], segmenter.logw[piece[hit]]))
+            on = at + deep < stop[at]
+            at, node = at[on], node[on]
+        whole = np.zeros(self.length, bool)
+        whole[found[0][0]] = True
+        rest = np.flatnonzero(~whole)  # characters that are no piece: their bytes
+        if len(rest):
+            kinds, which = np.unique(chars[rest], return_inverse=True)
+            runs = [segmenter.byte_run(chr(c)) for c in kinds.tolist()]
+            found.append((rest, np.ones(len(rest), np.int64), np.array([r for r, _ in runs])[which], np.array([w for _, w in runs])[which]))
+        start, size, piece, weight = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(start, kind="stable")
+        self.place, self.piece, weight = start[order], piece[order], weight[order]
+        self.end = self.place + size[order]
+        self.first = np.searchsorted(self.place, np.arange(self.length))
+        self._sum(weight, stop)
+
+    def _sum(self, weight: np.ndarray, stop: np.ndarray) -> None:
+        """Backward sums over each chunk, all chunks at once, by the distance to the chunk's end."""
+        beta, self.logp = np.zeros(self.length + 1), np.empty(len(weight))
+        far = stop - np.arange(self.length)
+        count = np.diff(self.first, append=len(weight))
+        by = np.argsort(far, kind="stable")
+        cut = np.flatnonzero(np.diff(far[by], prepend=0))
+        for a, b in zip(cut.tolist(), np.append(cut[1:], len(by)).tolist()):
+            places = by[a:b]
+            n = count[places]
+            e = _ranges(self.first[places], n)
+            seg = np.cumsum(n) - n
+            x = weight[e] + np.where(self.end[e] == np.repeat(stop[places], n), 0.0, beta[self.end[e]])
+            top = np.maximum.reduceat(x, seg)
+            beta[places] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), seg))
+            self.logp[e] = x - np.repeat(beta[places], n)
+        # upper ends of each edge's share of its place, as whole numbers behind the place's own: one sorted array
+        share, upto, places = np.exp(self.logp), np.zeros(self.length), np.flatnonzero(count)
+        self.shares = np.repeat(np.arange(1, self.length + 1) << BITS, count)
+        for i in range(int(count.max(initial=0))):
+            places = places[count[places] > i]
+            upto[places] += share[self.first[places] + i]
+            inner = places[count[places] > i + 1]
+            self.shares[self.first[inner] + i] = (inner << BITS) + np.minimum(upto[inner] * 2.0**BITS, 2.0**BITS).astype(np.int64)
 
 
 class Segmenter:
@@ -75,13 +185,13 @@ class Segmenter:
                 self.pieces[self.model.id_to_piece(i)] = i
         rank = np.array([min(-self.model.get_score(i), n) for i in range(n)])
         weight = 1 / (rank + 3)
-        self.logw = (alpha * np.log(weight / weight.sum())).tolist()
-        self.rare = min(self.logw[i] for i in self.pieces.values())
+        self.logw = alpha * np.log(weight / weight.sum())
+        self.rare = float(min(self.logw[i] for i in self.pieces.values()))
+        self.trie = Trie(self.pieces)
         self.runs: list[list[int]] = []  # byte runs, numbered from -1 down
         self.run_of: dict[str, int] = {}
-        self.cache: dict[str, tuple] = {}
 
-    def _run(self, char: str) -> tuple[int, float]:
+    def byte_run(self, char: str) -> tuple[int, float]:
         """Number and weight of the bytes of a character that is no piece."""
         if char not in self.run_of:
             self.run_of[char] = -1 - len(self.runs)
@@ -89,102 +199,112 @@ class Segmenter:
         run = self.run_of[char]
         return run, self.rare * len(self.runs[-1 - run])
 
-    def _chunk(self, chunk: str) -> tuple:
-        """(characters, first edge of each place, ends, pieces, conditional log-probabilities)."""
-        got = self.cache.get(chunk)
-        if got is None:
-            n, pieces, logw, exp = len(chunk), self.pieces, self.logw, math.exp
-            beta, rows = [0.0] * (n + 1), [()] * n
-            for at in range(n - 1, -1, -1):
-                row = []
-                for to in range(at + 1, min(n, at + LONGEST) + 1):
-                    i = pieces.get(chunk[at:to])
-                    if i is not None:
-                        row.append((to, i, logw[i] + beta[to]))
-                if chunk[at] not in pieces:
-                    run, weight = self._run(chunk[at])
-                    row.append((at + 1, run, weight + beta[at + 1]))
-                top = max(x[2] for x in row)
-                beta[at] = top + math.log(sum([exp(x[2] - top) for x in row]))
-                rows[at] = row
-            first, flat = [], []
-            for at, row in enumerate(rows):
-                first.append(len(flat))
-                flat += [(to, i, s - beta[at]) for to, i, s in row]
-            to, ids, logp = zip(*flat)
-            got = (n, np.array(first), np.array(to, np.int32), np.array(ids, np.int32), np.array(logp))
-            if len(self.cache) >= CACHED_CHUNKS:
-                self.cache.clear()
-            self.cache[chunk] = got
-        return got
-
-    def sample(self, text: str, k: int, seed: int) -> list[tuple[list[int], float, float, float]]:
-        """Up to k distinct (ids, log-probability, perturbed value, inclusion probability), best perturbed first."""
-        if not text:
-            return [([], 0.0, float(-np.log(-np.log(uniform_noise(seed, 0, 1)[0]))), 1.0)]
-        lat = Lattice([self._chunk(c) for c in _CHUNK.findall(SPACE + text.replace(" ", SPACE))])
-        root = float(-np.log(-np.log(uniform_noise(seed, 0, 1)[0])))
-        heap, found = [(-root, 0, 0, 0.0, None, -1)], []  # value, tie, start, log p, edges before (path, its first n), edge
-        made = 1
-        while heap and len(found) < k:
-            value, _, start, phi, before, edge = heapq.heappop(heap)
-            head = np.zeros(0, np.int64) if before is None else np.append(before[0][: before[1]], edge)
-            path, logs, siblings = self._follow(lat, start, phi, -value, seed, len(found) + 1, k - len(found))
-            whole = np.concatenate([head, path])
-            found.append((whole, float(logs), -value))
-            for g, e, p, nth in siblings:
-                heapq.heappush(heap, (-g, made, int(lat.end[e]), p, (whole, len(head) + nth), e))
-                made += 1
-        kappa = -heap[0][0] if heap else -np.inf
-        out = []
-        for edges, logp, g in found:
-            ids = []
-            for i in lat.piece[edges].tolist():
-                ids += [i] if i >= 0 else self.runs[-1 - i]
-            out.append((ids, logp, g, float(-np.expm1(-np.exp(min(700.0, logp - kappa)))) if np.isfinite(kappa) else 1.0))
+    def sample(self, text: str, k: int, seed: int) -> list[tuple[np.ndarray, float, float, float]]:
+        return self.samples([text], k, [seed])[0]
+
+    def samples(self, texts: list[str], k: int, seeds: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        """For each text up to k distinct (ids, log-probability, perturbed value, inclusion probability), best perturbed first.
+
+        All texts take each step together; what is drawn for a text depends on its own seed only.
+        """
+        seeds = np.array([x % 2**64 for x in seeds], np.uint64)
+        roots = -np.log(-np.log(uniform_noise(seeds, 0, np.ones(len(seeds)))))
+        out: list = [[(np.zeros(0, np.int32), 0.0, float(r), 1.0)] for r in roots]
+        full = [i for i, t in enumerate(texts) if t]
+        if not full:
+            return out
+        lat = Lattice(self, [texts[i] for i in full])
+        begin = lat.ends - lat.sizes
+        # value, tie, place, log p so far, edges taken already, edges before (path, its first n)
+        heaps = [[(-float(roots[i]), 0, int(b), 0.0, (), (np.zeros(0, np.int64), 0))] for i, b in zip(full, begin)]
+        found: list[list] = [[] for _ in full]
+        first = np.append(lat.first, len(lat.end)).tolist()
+        for step in range(1, k + 1):
+            who = [t for t, h in enumerate(heaps) if h]
+            if not who:
+                break
+            own = seeds[[full[t] for t in who]]
+            draw, again = (uniform_noise(own, 2 * step + i, np.zeros(len(who))).tolist() for i in (0, 1))
+            nodes = []
+            for t, u, v in zip(who, draw, again):
+                value, _, place, phi, taken, before = heapq.heappop(heaps[t])
+                if taken:  # one of the siblings attains the set's value; the others stay a set
+                    edges = [e for e in range(first[place], first[place + 1]) if e not in taken]
+                    share = np.exp(lat.logp[edges])
+                    e = edges[min(int(np.searchsorted(np.cumsum(share), u * share.sum(), "right")), len(edges) - 1)]
+                    if len(edges) > 1:
+                        rest = phi + math.log(max(share.sum() - math.exp(lat.logp[e]), 5e-324))
+                        g = float(cut_gumbel(np.array([rest]), np.array([-value]), np.array([v]))[0])
+                        heapq.heappush(heaps[t], (-g, step * (k + 1), place, phi, (*taken, e), before))
+                    head = np.append(before[0][: before[1]], e)
+                    nodes.append((-value, int(lat.end[e]), phi + float(lat.logp[e]), head))
+                else:
+                    nodes.append((-value, place, phi, before[0]))
+            went = self._follow(lat, np.array(who), nodes, own, step, k - step + 1)
+            for t, (value, _, _, head), (path, logp, siblings) in zip(who, nodes, went):
+                whole = np.concatenate([head, path])
+                found[t].append((whole, logp, value))
+                for n, (g, place, e, phi, nth) in enumerate(siblings):
+                    heapq.heappush(heaps[t], (-g, step * (k + 1) + 1 + n, place, phi, (e,), (whole, len(head) + nth)))
+        for i, got, heap in zip(full, found, heaps):
+            kappa = -heap[0][0] if heap else -np.inf
+            out[i] = []
+            for edges, logp, g in got:
+                ids = lat.piece[edges]
+                if len(ids) and ids.min() < 0:
+                    ids = np.array([x for p in ids.tolist() for x in ([p] if p >= 0 else self.runs[-1 - p])])
+                p = float(-np.expm1(-np.exp(min(700.0, logp - kappa)))) if np.isfinite(kappa) else 1.0
+                out[i].append((ids.astype(np.int32), logp, g, p))
         return out
 
-    def _follow(self, lat: Lattice, start: int, phi: float, value: float, seed: int, step: int, keep: int):
-        """The best path below a node: its edges, its log-probability, and the ``keep`` best siblings passed."""
-        if start >= lat.length:
-            return np.zeros(0, np.int64), phi, []
-        lo = int(lat.first[start])
-        noisy = lat.logp[lo:] - np.log(-np.log(uniform_noise(seed, step, len(lat.end) - lo)))
-        first = lat.first[start:] - lo
-        top = np.maximum.reduceat(noisy, first)
-        place = lat.place[lo:] - start
-        best = np.zeros(lat.length - start, np.int64)
-        is_top = np.flatnonzero(noisy == top[place])
-        best[place[is_top]] = is_top
-        to = lat.end[lo:][best] - start  # of each place, where its best edge leads
-        heads = np.append(start, lat.starts[lat.starts > start]) - start
-        stops = np.append(heads[1:], lat.length - start)
-        visited, now = np.zeros(lat.length - start, bool), heads
+    def _follow(self, lat: Lattice, who: np.ndarray, nodes: list[tuple], seeds: np.ndarray, step: int, keep: int) -> list[tuple]:
+        """A path below each node, its log-probability, and the ``keep`` best sets of siblings it passed.
+
+        Chunks are walked side by side, each from its own start or the node's place to its end.
+        """
+        value, phi = np.array([n[0] for n in nodes]), np.array([n[2] for n in nodes])
+        start, stop = np.array([n[1] for n in nodes]), lat.ends[who]
+        begin = stop - lat.sizes[who]
+        heads = np.flatnonzero(lat.heads)
+        after, last = np.searchsorted(heads, start, "right"), np.searchsorted(heads, stop, "left")
+        n = np.where(start < stop, last - after + 1, 0)
+        owner = np.repeat(np.arange(len(nodes)), n)
+        now = heads[_ranges(after - 1, n)]
+        lead = (np.cumsum(n) - n)[n > 0]
+        now[lead] = start[n > 0]
+        ends = np.append(now[1:], 0)
+        ends[np.append(lead[1:], len(now))[: len(lead)] - 1] = stop[n > 0]
+        steps: list[tuple] = [(np.zeros(0, np.int64),) * 3]
         while len(now):
-            visited[now] = True
-            now, stops = to[now], stops
-            on = now < stops
-            now, stops = now[on], stops[on]
-        places = np.flatnonzero(visited)
-        path = best[places]
-        logs = phi + np.cumsum(lat.logp[lo:][path])
-        came = np.full(lat.length - start, -1, np.int64)
-        came[places] = np.arange(len(places))
-        nth = came[place]
-        other = np.flatnonzero((nth >= 0) & (best[place] != np.arange(len(noisy))))
-        nth = nth[other]
-        before = np.append(phi, logs[:-1])[nth]
-        mine, most = before + noisy[other], before + top[place[other]]
+            u = (uniform_noise(seeds[owner], 2 * step, now - begin[owner] + 1) * 2.0**BITS).astype(np.int64)
+            e = np.searchsorted(lat.shares, (now << BITS) + u, "right")
+            steps.append((now, e, owner))
+            now = lat.end[e]
+            on = now < ends
+            now, ends, owner = now[on], ends[on], owner[on]
+        place, path, owner = (np.concatenate(c) for c in zip(*steps))
+        order = np.argsort(place, kind="stable")  # texts follow one another
+        place, path, owner = place[order], path[order], owner[order]
+        cut = np.searchsorted(owner, np.arange(len(nodes) + 1))
+        logp, before, logs = lat.logp[path], np.empty(len(path)), phi.copy()
+        for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            if b > a:  # each text's sums are its own, whatever stands beside it
+                upto = phi[i] + np.cumsum(logp[a:b])
+                before[a], before[a + 1 : b], logs[i] = phi[i], upto[:-1], upto[-1]
         with np.errstate(divide="ignore"):
-            v = value - mine + np.log1p(-np.exp(np.minimum(mine - most, -1e-16)))
-        g = value - np.maximum(0.0, v) - np.log1p(np.exp(-np.abs(v)))
-        pick = np.argsort(-g, kind="stable")[:keep]
-        return path + lo, logs[-1], [
-            (float(g[i]), int(other[i] + lo), float(before[i] + lat.logp[lo + other[i]]), int(nth[i])) for i in pick
-        ]
+            rest = before + np.log(-np.expm1(np.minimum(logp, 0.0)))
+        g = cut_gumbel(rest, value[owner], uniform_noise(seeds[owner], 2 * step + 1, place - begin[owner] + 1))
+        out = []
+        for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            pick = np.argpartition(-g[a:b], keep - 1)[:keep] if b - a > keep else np.arange(b - a)
+            pick = a + np.sort(pick)
+            pick = pick[np.isfinite(g[pick])]
+            kept = zip(g[pick].tolist(), place[pick].tolist(), path[pick].tolist(), before[pick].tolist(), (pick - a).tolist())
+            out.append((path[a:b], float(logs[i]), list(kept)))
+        return out
 
-    def decode(self, ids: list[int]) -> str:
-        return self.model.decode(ids)
+    def decode(self, ids) -> str:
+        return self.model.decode(np.asarray(ids).tolist())
 
 
 _loaded: dict[tuple[str, float], Segmenter] = {}
@@ -209,21 +329,34 @@ def sample_segmentations(rows: DataFrame, vocabulary: str, keys: list[str], text
         schema = schema.add(name, kind)
     n = len(keys)
 
+    def out(s: Segmenter, part: pa.RecordBatch, seeds: list[int], texts: list[str]) -> pa.RecordBatch:
+        got = s.samples(texts, k, seeds)
+        row = np.repeat(np.arange(len(got)), [len(g) for g in got])
+        flat = [x for g in got for x in g]
+        sizes = np.array([len(x[0]) for x in flat])
+        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate([x[0] for x in flat]), pa.int32()))
+        trip = [s.decode(x[0]) == texts[r] for x, r in zip(flat, row.tolist())]
+        cols = [
+            pa.array([j + 1 for g in got for j in range(len(g))], pa.int32()), ids, *(pa.array([x[c] for x in flat], pa.float64()) for c in (1, 2, 3)), pa.array(trip, pa.bool_()),
+        ]
+        return pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in range(n)), *cols], names=schema.names)
+
     def run(batches):
         s = segmenter(vocabulary, alpha)
         for b in batches:
-            for at in range(0, b.num_rows, 100):
-                part = b.slice(at, 100)
-                row, out = [], []
-                for i, (key, text) in enumerate(zip(part.column(n).to_pylist(), part.column(n + 1).to_pylist())):
-                    for j, (ids, logp, g, inclusion) in enumerate(s.sample(text or "", k, key % 2**64)):
-                        row.append(i)
-                        out.append((j + 1, ids, logp, g, inclusion, s.decode(ids) == (text or "")))
-                if out:
-                    cols = list(zip(*out))
-                    types = (pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-                    held = [part.column(c).take(pa.array(row)) for c in range(n)]
-                    yield pa.RecordBatch.from_arrays([*held, *(pa.array(c, t) for c, t in zip(cols, types))], names=schema.names)
+            at = 0
+            while at < b.num_rows:  # texts together up to some size; one long text may exceed it
+                texts, size = [], 0
+                while at + len(texts) < b.num_rows and (not texts or size < BATCH_CHARS):
+                    text = b.column(n + 1)[at + len(texts)].as_py() or ""
+                    if texts and len(text) > 10 * BATCH_CHARS:
+                        break
+                    texts.append(text)
+                    size += len(text)
+                part = b.slice(at, len(texts))
+                yield out(s, part, part.column(n).to_pylist(), texts)
+                at += len(texts)
+        trim_worker()
 
     return slim.mapInArrow(run, schema)
 

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from maskloom.llm.gumbel_segments import _CHUNK, SPACE, Lattice, Segmenter, default_vocabulary, op5_segments, sample_segmentations
+from maskloom.llm.gumbel_segments import Lattice, Segmenter, default_vocabulary, op5_segments, sample_segmentations
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,7 @@ def segmenter():
 
 
 def all_paths(s, text):
-    lat = Lattice([s._chunk(c) for c in _CHUNK.findall(SPACE + text.replace(" ", SPACE))])
+    lat = Lattice(s, [text])
     out = {}
 
     def walk(at, ids, logp):
@@ -80,3 +80,26 @@ def test_all_documents_are_segmented(spark, sf):
     got = op5_segments(spark, sf).groupBy("doc_id").agg({"sample": "max"}).collect()
     assert {r.doc_id for r in got} == want
     assert max(r["max(sample)"] for r in got) == 4
+
+
+def test_texts_together_are_sampled_as_if_alone(segmenter):
+    texts = ["the ab", "", "word " * 50, "é中😀 x", "", "x" * 300, "a"]
+    seeds = [3, 4, 5, 6, 7, 8, 9]
+    for text, seed, got in zip(texts, seeds, segmenter.samples(texts, 4, seeds)):
+        alone = segmenter.sample(text, 4, seed)
+        assert [(g[0].tolist(), g[1], g[2], g[3]) for g in got] == [(g[0].tolist(), g[1], g[2], g[3]) for g in alone]
+
+
+def test_lattice_holds_every_piece(segmenter):
+    text = "ab  the é😀word\n the"
+    whole = "▁" + text.replace(" ", "▁")
+    lat = Lattice(segmenter, [text])
+    want = {(i, j) for i in range(len(whole)) for j in range(i + 1, len(whole) + 1) if whole[i:j] in segmenter.pieces and "▁" not in whole[i:j].lstrip("▁")}
+    want |= {(i, i + 1) for i, c in enumerate(whole) if c not in segmenter.pieces}
+    assert set(zip(lat.place.tolist(), lat.end.tolist())) == want
+
+
+def test_very_long_text(segmenter):
+    text = "long words " * 20_000
+    got = segmenter.sample(text, 2, 1)
+    assert len(got) == 2 and all(segmenter.decode(g[0]) == text for g in got)
