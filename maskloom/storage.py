@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MOST_FILES = 100_000  # files of a table whose names are broadcast
 
 _own_folder: dict[str, str] = {}
+_open: list[list[str]] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -23,7 +30,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = _own_folder.setdefault("base", "file://" + tempfile.mkdtemp(prefix="maskloom-"))
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return path.getFileSystem(conf).makeQualified(path).toString()
+    full = path.getFileSystem(conf).makeQualified(path).toString()
+    for made in _open:
+        made.append(full)
+    return full
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -39,9 +49,59 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` wrote, once all that follows from it is written too."""
+    delete(df.sparkSession, df.materialized_at)
+
+
+@contextmanager
+def tidied(spark: SparkSession):
+    """Delete at the end whatever was written within, but for the tables handed to the function this gives."""
+    made: list[str] = []
+    kept: set[str] = set()
+    _open.append(made)
+
+    def keep(df):
+        kept.add(df.materialized_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.remove(made)
+        for path in made:
+            if path not in kept:
+                delete(spark, path)
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether a frame has one row for each row of a scan that passes its filters."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.child()
+    return node.nodeName() in ("LogicalRelation", "Relation parquet") or node.nodeName().startswith("Relation")
+
+
+def numbered(df: DataFrame, uid: str, name: str) -> DataFrame:
+    """``df`` with a number for each row that is the same in every job, whatever executors come and go.
+
+    Rows of Parquet files are numbered by file and place in the file, without a copy. Other tables, and those of more
+    than ``MOST_FILES`` files, are written with their numbers. The upper bits tell file or part, as ``Notes`` needs.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(df.materialized_at)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    place: Callable = lambda: df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__nth"))
+    if _is_scan(df):
+        try:
+            files = place().select("__file").distinct().limit(MOST_FILES + 1).collect()
+        except AnalysisException:
+            files = []
+        if 0 < len(files) <= MOST_FILES:
+            order = spark.createDataFrame([(f, i) for i, f in enumerate(sorted(r[0] for r in files))], "__file string, __n long")
+            out = place().join(F.broadcast(order), "__file")
+            return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.shiftleft("__n", 33) + F.col("__nth")).alias(uid))
+    return materialize(df.withColumn(uid, F.monotonically_increasing_id()), name)
