@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.llm.best_fit_packing import best_fit_pack, default_vocabulary
-from maskloom.llm.common import materialize
+from maskloom.llm.common import discard, materialize, numbered
 from maskloom.llm.jaccard_join import jaccard_components
 from maskloom.llm.line_winnowing import MIN_WORDS, dedup_lines
 from maskloom.llm.repeated_bytes import remove_repeats
@@ -55,7 +55,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Of those with one doc_id the first row stays. Texts without words are linked with nothing and all stay.
     """
-    keyed = materialize(docs.withColumn("__uid", F.monotonically_increasing_id()), "pipeline-numbered")
+    keyed = numbered(docs, "__uid", "pipeline-numbered")
     slim = keyed.select(F.col("__uid").alias("doc_id"), "text")
     groups = jaccard_components(slim).select(F.col("doc_id").alias("__uid"), F.col("component_id").alias("__group"))
     ids = keyed.select("doc_id", "__uid").join(groups, "__uid")
@@ -94,7 +94,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
