@@ -9,9 +9,9 @@ import gc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialize, scratch
+from ..storage import discard, materialize, numbered, scratch, tidied
 
-__all__ = ["discard", "materialize", "scratch"]  # and what follows
+__all__ = ["discard", "materialize", "numbered", "scratch", "tidied"]  # and what follows
 
 
 def release(spark: SparkSession) -> None:
@@ -58,7 +58,7 @@ def fs_and_path(uri: str):
 
 
 class Notes:
-    """A small table (uid, ...) laid beside a large one whose rows were numbered by ``monotonically_increasing_id``.
+    """A small table (uid, ...) laid beside a large one whose rows were numbered by ``numbered``.
 
     Its rows are written in folders by the partition in a number's upper bits. A task of the large table reads the
     notes of the rows it meets from the shared folder: nothing of the large table is shuffled, and nothing is broadcast.

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release, trim_worker, trimmed
+from .common import discard, materialize, release, tidied, trim_worker, trimmed
 from .components import connected_components
 
 SHINGLE = 5
@@ -46,7 +46,6 @@ NUM, DEN = 75, 100  # a link: DEN * |both| >= NUM * |either|
 SMALL = 64  # below this size sets also index one-deletion neighbourhoods
 FEW = 8  # partners under one subset that are compared at once
 DOCS_PER_BUCKET = 3000
-MOST_BUCKETS = 16_384
 INDEX, NEXT, DELETED, SHORT = 0, 1, 2, 3  # kinds of signatures
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -444,8 +443,12 @@ def jaccard_components(docs: DataFrame, segments: Callable[[int], int] = segment
     rows out. Extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = min(MOST_BUCKETS, max(12, docs.count() // DOCS_PER_BUCKET))
-    salt = 0
+    with tidied(docs.sparkSession) as kept:
+        return kept(materialize(_components(docs, segments), "jaccard-result"))
+
+
+def _components(docs: DataFrame, segments: Callable[[int], int]) -> DataFrame:
+    buckets, salt = max(12, docs.count() // DOCS_PER_BUCKET), 0
     while True:
         scanned = materialize(scan_sets(docs, buckets, salt, segments), "jaccard-scan")
         sets = materialize(scanned.filter("kind = 0").select("doc_id", "n", "k1", "k2", "sketch"), "jaccard-sets")

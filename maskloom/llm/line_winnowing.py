@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, trimmed
+from .common import Notes, discard, materialize, numbered, tidied, trimmed
 
 MIN_RUN = 3
 MIN_WORDS = 50
@@ -108,6 +108,7 @@ def repeated_stretches(docs: DataFrame, min_run: int = MIN_RUN, gram: int = GRAM
     again = fps.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("fp")
     rows = fps.join(again, "fp").select("doc_id", "uid", F.explode("stretches").alias("x")).select("doc_id", "uid", "x.s", "x.n", "x.h")
     rows = materialize(rows, "lines-stretches")
+    discard(fps)
     place = F.struct(F.col("doc_id").alias("d"), F.col("uid").alias("u"), F.col("s").alias("p"))
     first = rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter(F.col("copies") > 1)
     return rows.join(first.select("h", "first"), "h").filter(place > F.col("first")).select("doc_id", "uid", "s", "n")
@@ -135,32 +136,30 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, gram: int = GRAM, min_w
     keeps an empty text. No rows in: no rows out. Other columns pass through, but for the names
     ``__uid``, ``__starts`` and those above, which are taken. A text of any size is one row of one task.
     """
-    # numbered once and written, so that every job sees the same numbers
-    keyed = materialize(docs.withColumn("__uid", F.monotonically_increasing_id()), "lines-documents")
+    keyed = numbered(docs, "__uid", "lines-documents")
     slim = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__uid").alias("uid"), F.col("text").cast("string"))
-    starts = repeated_stretches(slim, min_run, gram, min_words).groupBy("uid").agg(F.collect_set(F.struct("s", "n")).alias("__starts"))
-    joined = keyed.join(starts.withColumnRenamed("uid", "__uid"), "__uid", "left").drop("__uid")
-    names = joined.columns
-    text_at, starts_at = names.index("text"), names.index("__starts")
-    out = joined.drop("__starts")
+    with tidied(docs.sparkSession) as kept:
+        starts = repeated_stretches(slim, min_run, gram, min_words).groupBy("uid").agg(F.collect_set(F.struct("s", "n")).alias("starts"))
+        marks = kept(Notes(starts, "lines-repeats"))
+    names, out = docs.columns, docs
+    text_at, uid_at = keyed.columns.index("text"), keyed.columns.index("__uid")
     counts = ["__n_lines", "__n_removed", "__n_runs"]
     for c in counts:
         out = out.withColumn(c, F.lit(0).cast("long"))
 
     def cut(batches):
+        mark = marks.reader()
         for batch in batches:
-            got = [
-                remove_lines(t, s or [])
-                for t, s in zip(batch.column(text_at).to_pylist(), batch.column(starts_at).to_pylist())
-            ]
+            uids, texts = batch.column(uid_at).to_pylist(), batch.column(text_at).to_pylist()
+            got = [remove_lines(t, (mark(u) or ([],))[0]) for u, t in zip(uids, texts)]
             cols = list(zip(*got)) or [()] * 4
             columns = list(batch.columns)
             columns[text_at] = pa.array(cols[0], columns[text_at].type)
-            del columns[starts_at]
+            del columns[uid_at]
             columns += [pa.array(c, pa.int64()) for c in cols[1:]]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n != "__starts"] + counts)
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *counts])
 
-    return joined.mapInArrow(trimmed(cut), out.schema)
+    return keyed.mapInArrow(trimmed(cut), out.schema)
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

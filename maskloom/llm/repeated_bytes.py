@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Notes, discard, materialize, release, trim_worker, trimmed
+from .common import Notes, discard, materialize, numbered, release, tidied, trim_worker, trimmed
 from .prefix_free import OVERLAP, SuffixOrder, fingerprints16, join_hashes, triggers
 
 LENGTH = 400
@@ -391,28 +391,24 @@ def repeated_runs(texts: DataFrame, lead: DataFrame, length: int, keep: str, blo
     release(texts.sparkSession)
     cut = slices(texts.select("uid", "ord", "text"), places, length, block_bytes)
     rows = first = materialize(cut.withColumn("n", F.lit(1).cast("long")), "bytes-slices")
-    levels, cold, scratched = [], [], [places, first]
+    levels, cold = [], []
     last = int(np.ceil(np.log2(length)))
     while True:
         whole = materialize(distinct_slices(rows), "bytes-distinct")
-        scratched.append(whole)
         hot = whole.groupBy("anchor").agg(F.sum(F.length("text")).alias("bytes")).filter(F.col("bytes") > hot_bytes).select("anchor")
         hot = materialize(hot, "bytes-hot")
-        scratched.append(hot)
         if len(levels) > last or hot.isEmpty():
             cold.append(whole)
             break
         cold.append(whole.join(hot, "anchor", "left_anti"))
         split = whole.join(hot, "anchor", "left_semi")
         rows = materialize(split_slices(split, length, len(levels)), "bytes-split")
-        scratched.append(rows)
         levels.append((split, rows))
     every = cold[0]
     for c in cold[1:]:
         every = every.unionByName(c)
     size = every.agg(F.sum(F.length("text"))).first()[0] or 0
     found = materialize(repeated_places(every.drop("off"), length, int(size // PARTITION_BYTES) + 1), "bytes-found")
-    scratched.append(found)
     for split, parts in reversed(levels):  # what was found for parts, put together
         got = at_copies(parts.drop("text", "off"), found).groupBy("p_anchor", "p_d1", "p_d2")
         got = got.agg(_moved("again", "base").alias("some"), _moved("later", "base").alias("later"))
@@ -421,38 +417,36 @@ def repeated_runs(texts: DataFrame, lead: DataFrame, length: int, keep: str, blo
         parents = split.drop("off", "text").join(got, on).drop("p_anchor", "p_d1", "p_d2")
         parents = parents.withColumn("again", F.when(F.col("n") > 1, whole).otherwise(F.col("some"))).drop("some")
         found = materialize(found.unionByName(parents), "bytes-found")
-        scratched.append(found)
     runs = "again" if keep == "none" else "later"
     out = at_copies(first.drop("m", "off", "text", "n"), found).filter(F.size(runs) > 0)
     out = materialize(out.groupBy("uid").agg(_moved(runs, "pos").alias("runs")), "bytes-runs")
-    for table in scratched:
-        discard(table)
     release(texts.sparkSession)
     return out
 
 
 def keyed_texts(docs: DataFrame, text_col: str, order_col: str | None) -> DataFrame:
-    """(uid, ord, n, sha, text, row): numbered rows, written once, so that every job sees the same numbers."""
-    text = F.col(text_col).cast("string").cast("binary")
-    place = F.coalesce(F.col(order_col).cast("long"), F.lit(-(2**63)).cast("long")) if order_col else F.lit(0).cast("long")
+    """(uid, ord, n, sha, text, row): rows with numbers that every job sees alike."""
+    text = F.col(f"`{text_col}`").cast("string").cast("binary")
+    place = F.coalesce(F.col(f"`{order_col}`").cast("long"), F.lit(-(2**63)).cast("long")) if order_col else F.lit(0).cast("long")
     rows = docs.select(
-        F.monotonically_increasing_id().alias("uid"), place.alias("ord"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n"),
+        place.alias("ord"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n"),
         F.sha2(F.coalesce(text, F.lit("").cast("binary")), 256).alias("sha"), text.alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),
     )
-    return materialize(rows, "bytes-documents")
+    return numbered(rows, "uid", "bytes-documents")
 
 
-def removals(keyed: DataFrame, length: int, keep: str = "none", block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(uid, whole, runs) of the rows of (uid, ord, n, sha, text) that lose something: all bytes, or those of strings
+def removals(keyed: DataFrame, length: int, keep: str = "none", block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES) -> Notes:
+    """Notes (whole, runs) on the rows of (uid, ord, n, sha, text) that lose something: all bytes, or those of strings
     that start in the runs."""
-    long_ = keyed.filter(F.col("n") >= length)
-    lead = long_.groupBy("sha").agg(F.min(F.struct("ord", "uid")).alias("f"), F.count("*").alias("copies"))
-    lead = materialize(lead.select("f.uid", "copies"), "bytes-leads")
-    runs = repeated_runs(long_.select("uid", "ord", "text"), lead, length, keep, block_bytes, hot_bytes)
-    copy = F.col("copies").isNull() | (F.col("copies") > (1 if keep == "none" else 2**62))
-    out = long_.select("uid").join(lead, "uid", "left").join(runs, "uid", "left")
-    return out.select("uid", copy.alias("whole"), "runs").filter(F.col("whole") | F.col("runs").isNotNull())
+    with tidied(keyed.sparkSession) as kept:
+        long_ = keyed.filter(F.col("n") >= length)
+        lead = long_.groupBy("sha").agg(F.min(F.struct("ord", "uid")).alias("f"), F.count("*").alias("copies"))
+        lead = materialize(lead.select("f.uid", "copies"), "bytes-leads")
+        runs = repeated_runs(long_.select("uid", "ord", "text"), lead, length, keep, block_bytes, hot_bytes)
+        copy = F.col("copies").isNull() | (F.col("copies") > (1 if keep == "none" else 2**62))
+        out = long_.select("uid").join(lead, "uid", "left").join(runs, "uid", "left")
+        return kept(Notes(out.select("uid", copy.alias("whole"), "runs").filter(F.col("whole") | F.col("runs").isNotNull()), "bytes-losses"))
 
 
 def _spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
@@ -464,9 +458,8 @@ def _spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
     return list(zip(s[cut].tolist(), e[np.append(cut[1:], len(s)) - 1].tolist()))
 
 
-def kept_texts(keyed: DataFrame, removed: DataFrame, length: int, hashed: bool = False) -> DataFrame:
+def kept_texts(keyed: DataFrame, losses: Notes, length: int, hashed: bool = False) -> DataFrame:
     """(uid, kept, n_removed, n_spans) of the rows that lose something; ``hashed`` gives the digest of what is kept."""
-    losses = Notes(removed.select("uid", "whole", "runs"), "bytes-losses")
     kind = pa.string() if hashed else pa.binary()
 
     def run(batches):
@@ -499,7 +492,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     names, pass through. A text of any size is one row of one task.
     """
     keyed = keyed_texts(docs, text_col, order_col if order_col in docs.columns else None)
-    losses = Notes(removals(keyed, length, keep).select("uid", "whole", "runs"), "bytes-losses")
+    losses = removals(keyed, length, keep)
 
     def cut(batches):
         loss = losses.reader()
