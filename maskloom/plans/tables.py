@@ -39,7 +39,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles from lineitem: page = order, type = return flag."""
-    li = lines(spark, sf_dir).filter("l_linenumber <= 3")
+    li = lines(spark, sf_dir)
     x0 = (F.col("l_suppkey") % 50 * 4).cast("double")
     y0 = (F.col("l_linenumber") * 20).cast("double")
     return li.select(
@@ -50,13 +50,14 @@ def truth_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRUTHS = f"""SELECT l_orderkey % 5000 AS page, l_returnflag AS kind, l_orderkey * 10 + l_linenumber AS truth_id,
   CAST(l_suppkey % 50 * 4 AS DOUBLE) AS x0, CAST(l_linenumber * 20 AS DOUBLE) AS y0,
-  CAST(l_suppkey % 50 * 4 AS DOUBLE) + 40 AS x1, CAST(l_linenumber * 20 AS DOUBLE) + 10 AS y1 FROM {LINES} WHERE l_linenumber <= 3"""
+  CAST(l_suppkey % 50 * 4 AS DOUBLE) + 40 AS x1, CAST(l_linenumber * 20 AS DOUBLE) + 10 AS y1 FROM {LINES}"""
 
 
 def candidate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rectangles of two lines in three, shifted by their part, with a rule and a confidence."""
-    li = lines(spark, sf_dir).filter("l_linenumber <= 4 AND l_partkey % 3 <> 0")
-    x0 = (F.col("l_suppkey") % 50 * 4 + F.col("l_partkey") % 8).cast("double")
+    """The rectangles of all lines, shifted by their part, one in three far off the page, with a rule and a confidence."""
+    li = lines(spark, sf_dir)
+    far = F.when(F.col("l_partkey") % 3 == 0, 1000).otherwise(0)
+    x0 = (F.col("l_suppkey") % 50 * 4 + F.col("l_partkey") % 8 + far).cast("double")
     y0 = (F.col("l_linenumber") * 20).cast("double")
     return li.select(
         (F.col("l_orderkey") % 5000).alias("page"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cand_id"),
@@ -67,11 +68,11 @@ def candidate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CANDIDATES = f"""SELECT l_orderkey % 5000 AS page, l_returnflag AS kind, l_orderkey * 10 + l_linenumber AS cand_id,
-  CAST(l_suppkey % 50 * 4 + l_partkey % 8 AS DOUBLE) AS x0, CAST(l_linenumber * 20 AS DOUBLE) AS y0,
-  CAST(l_suppkey % 50 * 4 + l_partkey % 8 AS DOUBLE) + 41 AS x1, CAST(l_linenumber * 20 AS DOUBLE) + 10 AS y1,
+  CAST(l_suppkey % 50 * 4 + l_partkey % 8 + CASE WHEN l_partkey % 3 = 0 THEN 1000 ELSE 0 END AS DOUBLE) AS x0, CAST(l_linenumber * 20 AS DOUBLE) AS y0,
+  CAST(l_suppkey % 50 * 4 + l_partkey % 8 + CASE WHEN l_partkey % 3 = 0 THEN 1000 ELSE 0 END AS DOUBLE) + 41 AS x1, CAST(l_linenumber * 20 AS DOUBLE) + 10 AS y1,
   'rule_' || CAST(l_partkey % 5 AS VARCHAR) AS rule,
   CASE WHEN l_quantity < 15 THEN 'LOW' WHEN l_quantity < 35 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence
-  FROM {LINES} WHERE l_linenumber <= 4 AND l_partkey % 3 <> 0"""
+  FROM {LINES}"""
 
 MATCHES = f"""truths AS ({TRUTHS}), cands AS ({CANDIDATES}), matches AS (
   SELECT page, kind, truth_id, cand_id, least(1.0, inter / 400.0) AS coverage,
