@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import trimmed
@@ -293,22 +293,24 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 4000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 4000, max_train_chars: int = 200_000) -> ToxicityModel:
     """Fit on labelled rows outside the held-out fold.
 
     Rows of ``labels`` with a null id or label take no part; an id labelled twice counts as toxic if once so
-    labelled. The sample has at most ``max_train_rows`` ids, so it may be broadcast and collected. Without labels of
-    both kinds the model gives every text the share of label 1.
+    labelled. The sample has at most ``max_train_rows`` ids, half of each label, the first by a hash of the id, so it
+    may be broadcast and collected; of rows with one doc_id the text that sorts first is taken, and texts of more than
+    ``max_train_chars`` characters are not learnt from. Without labels of both kinds the model gives every text the
+    share of label 1.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).withColumn("place", F.xxhash64("doc_id"))
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    order = Window.partitionBy("label").orderBy("place", "doc_id")
-    picked = known.withColumn("place", F.xxhash64("doc_id"))
-    picked = picked.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max_train_rows // 2)
-    text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = text.join(F.broadcast(picked.select("doc_id", "label")), "doc_id").select("doc_id", "text", "label").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    half = max_train_rows // 2
+    picked = [known.filter(F.col("label") == x).orderBy("place", "doc_id").limit(half) for x in (0, 1)]
+    picked = picked[0].unionByName(picked[1]).select("doc_id", "label")
+    text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= max_train_chars)
+    rows = text.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = rows.select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit(rows["text"].to_pylist(), rows["label"].to_numpy(), (totals.get(0, 0), totals.get(1, 0)))
 
 
