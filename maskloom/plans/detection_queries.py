@@ -89,8 +89,8 @@ _JAPANESE = [
     (6, "〒100-0001 番号123412341234 tok_abcdef12"),
 ]
 _FOUND = [
-    (1, "氏名", 0, 8), (1, "住所", 13, 26), (1, "電話番号", 36, 49), (2, "銀行口座", 14, 21), (2, "パスワード", 28, 34), (2, "氏名", 3, 5),
-    (3, "氏名", 0, 2), (3, "予定日時", 6, 13), (3, "組織名", 13, 18), (6, "郵便番号", 0, 9), (6, "個人番号", 12, 24), (6, "APIキー", 25, 37),
+    (1, "氏名", 0, 8), (1, "住所", 13, 26), (1, "電話番号", 36, 49), (2, "氏名", 3, 5), (2, "銀行口座", 13, 20), (2, "パスワード", 27, 33),
+    (3, "氏名", 0, 2), (3, "予定日時", 6, 13), (6, "郵便番号", 0, 9), (6, "個人番号", 12, 24), (6, "APIキー", 25, 37),
 ]
 
 

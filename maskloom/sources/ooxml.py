@@ -25,6 +25,7 @@ NS = {
 }
 W, A, P, S, R = ("{" + NS[k] + "}" for k in "wapsr")
 KINDS = ("docx", "pptx", "xlsx", "xlsm")
+DAMAGED = (zipfile.BadZipFile, ET.ParseError, KeyError, IndexError, AttributeError, TypeError, ValueError)
 
 # What in a package is counted as not handled, by part name or by marker in its text.
 PART_FEATURES = (
@@ -33,6 +34,9 @@ PART_FEATURES = (
     ("pivot", r"/pivot"), ("external_link", r"/externalLinks/"),
 )
 TEXT_FEATURES = (("tracked_insert", "<w:ins "), ("tracked_delete", "<w:del "), ("text_box", "<w:txbxContent"), ("field_code", "<w:instrText"), ("drawing", "<w:drawing"))
+PROPERTIES = (
+    "creator", "category", "description", "contentStatus", "identifier", "keywords", "language", "lastModifiedBy", "subject", "title", "version",
+)
 UNITS = (
     "file_id string, unit_id string, unit_ord long, container string, story string, section int, table_idx int, row_idx int, cell_idx int, "
     "para_idx int, text string, runs array<struct<run_index:int,char_start:int,char_end:int,text:string,url:string>>"
@@ -48,6 +52,14 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return b.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file_id"), kind.alias("kind"), F.sha2("content", 256).alias("sha256"), "content").filter(kind.isin(*KINDS))
 
 
+def refused_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, kind, reason) of files below a path that are not read: with macros, or of another kind."""
+    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    reason = F.when(kind.isin("docm", "pptm"), "MACROS").when(kind == "", "NO_EXTENSION").otherwise("OTHER_KIND")
+    return b.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file_id"), kind.alias("kind"), reason.alias("reason")).filter(~kind.isin(*KINDS))
+
+
 def _xml(z: zipfile.ZipFile, name: str):
     return ET.fromstring(z.read(name)) if name in z.namelist() else None
 
@@ -123,7 +135,7 @@ def _properties(file_id, z, n):
     """Core properties with a text, so that they pass the same detector."""
     core = _xml(z, "docProps/core.xml")
     for i, e in enumerate(core if core is not None else ()):
-        if e.text and e.text.strip():
+        if e.tag.rpartition("}")[2] in PROPERTIES and e.text and e.text.strip():
             yield _unit(file_id, n + i, "property", e.tag.rpartition("}")[2], (0, None, None, None, i), [(e.text, None)])
 
 
@@ -188,9 +200,10 @@ def _mapped(files: DataFrame, schema: str, parsers: dict) -> DataFrame:
                 if kind in parsers:
                     try:
                         rows = list(parsers[kind](file_id, bytes(content)))
-                    except (zipfile.BadZipFile, ET.ParseError, KeyError):
-                        continue
-                    yield pd.DataFrame(rows, columns=names).astype({n: "Int32" for n in ("section", "table_idx", "row_idx", "cell_idx", "para_idx") if n in names})
+                    except DAMAGED as e:
+                        known = {"file_id": file_id, "unit_id": "error", "unit_ord": 0, "container": "error", "story": type(e).__name__, "value_type": "error", "value": type(e).__name__, "part": "error", "kind": "error"}
+                        rows = [tuple(known.get(n) for n in names)]
+                    yield pd.DataFrame(rows, columns=names).astype({n: "Int32" for n in ("section", "table_idx", "row_idx", "cell_idx", "para_idx", "sheet_ord", "row", "col", "hidden_rows", "hidden_cols", "validations", "formats", "tables") if n in names} | {n: "Int64" for n in ("size",) if n in names} | {n: "boolean" for n in ("is_formula",) if n in names})
 
     return files.select("file_id", "kind", "content").mapInPandas(run, schema)
 
@@ -221,3 +234,28 @@ def unsupported(package: DataFrame) -> DataFrame:
     by_text = F.array(*[F.struct(F.lit(n).alias("feature"), F.regexp_count(F.coalesce("content", F.lit("")), F.lit(m)).alias("count")) for n, m in TEXT_FEATURES])
     found = package.select("file_id", "part", F.explode(F.filter(F.concat(by_part, by_text), lambda x: x.isNotNull() & (x["count"] > 0))).alias("x"))
     return found.groupBy("file_id", F.col("x.feature").alias("feature"), "part").agg(F.sum("x.count").alias("count"))
+
+
+SURFACES = "file_id string, kind string, sheet string, state string, hidden_rows int, hidden_cols int, validations int, formats int, tables int"
+
+
+def sheet_surfaces(file_id: str, data: bytes):
+    """What of a sheet is not seen, and what stands beside its cells."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        book, rels = _xml(z, "xl/workbook.xml"), _relations(z, "xl/workbook.xml")
+        for sheet in book.iter(S + "sheet"):
+            root = _xml(z, posixpath.normpath(posixpath.join("xl", rels[sheet.get(R + "id")])))
+            hidden = lambda tag, root=root: sum(e.get("hidden") in ("1", "true") for e in root.iter(S + tag))
+            n = lambda tag, root=root: sum(1 for _ in root.iter(S + tag))
+            yield (file_id, "sheet", sheet.get("name"), sheet.get("state", "visible"), hidden("row"), hidden("col"), n("dataValidation"), n("conditionalFormatting"), n("tablePart"))
+
+
+def surfaces(files: DataFrame) -> DataFrame:
+    return _mapped(files, SURFACES, {"xlsx": sheet_surfaces, "xlsm": sheet_surfaces})
+
+
+def unread_text(package: DataFrame) -> DataFrame:
+    """(file_id, part, nodes): text nodes of document and slide parts that the text path does not read."""
+    read = r"^(?:word/(?:document|header\d*|footer\d*)|ppt/(?:slides/slide|notesSlides/notesSlide)\d+|docProps/.*)\.xml$"
+    nodes = F.regexp_count(F.coalesce("content", F.lit("")), F.lit(r"<(?:w|a):t[ >]"))
+    return package.filter(~F.col("part").rlike(read)).select("file_id", "part", nodes.alias("nodes")).filter("nodes > 0")

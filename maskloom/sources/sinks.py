@@ -16,6 +16,35 @@ def write_findings(findings: DataFrame, path: str, with_originals: bool = False)
     findings.select(*cols).write.mode("overwrite").option("header", True).csv(path)
 
 
+# The columns of findings by kind of file.
+LAYOUTS = {
+    "xlsx": ("変換", "処理状態", "シート", "セル", "種類", "検査", "検出値", "変換後", "理由"),
+    "docx": ("変換", "処理状態", "位置", "種類", "検出ルール", "信頼度", "検出値", "変換後", "理由"),
+    "pptx": ("変換", "処理状態", "スライド", "位置", "種類", "検出ルール", "信頼度", "検出値", "変換後", "理由"),
+    "pdf": ("変換", "処理状態", "ページ", "位置", "種類", "検査", "検出値", "変換後", "理由"),
+}
+SOURCES = {
+    "変換": "enabled", "処理状態": "status", "シート": "sheet", "セル": "cell", "位置": "location", "スライド": "page", "ページ": "page", "種類": "category",
+    "検査": "detection", "検出ルール": "rule", "信頼度": "confidence", "検出値": "original", "変換後": "replacement", "理由": "reason",
+}
+
+
+def finding_rows(findings: DataFrame, kind: str, review: bool = False) -> DataFrame:
+    """Findings under the headers of a kind of file; ``review`` adds two empty columns to be filled in by hand."""
+    cols = [F.col(SOURCES[h]).alias(h) for h in LAYOUTS[kind]]
+    if review:
+        cols += [F.lit("").alias("問題分類"), F.lit("").alias("期待値")]
+    return findings.select(*cols)
+
+
+def file_reports(findings: DataFrame, warnings: DataFrame, unsupported: DataFrame) -> DataFrame:
+    """One row a file: findings, enabled and excluded ones, formulas kept as findings say, warnings, unsupported parts."""
+    f = findings.groupBy("file_id").agg(F.count("*").alias("findings"), F.count_if("enabled").alias("enabled"), F.count_if("excluded").alias("excluded"), F.countDistinct("category").alias("categories"))
+    w = warnings.groupBy("file_id").agg(F.count("*").alias("warnings"))
+    u = unsupported.groupBy("file_id").agg(F.sum("count").cast("long").alias("unsupported"))
+    return f.join(w, "file_id", "full_outer").join(u, "file_id", "full_outer").na.fill(0)
+
+
 def audit_records(findings: DataFrame, key: bytes) -> DataFrame:
     """One JSON record per finding with the keyed digest of its original, never the original."""
     digest = hmac_sha256(key)

@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from maskloom.operators.rules import PROFILES
-from maskloom.sources import ooxml, sinks, tables
+from maskloom.sources import ooxml, packages, sinks, tables
 from maskloom.streaming.detection import detected_stream, grow_alias_book, windowed_counts
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -55,7 +55,7 @@ def test_word_units_runs_and_features(spark, tmp_path):
     assert f.count() == 3
     units = ooxml.text_units(f)
     got = {(r.container, r.story, r.text) for r in units.collect()}
-    assert got == {("paragraph", "body", "Ann Lee\tmail"), ("table_cell", "body", "cell"), ("paragraph", "header", "head"), ("property", "creator", "Eve")}
+    assert got == {("error", "BadZipFile", None), ("paragraph", "body", "Ann Lee\tmail"), ("table_cell", "body", "cell"), ("paragraph", "header", "head"), ("property", "creator", "Eve")}
     first = units.filter("text like 'Ann%'").first()
     assert [(r.char_start, r.char_end) for r in first.runs] == [(0, 4), (4, 8), (8, 12)]
     assert [r.url for r in ooxml.hyperlinks(units).collect()] == ["mailto:a@b.example"]
@@ -64,7 +64,7 @@ def test_word_units_runs_and_features(spark, tmp_path):
 
 
 def test_sheet_cells(spark, tmp_path):
-    got = {(r.coord, r.col, r.value, r.is_formula) for r in ooxml.cells(files(spark, tmp_path)).collect()}
+    got = {(r.coord, r.col, r.value, r.is_formula) for r in ooxml.cells(files(spark, tmp_path)).filter("value_type <> 'error'").collect()}
     assert got == {("A1", 1, "氏名", False), ("AB1", 28, "2", True)}
 
 
@@ -113,3 +113,63 @@ def test_streamed_alias_book_grows(spark, tmp_path):
 def test_windowed_counts(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     assert windowed_counts(e).agg(F.sum("n")).first()[0] == e.count()
+
+
+P = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+SLIDE = f"<p:sld {P}><p:sp><a:p><a:r><a:t>Ann</a:t></a:r><a:r><a:t> Lee</a:t></a:r></a:p></p:sp><a:tbl><a:tr><a:tc><a:p><a:r><a:t>x</a:t></a:r></a:p></a:tc></a:tr></a:tbl></p:sld>"
+BAD_BOOK = package({"xl/worksheets/sheet1.xml": "<a/>"})
+
+
+def test_slides_damaged_and_refused_files(spark, tmp_path):
+    (tmp_path / "s.pptx").write_bytes(package({"ppt/slides/slide2.xml": SLIDE}))
+    (tmp_path / "bad.xlsx").write_bytes(BAD_BOOK)
+    (tmp_path / "m.docm").write_bytes(b"x")
+    f = ooxml.read_files(spark, str(tmp_path))
+    units = {(r.unit_id, r.text) for r in ooxml.text_units(f).collect()}
+    assert units == {("shape_text:slide:2:None:None:None:0", "Ann Lee"), ("table_cell:slide:2:0:0:0:0", "x")}
+    assert [(r.file_id, r.value_type, r.value) for r in ooxml.cells(f).collect()] == [("bad.xlsx", "error", "AttributeError")]
+    assert [(r.file_id, r.reason) for r in ooxml.refused_files(spark, str(tmp_path)).collect()] == [("m.docm", "MACROS")]
+
+
+def test_surfaces_and_unread_text(spark, tmp_path):
+    f = files(spark, tmp_path)
+    assert [(r.sheet, r.state, r.hidden_rows) for r in ooxml.surfaces(f).filter("kind = 'sheet'").collect()] == [("S", "visible", 0)]
+    parts = spark.createDataFrame([("f", "word/footnotes.xml", "<w:t>a</w:t><w:t x>b</w:t>"), ("f", "word/document.xml", "<w:t>")], "file_id string, part string, content string")
+    assert [(r.part, r.nodes) for r in ooxml.unread_text(parts).collect()] == [("word/footnotes.xml", 2)]
+
+
+def test_edits_are_written_into_packages(spark, tmp_path):
+    f = files(spark, tmp_path).filter("file_id <> 'c.docx'")
+    edits = [("a.docx", "paragraph:body:0:None:None:None:0", 0, "X "), ("a.docx", "paragraph:body:0:None:None:None:0", 1, ""), ("a.docx", "paragraph:header:1:None:None:None:0", 0, "H"), ("b.xlsx", "S!A1", 0, "<名>")]
+    out = packages.converted(f, spark.createDataFrame(edits, "file_id string, place string, run int, text string"))
+    units = {r.unit_id: r.text for r in ooxml.text_units(out).collect()}
+    assert units["paragraph:body:0:None:None:None:0"] == "X mail" and units["paragraph:header:1:None:None:None:0"] == "H" and units["table_cell:body:0:0:0:0:0"] == "cell"
+    assert {(r.coord, r.value, r.is_formula) for r in ooxml.cells(out).collect()} == {("A1", "<名>", False), ("AB1", "2", True)}
+    before, after = ({(r.file_id, r.part) for r in ooxml.parts(x).collect()} for x in (f, out))
+    assert before == after
+
+
+def test_finding_layouts_and_reports(spark):
+    row = {"enabled": True, "status": "s", "sheet": "S", "cell": "A1", "location": "l", "page": 1, "category": "c", "detection": "d", "rule": "r", "confidence": 0.5, "original": "o", "replacement": "p", "reason": "w", "file_id": "f", "excluded": False}
+    f = spark.createDataFrame([row])
+    for kind, headers in sinks.LAYOUTS.items():
+        assert sinks.finding_rows(f, kind).columns == list(headers)
+        assert sinks.finding_rows(f, kind, review=True).columns[-2:] == ["問題分類", "期待値"]
+    w = spark.createDataFrame([("f", "x"), ("g", "y")], "file_id string, text string")
+    u = spark.createDataFrame([("f", 3)], "file_id string, count int")
+    got = {r.file_id: (r.findings, r.enabled, r.warnings, r.unsupported) for r in sinks.file_reports(f, w, u).collect()}
+    assert got == {"f": (1, 1, 1, 3), "g": (0, 0, 1, 0)}
+
+
+def test_numbers_do_not_depend_on_the_job(spark, sf, tmp_path):
+    from maskloom.storage import numbered, tidied
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
+    with tidied(spark) as kept:
+        a = kept(numbered(docs.repartition(3), "uid", "t"))
+    b = numbered(docs, "uid", "t")
+    for df in (a, b):
+        first = {r.doc_id: r.uid for r in df.collect()}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        assert first == {r.doc_id: r.uid for r in df.collect()} and len(set(first.values())) == len(first)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
