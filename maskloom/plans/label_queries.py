@@ -170,3 +170,80 @@ def error_causes(spark, sf_dir):
 def quick_ratios(spark, sf_dir):
     left, right = F.concat(F.lit("x"), F.col("c").cast("string")), F.concat(F.lit("x"), (F.col("c") % 100).cast("string"))
     return orders(spark, sf_dir).select("id", F.round(L.quick_ratio(left, right), 9).alias("ratio"))
+
+
+PLACES = ("東京都港区芝1", "愛知県名古屋市中区栄", "大阪市北区梅田", "Tokyo Minato-ku 1", "不明")
+
+
+@query(f"""SELECT id, format('{{:,}}', (c * 1000 // 5000 * 5000)::BIGINT) || '～' || format('{{:,}}', (c * 1000 // 5000 * 5000 + 4999)::BIGINT) || '円' AS yen,
+  {pick_sql(('東京都港区', '愛知県名古屋市中区', '大阪府大阪市北区', '東京都港区', ''), 'c')} AS city, {pick_sql(('東京都', '愛知県', '大阪府', '東京都', '不明'), 'c')} AS prefecture,
+  CASE WHEN id % 2 = 0 THEN '金融機関001 普通 ****' ELSE '口座 ****' END || right(lpad(c::VARCHAR, 7, '0'), 3) AS account, {pick_sql(('山田', '佐藤', '田中'), 'c')} AS bare,
+  c % 4 < 3 AS doubtful, CASE WHEN c % 2 = 0 THEN 8 ELSE 0 END AS roles, sha256(c::VARCHAR) AS digest FROM {O}""")
+def masked_values(spark, sf_dir):
+    """Ranges in yen, addresses by city and prefecture, accounts, names without honorific, doubtful names, roles, digests."""
+    from ..functions import generalise as G
+    from ..functions import text as T
+    from ..functions.variants import role_variants
+
+    c, i = F.col("c"), F.col("id")
+    number = F.lpad(c.cast("string"), 7, "0")
+    account = F.when(i % 2 == 0, F.concat(F.lit("青空銀行 普通 "), number)).otherwise(F.concat(F.lit("口座 "), number))
+    place = pick(PLACES, c)
+    return orders(spark, sf_dir).select(
+        "id", G.yen_range((c * 1000).cast("double"), 5000).alias("yen"), G.generalise_address(place).alias("city"), G.prefecture_only(place).alias("prefecture"),
+        G.mask_bank_account(account, F.lit("金融機関001")).alias("account"), T.strip_honorific(pick(("山田さん", "佐藤様", "田中"), c)).alias("bare"),
+        T.is_ambiguous_name(pick(("山田さん", "やまだ", "TARO", "山田太郎"), c)).alias("doubtful"), F.size(role_variants(pick(("森", "山田太郎"), c), F.lit("個人001"))).alias("roles"),
+        F.sha2(c.cast("string"), 256).alias("digest"),
+    )
+
+
+@query(f"""SELECT DISTINCT CASE WHEN c % 4 = 0 THEN 'ab' WHEN c % 4 = 1 THEN '個人' || lpad((c % 1000)::VARCHAR, 3, '0') ELSE 'name' || c END AS value, 'x' AS category FROM {O} WHERE c % 4 > 1""")
+def sensitive_originals(spark, sf_dir):
+    """Originals worth looking for: neither short nor aliases already."""
+    from ..operators.verify import sensitive_values
+
+    c = F.col("c")
+    v = F.when(c % 4 == 0, "ab").when(c % 4 == 1, F.concat(F.lit("個人"), F.lpad((c % 1000).cast("string"), 3, "0"))).otherwise(F.concat(F.lit("name"), c.cast("string")))
+    return sensitive_values(orders(spark, sf_dir).select(v.alias("original"), F.lit("x").alias("category")))
+
+
+@query(f"SELECT id, 'AI候補' AS detection, FALSE AS enabled, '自然言語処理(信頼度0.50)' AS reason FROM {O} WHERE c % 2 = 1")
+def model_findings(spark, sf_dir):
+    """A model's spans count where no other finding lies, and start switched off."""
+    from ..operators.cells import model_findings as found
+
+    o = orders(spark, sf_dir).select(F.lit("f").alias("file_id"), F.lit("s").alias("sheet"), F.lit(0).alias("sheet_ord"), F.col("id").alias("row"), F.lit(1).alias("col"), "c")
+    spans = o.select("file_id", "sheet", "sheet_ord", "row", "col", F.lit(3).alias("start"), F.lit(8).alias("end"), F.lit("会社名").alias("category"), F.lit("abcde").alias("text"), F.lit("法人001").alias("replacement"))
+    covered = o.select("file_id", "sheet", "row", "col", F.when(F.col("c") % 2 == 0, 0).otherwise(8).alias("start"), F.when(F.col("c") % 2 == 0, 5).otherwise(9).alias("end"))
+    return found(spans, covered).select(F.col("row").alias("id"), "detection", "enabled", "reason")
+
+
+@query(f"SELECT c % 20 AS sheet, 'v' || (c % 7) AS original, min(id) AS ord FROM {O} GROUP BY 1, 2")
+def distinct_findings(spark, sf_dir):
+    """Of equal findings the first."""
+    from ..operators.cells import distinct_findings as first
+
+    f = orders(spark, sf_dir).select((F.col("c") % 20).alias("sheet"), F.concat(F.lit("v"), (F.col("c") % 7).cast("string")).alias("original"), F.col("id").alias("ord"))
+    return first(f, ["sheet", "original"])
+
+
+@query(f"""SELECT id, count(*) FILTER (WHERE i * 10 + 5 + c % 10 <= 50) AS n FROM {O}, (VALUES (0), (1), (2), (3), (4), (5)) AS t(i) GROUP BY 1""")
+def words_in_rects(spark, sf_dir):
+    """Words of a page whose centre lies in a rectangle."""
+    from ..operators.spatial import words_in_rect
+
+    o = orders(spark, sf_dir)
+    w = o.select(F.lit("f").alias("file_id"), F.col("id").alias("page"), "c", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    x = F.col("i") * 10 + F.col("c") % 10
+    words = w.select("file_id", "page", x.cast("double").alias("x0"), F.lit(0.0).alias("y0"), (x + 10).cast("double").alias("x1"), F.lit(10.0).alias("y1"))
+    rects = o.select(F.lit("f").alias("file_id"), F.col("id").alias("page"), F.col("id").alias("rect_id"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(50.0).alias("x1"), F.lit(50.0).alias("y1"))
+    return words_in_rect(words, rects).groupBy(F.col("rect_id").alias("id")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) >= 20 AND doc_id % 3 > 0 THEN 'text' ELSE 'ocr' END AS mode FROM documents")
+def page_modes(spark, sf_dir):
+    """Pages with enough text and spans are read by their text layer."""
+    from ..sources.tables import page_mode
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 3).alias("n_spans"))
+    return page_mode(d).select("doc_id", "mode")
