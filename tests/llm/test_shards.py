@@ -49,6 +49,33 @@ def test_all_linked_few_rows_and_none(spark):
     assert balanced_shards(spark.createDataFrame([], TYPE)).count() == 0
 
 
+def cut_edges(rows, shard_of):
+    """Pairs of equal texts, neighbours by place, that lie in two shards."""
+    last, cut = {}, 0
+    for i, t in rows:
+        if t is not None and t in last:
+            cut += shard_of[last[t]] != shard_of[i]
+        last[t] = i
+    return cut
+
+
+def test_few_edges_are_cut(spark):
+    """Groups that fit are cut hardly ever: no more than one edge in ten, where chance would cut three in four."""
+    rows = [(i, f"copy {i % 25}") for i in range(200)]
+    got = {r.doc_id: r.shard for r in balanced_shards(spark.createDataFrame([(*r, "x", 1) for r in rows], TYPE), 4).collect()}
+    assert cut_edges(rows, got) <= 0.1 * (200 - 25) < 0.75 * cut_edges(rows, {i: i % 4 for i in range(200)})
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a"), (None, "a"), (None, None)] + [(7, "same")] * 40 + [(8, f"t{i}") for i in range(21)]
+    got = balanced_shards(spark.createDataFrame([(*r, "x", 1) for r in rows], TYPE), 4).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and {len(v) for v in slots.values()} == {16}
+
+
 def test_plan_has_no_python(spark, sf):
     from maskloom.llm.balanced_shards import op3_shards
 

@@ -85,3 +85,27 @@ def test_bounds_hold_mostly():
     rot = rotation(64, 1)
     est, err = estimate(q, rot, *encode(m, rot), 2.5)
     assert (np.abs(est - q @ m.T) <= err).mean() > 0.97
+
+
+def test_code_search_on_odd_rows(spark):
+    """Null, non-finite, zero and empty vectors take no part; copies are candidates, ties go to the smaller id."""
+    rows = odd_rows()
+
+    def key(x):
+        ok = x is not None and all(v is not None and np.isfinite(v) for v in x) and any(x)
+        return np.array(x, float) if ok else None
+
+    want = brute(rows, 20, 20, key)
+    got = {}
+    for r in coded_search(frame(spark, [(i, x, 1, "a") for i, x in rows]), 20, 20, rows_per_block=64, queries_per_block=4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(want)
+    hit = total = 0
+    for q, lists in want.items():
+        if len(lists) > 1:  # a repeated id: both rows are asked for
+            assert len(got[q]) == 40
+            continue
+        found = sorted(got[q])
+        assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
+        hit, total = hit + len({v for _, v, _ in found} & {v for v, _ in lists[0]}), total + len(lists[0])
+    assert hit / total >= 0.9
