@@ -45,7 +45,7 @@ SHINGLE = 5
 NUM, DEN = 75, 100  # a link: DEN * |both| >= NUM * |either|
 SMALL = 64  # below this size sets also index one-deletion neighbourhoods
 FEW = 8  # partners under one subset that are compared at once
-DOCS_PER_BUCKET = 3000
+DOCS_PER_BUCKET = 1500  # a bucket's signatures are sorted in one worker
 INDEX, NEXT, DELETED, SHORT = 0, 1, 2, 3  # kinds of signatures
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
