@@ -139,24 +139,11 @@ def label_value_pairs(spark, sf_dir):
     return S.label_values(lines).select("label", "kind", "text", "place")
 
 
-@query("SELECT * FROM " + values_sql([(0, 0, 0), (0, 1, 0), (1, 0, 1), (1, 1, 2), (2, 0, 3)], "block, line, vrow"))
-def visual_rows(spark, sf_dir):
-    return S.visual_rows(S.line_boxes(inline(spark, _WORDS, _WORD_SCHEMA))).select("block", "line", "vrow")
-
-
 @query("SELECT TRUE AS financial, FALSE AS explanatory, FALSE AS bank_guide")
 def page_context(spark, sf_dir):
     return S.page_context(S.line_boxes(inline(spark, _WORDS, _WORD_SCHEMA))).select("financial", "explanatory", "bank_guide")
 
 
-_CANDS = [("f", 1, 1, "氏名", 1, 0.0, 0.0, 10.0, 10.0), ("f", 1, 2, "氏名", 2, 1.0, 0.0, 11.0, 10.0), ("f", 1, 3, "住所", 1, 0.0, 0.0, 10.0, 10.0), ("f", 1, 4, "氏名", 3, 50.0, 0.0, 60.0, 10.0)]
-
-
-@query("SELECT * FROM " + values_sql([(1,), (3,), (4,)], "cand_id"))
-def spatial_dedupe(spark, sf_dir):
-    return S.spatial_dedupe(inline(spark, _CANDS, "file_id string, page int, cand_id int, kind string, rank int, x0 double, y0 double, x1 double, y1 double")).select("cand_id")
-
-
 @query("SELECT * FROM " + values_sql([(1, 20), (2, 10)], "item_id, finding_id"))
 def greedy_assignment(spark, sf_dir):
     schema = "file_id string, page int, kind string, {0} long, y0 double, y1 double"
