@@ -1,20 +1,21 @@
 """Vectors in packed blocks, and the grid of query blocks against all blocks.
 
 A vector search compares a stated query set with all rows. Both sides are dealt by a hash of the row into
-blocks of bounded size; each pair of blocks is one row of the grid, scored by one call of a numpy function.
+blocks of bounded size; each pair of blocks is scored by one call of a numpy function. Either the pairs are rows of
+a grid, or the tasks that hold blocks read the query blocks from the shared folder, one after the other.
 Nothing is broadcast, no block grows with the input, and copies of one vector spread over all blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fs_and_path, materialize
 
 BLOCK_SCHEMA = "dim int, block int, n int, ids binary, vecs binary"
 QUERY_SCHEMA = "dim int, qb int, qn int, qids binary, qblock binary, qpos binary, qvecs binary"
@@ -96,6 +97,38 @@ def grid(blocks: DataFrame, queries: DataFrame, n_blocks: int, n_query_blocks: i
     return left.join(right, ["dim", "block", "qb"])
 
 
+def rows_of(path: str) -> Iterator:
+    """The rows of a materialized table, few at a time, read by a task from the shared folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, root = fs_and_path(path)
+    for info in sorted(files.get_file_info(fs.FileSelector(root)), key=lambda i: i.path):
+        if info.base_name.endswith(".parquet"):
+            with files.open_input_file(info.path) as f:
+                for batch in pq.ParquetFile(f, buffer_size=1 << 20).iter_batches(batch_size=1):
+                    yield from batch.to_pandas().itertuples(index=False)
+
+
+def against(blocks: DataFrame, queries: DataFrame, score: Callable, schema: str) -> DataFrame:
+    """``score(block row, query row)`` gives frames for each pair of equal dimension; ``queries`` is a materialized table.
+
+    A task reads all query blocks once for each batch of its blocks. No vector is shuffled, copied or broadcast, so
+    what is written does not grow with the number of pairs.
+    """
+    path = queries.materialized_at
+
+    def run(batches):
+        for pdf in batches:
+            held = list(pdf.itertuples(index=False))
+            for q in rows_of(path) if held else ():
+                for r in held:
+                    if r.dim == q.dim:
+                        yield from score(r, q)
+
+    return blocks.mapInPandas(run, schema)
+
+
 def ranked(found: DataFrame, k: int, score_type: str) -> DataFrame:
     """The k best of each query over all blocks: higher scores first, ties to the smaller vec_id."""
     from pyspark.sql import Window

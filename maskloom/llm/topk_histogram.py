@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import finite_vectors, grid, pack, query_blocks, ranked, unpack
-from .common import materialize
+from .blocks import against, finite_vectors, pack, query_blocks, ranked, unpack
+from .common import discard, materialize
 
 BINS = 4096
 
@@ -36,13 +36,9 @@ def integer_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ v.astype(np.int64).T
 
 
-def _pairs(batches):
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            ids, m = unpack(r.ids, r.vecs, r.dim)
-            qids, qm = unpack(r.qids, r.qvecs, r.dim)
-            own = np.frombuffer(r.qblock, np.int32) == r.block
-            yield r, ids, m, qids, qm, own, np.frombuffer(r.qpos, np.int32)
+def _pair(r, q):
+    own = np.frombuffer(q.qblock, np.int32) == r.block
+    return *unpack(r.ids, r.vecs, r.dim), *unpack(q.qids, q.qvecs, q.dim), own, np.frombuffer(q.qpos, np.int32)
 
 
 def _chunks(qm: np.ndarray, m: np.ndarray, own: np.ndarray, pos: np.ndarray, rows: int = 256):
@@ -94,29 +90,40 @@ def histogram_top_k(
 
     def with_bounds() -> DataFrame:
         packed = bounds.groupBy("dim", "qb").agg(F.sort_array(F.collect_list(F.struct("qrow", "lo", "hi", "above"))).alias("range"))
-        q = queries.join(packed, ["dim", "qb"]).select(queries["*"], *(F.col(f"range.{c}").alias(c) for c in ("lo", "hi", "above")))
-        return grid(blocks, q, nb, nq)
-
-    def count(batches):
-        for r, _, m, _, qm, own, pos in _pairs(batches):
-            lo, hi, need = np.asarray(r.lo, np.int64), np.asarray(r.hi, np.int64), k - np.asarray(r.above, np.int64)
-            width = -(-(hi - lo) // BINS)
-            for a, s, free in _chunks(qm, m, own, pos):
-                b = slice(a, a + len(s))
-                held = free & (s >= lo[b, None]) & (s < hi[b, None])
-                bins = np.where(held, (s - lo[b, None]) // width[b, None], -1)
-                n = min(k, bins.shape[1])
-                best = np.partition(bins, bins.shape[1] - n, axis=1)[:, bins.shape[1] - n :]
-                row = np.repeat(np.arange(a, a + len(s)), n)
-                got, cnt = np.unique(np.stack([row, best.ravel()])[:, best.ravel() >= 0], axis=1, return_counts=True)
-                keep = need[got[0]] > 0
-                yield pd.DataFrame({"dim": r.dim, "qb": r.qb, "qrow": got[0][keep].astype(np.int32), "bin": got[1][keep], "n": cnt[keep]})
+        q = queries.hint("merge").join(packed, ["dim", "qb"]).select(queries["*"], *(F.col(f"range.{c}").alias(c) for c in ("lo", "hi", "above")))
+        return materialize(q, "topk-ranges")
+
+    def count(r, q):
+        _, m, _, qm, own, pos = _pair(r, q)
+        lo, hi, need = np.asarray(q.lo, np.int64), np.asarray(q.hi, np.int64), k - np.asarray(q.above, np.int64)
+        width = -(-(hi - lo) // BINS)
+        for a, s, free in _chunks(qm, m, own, pos):
+            b = slice(a, a + len(s))
+            held = free & (s >= lo[b, None]) & (s < hi[b, None])
+            n = min(k, s.shape[1])
+            if np.count_nonzero(held) > 8 * n * len(s):  # the first pass: cut to the k best by their scores
+                best = np.where(held, s, lo[b, None] - 1)
+                best.partition(s.shape[1] - n, axis=1)
+                best = best[:, s.shape[1] - n :].ravel()
+                row = np.repeat(np.arange(a, a + len(s)), n)[best >= np.repeat(lo[b], n)]
+                best = best[best >= np.repeat(lo[b], n)]
+            else:
+                row, col = np.nonzero(held)
+                best = s[row, col]
+                order = np.lexsort((-best, row))
+                row, best = row[order], best[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < n
+                row, best = row[first] + a, best[first]
+            got, cnt = np.unique(np.stack([row, (best - lo[row]) // width[row]]), axis=1, return_counts=True)
+            keep = need[got[0]] > 0
+            yield pd.DataFrame({"dim": q.dim, "qb": q.qb, "qrow": got[0][keep].astype(np.int32), "bin": got[1][keep], "n": cnt[keep]})
 
     while (bounds.select(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0) > 1:
-        hist = with_bounds().mapInPandas(count, "dim int, qb int, qrow int, bin long, n long")
+        ranges = with_bounds()
+        hist = against(blocks, ranges, count, "dim int, qb int, qrow int, bin long, n long")
         hist = hist.groupBy("dim", "qb", "qrow", "bin").agg(F.sum("n").alias("n"))
         w = Window.partitionBy("dim", "qb", "qrow").orderBy(F.col("bin").desc())
-        hist = hist.withColumn("upto", F.sum("n").over(w)).join(bounds, ["dim", "qb", "qrow"])
+        hist = hist.withColumn("upto", F.sum("n").over(w)).join(bounds.hint("merge"), ["dim", "qb", "qrow"])
         at = hist.filter((F.col("above") + F.col("upto") >= k) & (F.col("above") + F.col("upto") - F.col("n") < k))
         width = F.expr(f"(hi - lo + {BINS - 1}) div {BINS}")
         at = at.select(
@@ -127,7 +134,7 @@ def histogram_top_k(
         )
         # a query with fewer than k candidates keeps them all: its range closes on its lowest value
         bounds = materialize(
-            bounds.join(at, ["dim", "qb", "qrow"], "left").select(
+            bounds.hint("merge").join(at, ["dim", "qb", "qrow"], "left").select(
                 "dim", "qb", "qrow",
                 F.coalesce("lo1", "lo").alias("lo"),
                 F.coalesce("hi1", F.col("lo") + 1).alias("hi"),
@@ -135,20 +142,21 @@ def histogram_top_k(
             ),
             "topk-bounds",
         )
-
-    def final(batches):
-        for r, ids, m, qids, qm, own, pos in _pairs(batches):
-            kth = np.asarray(r.lo, np.int64)
-            for a, s, free in _chunks(qm, m, own, pos):
-                at = kth[a : a + len(s), None]
-                row, col = np.nonzero(free & (s > at))
-                tr, tc = np.nonzero(free & (s == at))  # ids are sorted within a block: the first are the smallest
-                nth = np.arange(len(tr)) - np.searchsorted(tr, tr)
-                tr, tc = tr[nth < k], tc[nth < k]
-                row, col = np.concatenate([row, tr]), np.concatenate([col, tc])
-                yield pd.DataFrame({"query_id": qids[a + row], "qb": r.qb, "qrow": (a + row).astype(np.int32), "vec_id": ids[col], "score": s[row, col]})
-
-    found = with_bounds().mapInPandas(final, "query_id long, qb int, qrow int, vec_id long, score long")
+        discard(ranges)
+
+    def final(r, q):
+        ids, m, qids, qm, own, pos = _pair(r, q)
+        kth = np.asarray(q.lo, np.int64)
+        for a, s, free in _chunks(qm, m, own, pos):
+            at = kth[a : a + len(s), None]
+            row, col = np.nonzero(free & (s > at))
+            tr, tc = np.nonzero(free & (s == at))  # ids are sorted within a block: the first are the smallest
+            nth = np.arange(len(tr)) - np.searchsorted(tr, tr)
+            tr, tc = tr[nth < k], tc[nth < k]
+            row, col = np.concatenate([row, tr]), np.concatenate([col, tc])
+            yield pd.DataFrame({"query_id": qids[a + row], "qb": q.qb, "qrow": (a + row).astype(np.int32), "vec_id": ids[col], "score": s[row, col]})
+
+    found = against(blocks, with_bounds(), final, "query_id long, qb int, qrow int, vec_id long, score long")
     return ranked(found, k, "long")
 
 

@@ -109,3 +109,10 @@ def test_code_search_on_odd_rows(spark):
         assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
         hit, total = hit + len({v for _, v, _ in found} & {v for v, _ in lists[0]}), total + len(lists[0])
     assert hit / total >= 0.9
+
+
+def test_top_k_copies_and_broadcasts_no_vectors(spark):
+    rows = [(i, x) for i, x in odd_rows(200)]
+    got = histogram_top_k(frame(spark, [(i, x, 1, "a") for i, x in rows]), 5, 50, rows_per_block=50, queries_per_block=2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan  # before: blocks once for each query block, joined by broadcast
