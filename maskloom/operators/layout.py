@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import namedtuple
+from functools import lru_cache
 from statistics import median
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import BANK_GUIDE_WORDS, COLUMN_KINDS, EXPLANATORY_WORDS, FINANCIAL_WORDS, LABEL_KINDS, PAGE, SECTION_HEADINGS
+from .spatial import BANK_GUIDE_WORDS, COLUMN_KINDS, EXPLANATORY_WORDS, FINANCIAL_WORDS, LABEL_KINDS, PAGE, SECTION_HEADINGS, by_page
 
 # Families of rules by rank, rule names of labels and columns, words and patterns that tell values from the rest.
 FAMILIES = {"label_value": 4, "table_column": 3, "pattern": 2, "section_block": 1}
@@ -46,6 +47,10 @@ MARGINS = {"氏名": (0.85, 0.12), "住所": (0.30, 0.16), "会社名": (0.20, 0
 OUTPUT = "file_id string, page int, rule string, kind string, original string, norm string, confidence string, header string, n_lines int, x0 double, y0 double, x1 double, y1 double"
 
 
+remembered = lru_cache(maxsize=65_536)  # a text is tested many times on its page, and often on others
+
+
+@remembered
 def norm(text: str) -> str:
     return re.sub(r"\s+", "", unicodedata.normalize("NFKC", text))
 
@@ -54,27 +59,33 @@ def has(text: str, words) -> bool:
     return any(w in text for w in words)
 
 
+@remembered
 def japanese(text: str) -> int:
     return len(re.findall("[぀-ヿ㐀-鿿豈-﫿]", text))
 
 
+@remembered
 def is_noise(t: str) -> bool:
     return not t or has(t, SUMMARY_WORDS) or bool(NUMERIC.match(t)) or (japanese(t) == 0 and len(re.findall("[A-Za-z0-9]", t)) > 12)
 
 
+@remembered
 def is_label(t: str) -> bool:
     t = t.strip(" :：|/・-ー−－")
     return not t or t in _LABEL_ONLY or (len(t) <= 6 and t in CONTEXT_WORDS)
 
 
+@remembered
 def is_context(t: str) -> bool:
     return sum(w in t for w in CONTEXT_WORDS) >= 2
 
 
+@remembered
 def is_sentence(t: str) -> bool:
     return len(t) >= 18 and bool(SENTENCE.search(t))
 
 
+@remembered
 def is_misread(t: str) -> bool:
     if MARKED.search(t) or MISREAD.search(t):
         return False
@@ -84,6 +95,7 @@ def is_misread(t: str) -> bool:
     return (n < 3 and plain + marks >= n + 2) or (marks >= 4 and n < 5)
 
 
+@remembered
 def is_company(t: str) -> bool:
     if is_noise(t) or is_misread(t):
         return False
@@ -92,19 +104,23 @@ def is_company(t: str) -> bool:
     return 3 <= japanese(t) <= 24 and not is_sentence(t)
 
 
+@remembered
 def is_address(t: str) -> bool:
     return not is_noise(t) and not is_sentence(t) and bool(PLACE.search(t)) and japanese(t) >= 3
 
 
+@remembered
 def is_whole_address(t: str) -> bool:
     return is_address(t) and not has(t, ("設置", "制度", "説明", "協議会", "相談", "活動")) and bool(PREFECTURE.search(t)) and bool(re.search("市|区|町|村|字|丁目|番|号", t))
 
 
+@remembered
 def is_bank(t: str) -> bool:
     other = ("相談", "案内", "活動", "取引", "協会", "あっせん", "苦情", "お受け", "知りたい", "委員会")
     return t not in ("取引銀行", "金融機関", "銀行") and not has(t, other) and bool(BANK_NAME.search(t))
 
 
+@remembered
 def is_person(t: str) -> bool:
     return not is_noise(t) and not has(t, ("会社", "銀行", "所在地", "販売", "仕入", "外注", "面積", "比率")) and 2 <= japanese(t) <= 8
 
@@ -405,8 +421,8 @@ def overlap_share(a: tuple, b: tuple) -> float:
 
 def same_place(a: tuple, ta: str, b: tuple, tb: str, share: float = 0.78) -> bool:
     """Whether two candidates of a kind are one: they overlap, and a text holds the other or the centres are close."""
-    if overlap_share(a, b) < share:
-        return False
+    if a[2] <= b[0] or b[2] <= a[0] or a[3] <= b[1] or b[3] <= a[1] or overlap_share(a, b) < share:
+        return False  # nothing in common, or not enough
     far = ((a[0] + a[2] - b[0] - b[2]) ** 2 + (a[1] + a[3] - b[1] - b[3]) ** 2) ** 0.5 / 2
     return ta in tb or tb in ta or far <= max(height(a), height(b))
 
@@ -428,28 +444,33 @@ def kept(found: list[dict]) -> list[dict]:
     return out
 
 
+@lru_cache(maxsize=8)
+def word_type(fields: tuple):
+    return namedtuple("Word", [*fields, "norm"], rename=True)
+
+
 def context_candidates(words: DataFrame, enabled=tuple(FAMILIES)) -> DataFrame:
     """Candidates of all pages of (word boxes, page_x0, page_y0, page_x1, page_y1); ``enabled`` names the families to run."""
     steps = {"label_value": (beside_labels, True), "table_column": (under_headers, True), "section_block": (below_headings, False), "pattern": (alone, False)}
     steps = {k: steps[k] for k in ("label_value", "table_column", "section_block", "pattern") if k in enabled}
-    columns = [c.split()[0] for c in OUTPUT.split(", ")]
+    words = words.drop("norm").withColumn("block", F.coalesce("block", F.lit(0))).withColumn("line", F.coalesce("line", F.lit(0)))
+    hits = {"financial": FINANCIAL_WORDS, "explanatory": EXPLANATORY_WORDS, "bank_guide": BANK_GUIDE_WORDS}
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.fillna({"block": 0, "line": 0}).sort_values(["block", "line", "word_no"], kind="stable")
-        pdf["norm"] = pdf["text"].fillna("").map(norm)
-        every = [w for w in pdf.itertuples(index=False) if w.norm]
+    def one(page_words):
+        Word = word_type(page_words[0]._fields)
+        every = [w for w in (Word(*r, norm(r.text or "")) for r in page_words) if w.norm]
         if not every:
-            return pd.DataFrame(columns=columns)
-        page = tuple(float(pdf[c].iloc[0]) for c in ("page_x0", "page_y0", "page_x1", "page_y1"))
+            return
+        first = page_words[0]
+        page = tuple(map(float, (first.page_x0, first.page_y0, first.page_x1, first.page_y1)))
         lines = lines_of(every)
         rows, whole = rows_of(lines), "".join(n.norm for n in lines)
-        hits = {"financial": FINANCIAL_WORDS, "explanatory": EXPLANATORY_WORDS, "bank_guide": BANK_GUIDE_WORDS}
         flags = {k: sum(w in whole for w in ws) >= 2 for k, ws in hits.items()}
         found = [c for f, by_row in steps.values() for c in f(rows if by_row else lines, page, flags) if c]
-        out = [(*key, c["rule"], c["kind"], c["original"], c["norm"], c["confidence"], c["header"], c["n_lines"], *c["rect"]) for c in kept(found)]
-        return pd.DataFrame(out, columns=columns)
+        for c in kept(found):
+            yield first.file_id, first.page, c["rule"], c["kind"], c["original"], c["norm"], c["confidence"], c["header"], c["n_lines"], *c["rect"]
 
-    return words.groupBy(*PAGE).applyInPandas(one, OUTPUT)
+    return by_page(words, ["block", "line", "word_no"], one, OUTPUT)
 
 
 def text_area_ratio(words: DataFrame) -> DataFrame:

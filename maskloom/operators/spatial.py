@@ -6,12 +6,15 @@ words is a grouped function over the page; everything else is column work.
 
 from __future__ import annotations
 
+from collections import namedtuple
+from collections.abc import Callable
+from math import nan
 from statistics import median
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DecimalType, FractionalType, IntegerType, IntegralType, StructField, StructType
 
 from ..functions.text import class_counts, compact, ocr_normalize
 
@@ -37,6 +40,51 @@ CORPORATE_MARKER = r"(?:株式会社|有限会社|合同会社|[（(]株[）)]?|
 NUMERIC_ONLY = r"^[0-9０-９,.\-ー−－%％①-⑳\s]+$"
 
 
+def by_page(df: DataFrame, order: list[str], one: Callable, schema: str | StructType) -> DataFrame:
+    """``one(rows of a page)`` gives tuples of ``schema``; rows are named tuples in ``order``, nulls last, null numbers as NaN.
+
+    Pages are dealt and sorted by Spark and cut where the page changes, many in one batch: a call a page of pandas or
+    Arrow would cost more than the page's own work. One page is held at a time, beside one batch.
+    """
+    numbers = {i for i, f in enumerate(df.schema) if isinstance(f.dataType, (IntegralType, FractionalType)) and not isinstance(f.dataType, DecimalType) and f.name not in PAGE}
+    columns, fields = df.columns, schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        Row = namedtuple("Row", columns, rename=True)
+        arrow, at = to_arrow_schema(fields), [columns.index(k) for k in PAGE]
+        key, page, out = None, [], []
+
+        def values(c, number):
+            if c.null_count:
+                return [nan if v is None else v for v in c.to_pylist()] if number else c.to_pylist()
+            return c.to_numpy(zero_copy_only=False).tolist() if number else c.to_pylist()
+
+        def batch():
+            names = [f.name for f in arrow]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(zip(*out), arrow)], names=names)
+
+        for b in batches:
+            for r in map(Row, *(values(c, i in numbers) for i, c in enumerate(b.columns))):
+                here = tuple(r[i] for i in at)
+                if here != key and page:
+                    out.extend(one(page))
+                    page = []
+                    if len(out) >= 5000:
+                        yield batch()
+                        out = []
+                key = here
+                page.append(r)
+        if page:
+            out.extend(one(page))
+        if out:
+            yield batch()
+
+    return df.repartition(*PAGE).sortWithinPartitions(*PAGE, *(F.col(c).asc_nulls_last() for c in order)).mapInArrow(run, fields)
+
+
 def word_boxes(words: DataFrame) -> DataFrame:
     w = words.filter(F.length(F.trim("text")) > 0)
     return w.withColumn("block", F.coalesce("block", F.lit(0))).withColumn("line", F.coalesce("line", F.lit(0))).withColumn("norm", compact(F.col("text")))
@@ -55,21 +103,19 @@ def visual_rows(lines: DataFrame, closeness: float = 0.55) -> DataFrame:
     """Add ``vrow``: a line joins the first row whose median centre lies within a share of the larger height, its own or
     the median of the row's (one point at least); lines come from the top, then from the left."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "block", "line"], kind="stable")
-        centres, heights, number = [], [], []
-        for y0, y1 in zip(pdf["y0"], pdf["y1"]):
-            centre, tall = (y0 + y1) / 2, max(y1 - y0, 1.0)
+    def one(rows):
+        centres, heights = [], []
+        for r in rows:
+            centre, tall = (r.y0 + r.y1) / 2, max(r.y1 - r.y0, 1.0)
             at = next((i for i, (c, h) in enumerate(zip(centres, heights)) if abs(centre - median(c)) <= closeness * max(median(h), tall)), len(centres))
             if at == len(centres):
                 centres.append([])
                 heights.append([])
             centres[at].append(centre)
             heights[at].append(tall)
-            number.append(at)
-        return pdf.assign(vrow=number)
+            yield *r, at
 
-    return lines.groupBy(*PAGE).applyInPandas(one, StructType([*lines.schema.fields, StructField("vrow", IntegerType())]))
+    return by_page(lines, ["y0", "x0", "block", "line"], one, StructType([*lines.schema.fields, StructField("vrow", IntegerType())]))
 
 
 def page_context(lines: DataFrame) -> DataFrame:
@@ -179,10 +225,10 @@ def spatial_dedupe(cands: DataFrame, share: float = 0.78) -> DataFrame:
     higher ``rank``, then the smaller area."""
     from .layout import same_place
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(rows):
         order = lambda r: (r.rank, -(r.x1 - r.x0) * (r.y1 - r.y0))
         kept, seen = [], set()
-        for r in pdf.sort_values("cand_id", kind="stable").itertuples():
+        for r in rows:
             rect = (r.x0, r.y0, r.x1, r.y1)
             key = (r.kind, r.norm, *map(round, rect))
             if key in seen:
@@ -193,9 +239,9 @@ def spatial_dedupe(cands: DataFrame, share: float = 0.78) -> DataFrame:
                 kept.append(r)
             elif order(r) > order(kept[at]):
                 kept[at] = r
-        return pdf.loc[[k.Index for k in kept]]
+        return kept
 
-    return cands.groupBy(*PAGE).applyInPandas(one, cands.schema)
+    return by_page(cands, ["cand_id"], one, cands.schema)
 
 
 def greedy_assignment(items: DataFrame, findings: DataFrame) -> DataFrame:
