@@ -10,7 +10,7 @@ from ..functions.labels import cleanup_address_tail, cleanup_alias_notes, preser
 from ..functions.text import is_ambiguous_name
 from ..functions.variants import rewrite_generic
 from ..storage import materialize
-from .dictionary import PLACE, candidate_masks, dictionary, literal_hits, seed_aliases
+from .dictionary import PLACE, candidate_masks, dictionary, literal_hits, seed_aliases, shuffled
 from .resolve import apply_edits, coverage_anti_join, overlaps
 from .structured import PRESERVED_KINDS, default_enabled, typed_cells
 
@@ -27,7 +27,7 @@ def without_table_headers(cells: DataFrame, tables: DataFrame) -> DataFrame:
 
 def column_findings(typed: DataFrame, cell_aliases: DataFrame, analysis: bool) -> DataFrame:
     """One finding for each cell under a known header. The alias given to the very cell goes before the value's own."""
-    aliased = typed.filter(F.col("kind").isNotNull()).join(cell_aliases, PLACE, "left")
+    aliased = shuffled(typed.filter(F.col("kind").isNotNull())).join(shuffled(cell_aliases), PLACE, "left")
     kind = F.col("kind")
     new = F.when(kind == "name", F.col("alias")).otherwise(replacement(kind, F.col("value"), F.col("alias"), analysis))
     on = default_enabled(kind, F.lit("列単位"), F.col("is_formula"), F.lit(True), analysis)
@@ -44,7 +44,7 @@ def literal_findings(texts: DataFrame, words: DataFrame, ambiguous: DataFrame, a
 
     hits = literal_hits(texts, words, PLACE).select(*PLACE, "sheet_ord", F.explode("hits").alias("h")).select(*PLACE, "sheet_ord", "h.*")
     hits = hits.withColumn("norm_key", alias_key(F.lit("name"), strip_honorific(F.col("text"))))
-    hits = hits.join(ambiguous.withColumn("known", F.lit(True)), ["file_id", "norm_key"], "left")
+    hits = shuffled(hits).join(shuffled(ambiguous.withColumn("known", F.lit(True))), ["file_id", "norm_key"], "left")
     honorific = F.col("single") & F.col("text").endswith("さん")
     doubt = honorific | (~F.col("single") & (F.col("category") == "氏名") & (F.coalesce("known", F.lit(False)) | is_ambiguous_name(F.col("text"))))
     hits = hits.withColumn("doubt", doubt).withColumn("ord", F.struct("sheet_ord", "row", "col", F.col("start").alias("at")))
@@ -110,7 +110,7 @@ def apply_findings(cells: DataFrame, findings: DataFrame, analysis: bool = True)
         F.collect_list(F.when(~whole & F.col("start").isNotNull(), edit)).alias("__edits"),
         F.bool_or(F.col("category") == "住所").alias("__address"), F.bool_or(F.col("category") == "氏名").alias("__name"),
     )
-    out = cells.join(per, PLACE, "left")
+    out = shuffled(cells).join(shuffled(per), PLACE, "left")
     text = apply_edits(F.col("value"), from_right(F.col("__edits")))
     text = F.when(F.col("__address"), cleanup_address_tail(text)).otherwise(text)
     text = rewrite_generic(F.when(F.col("__name"), cleanup_alias_notes(text)).otherwise(text))

@@ -1,8 +1,8 @@
 """Dictionaries of known values, per file, and their places in free text.
 
 Values of structured columns, their variants and the aliases they were given are literals. A text is searched for the
-literals of its own file only. Both sides meet by the first two characters of a literal at the places of the text, so
-no text is held against all literals; what meets is located and resolved, longest literal first, within the text's row.
+literals of its own file only. Both sides meet by the rarest piece of a literal at the places of the text, so literals
+that begin alike do not all meet a text that holds their beginning; what meets is located and resolved, longest literal first, within the text's row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import INCOMPLETE_DOMAINS, inside_identifier, is_cross_domain_sheet
 from ..functions.text import alias_key, normalize, strip_honorific
 from ..functions.variants import email_variants, name_variants, organization_variants, phone_variants, role_variants
+from ..storage import materialize
 from .alias import first_appearances, number_aliases
 from .detect import match_offsets
 from .resolve import greedy
@@ -22,6 +23,7 @@ SEEDED = (
     "company", "supplier", "organization", "customer_id", "ticket_id", "project_id", "project", "member_id", "employee_id", "email",
     "landline_phone", "mobile_phone", "phone", "emergency_phone",
 )
+CLASSES = (1, 2, 3, 4, 6, 12)  # characters by which literals of at least that length meet texts
 HIT = "struct<start:int,end:int,category:string,score:double,text:string,literal:string,alias:string,single:boolean>"
 
 
@@ -55,27 +57,27 @@ def seed_aliases(typed: DataFrame, extra: DataFrame | None = None) -> tuple[Data
     the primary name of their row and share its alias. On sheets of people from elsewhere every primary name takes a
     number of its own and is not in the book.
     """
-    rows = typed.join(primary_names(typed), ["file_id", "sheet"], "left").withColumn("elsewhere", is_cross_domain_sheet(F.col("sheet")))
+    rows = shuffled(typed).join(shuffled(primary_names(typed)), ["file_id", "sheet"], "left").withColumn("elsewhere", is_cross_domain_sheet(F.col("sheet")))
     main = rows.filter((F.col("kind") == "name") & (F.col("col") == F.col("primary_col")))
     others = rows.filter(F.col("kind").isin(*SEEDED)).withColumn("elsewhere", F.lit(False))
     seeds = main.unionByName(others).withColumn("ord", order_of(main))
     own = F.concat(F.lit("\u0001"), F.col("sheet"), F.lit("\u0001"), F.col("row").cast("string"))  # no value has such a key
     seeds = seeds.withColumn("norm_key", F.when(F.col("elsewhere"), own).otherwise(alias_key(F.col("kind"), F.col("value"))))
     book = number_aliases(first_appearances(seeds, ["file_id"]), ["file_id"], extra)
-    named = seeds.join(book, ["file_id", "kind", "norm_key"])
+    named = shuffled(seeds).join(shuffled(book), ["file_id", "kind", "norm_key"])
     mine = named.filter(F.col("kind") == "name").select(*PLACE, "alias")
     kana = rows.filter((F.col("kind") == "name") & is_kana_header(F.col("header")) & (F.col("col") != F.col("primary_col"))).select(*PLACE)
-    beside = kana.join(mine.drop("col"), ["file_id", "sheet", "row"]).select(*PLACE, "alias")
+    beside = shuffled(kana).join(shuffled(mine.drop("col")), ["file_id", "sheet", "row"]).select(*PLACE, "alias")
     other = named.filter(F.col("kind") != "name").select(*PLACE, "alias")
     return book.filter(~F.col("norm_key").startswith("\u0001")), mine.unionByName(beside).unionByName(other)
 
 
 def ambiguous_keys(typed: DataFrame) -> DataFrame:
     """(file_id, norm_key) of names that stand on a sheet of people from elsewhere and on another before it."""
-    rows = typed.join(primary_names(typed), ["file_id", "sheet"]).filter((F.col("kind") == "name") & (F.col("col") == F.col("primary_col")))
+    rows = shuffled(typed).join(shuffled(primary_names(typed)), ["file_id", "sheet"]).filter((F.col("kind") == "name") & (F.col("col") == F.col("primary_col")))
     rows = rows.select("file_id", alias_key(F.col("kind"), F.col("value")).alias("norm_key"), order_of(rows).alias("ord"), is_cross_domain_sheet(F.col("sheet")).alias("elsewhere"))
     first = rows.filter(~F.col("elsewhere")).groupBy("file_id", "norm_key").agg(F.min("ord").alias("first"))
-    return rows.filter("elsewhere").join(first, ["file_id", "norm_key"]).filter(F.col("ord") > F.col("first")).select("file_id", "norm_key").distinct()
+    return shuffled(rows.filter("elsewhere")).join(shuffled(first), ["file_id", "norm_key"]).filter(F.col("ord") > F.col("first")).select("file_id", "norm_key").distinct()
 
 
 def dictionary(typed: DataFrame, cell_aliases: DataFrame, replaced: Column | None = None) -> DataFrame:
@@ -83,7 +85,8 @@ def dictionary(typed: DataFrame, cell_aliases: DataFrame, replaced: Column | Non
 
     ``replaced`` turns the alias of a value into its replacement where that is not the alias itself.
     """
-    rows = typed.filter(~is_cross_domain_sheet(F.col("sheet")) | (F.col("kind") != "name")).join(cell_aliases, PLACE)
+    rows = typed.filter(~is_cross_domain_sheet(F.col("sheet")) | (F.col("kind") != "name"))
+    rows = shuffled(rows).join(shuffled(cell_aliases), PLACE)
     value, kind = F.col("value"), F.col("kind")
     rows = rows.withColumn("alias", replaced if replaced is not None else F.col("alias"))
     forms = (
@@ -102,25 +105,43 @@ def dictionary(typed: DataFrame, cell_aliases: DataFrame, replaced: Column | Non
     return last.select("file_id", "literal", "single", F.col("v.label").alias("label"), F.col("v.alias").alias("alias"), "ord")
 
 
-def _first_two(text: Column) -> Column:
-    return F.lower(F.substring(text, 1, 2))
+def shuffled(df: DataFrame) -> DataFrame:
+    """A table that a join must not broadcast: a small file, or rows unnested from it, can be many rows in memory."""
+    return df.hint("merge")
+
+
+def _class(length: Column) -> Column:
+    """How many characters a literal meets texts by: the largest of ``CLASSES`` that it has."""
+    of = F.lit(CLASSES[0])
+    for n in CLASSES[1:]:
+        of = F.when(length >= n, n).otherwise(of)
+    return of
+
+
+def _grams(text: Column, n: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.lower(F.substring(text, i, n)))
 
 
 def meeting(texts: DataFrame, words: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key, literals): for each text the literals of its file that it contains, ASCII ones in any case."""
-    n = F.length(text)
-    grams = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.lower(F.substring(F.col(text), i, F.lit(2))))
-    chars = F.transform(F.filter(F.split(F.col(text), ""), lambda c: c != ""), lambda c: F.lower(c))
-    both = F.array_distinct(F.concat(F.when(n > 1, grams).otherwise(F.array().cast("array<string>")), chars))
-    places = texts.filter(n > 0).select(*key, text, F.explode(both).alias("gram"))
-    # a gram that very many texts of a file share is spread with its literals over 16 parts
-    salt = F.pmod(F.xxhash64(*key), F.lit(16))
-    keyed = words.withColumn("gram", _first_two(F.col("literal"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    pairs = places.withColumn("salt", salt.cast("int")).join(keyed, ["file_id", "gram", "salt"])
-    ascii_ = F.col("literal").rlike(r"^\p{ASCII}+$")
-    hit = F.when(ascii_, F.lower(F.col(text)).contains(F.lower("literal"))).otherwise(F.col(text).contains(F.col("literal")))
+    """(key, literals): for each text the literals of its file that meet it: all that it contains, ASCII ones in any case,
+    and few others.
+
+    A literal meets texts by that of its pieces of up to 12 characters which the fewest literals of its file have.
+    """
+    own = words.filter(F.length("literal") > 0).withColumn("w", F.xxhash64("file_id", "literal", "single")).withColumn("n", _class(F.length("literal")))
+    own = materialize(own, "dictionary-words")  # read three times
+    pieces = own.select("file_id", "w", "n", F.explode(F.array_distinct(_grams(F.col("literal"), F.col("n")))).alias("gram"))
+    pieces = pieces.withColumn("h", F.xxhash64("file_id", "n", "gram"))
+    common = pieces.groupBy("h").agg(F.count("*").alias("many"))
+    rarest = shuffled(pieces.select("w", "h")).join(shuffled(common), "h").groupBy("w").agg(F.min_by("h", F.struct("many", "h")).alias("h"))
     item = F.struct((-F.length("literal")).alias("n"), "ord", "literal", "label", "alias", "single")
-    return pairs.filter(hit).groupBy(*key).agg(F.sort_array(F.collect_set(item)).alias("literals"))
+    keyed = shuffled(own.select("w", F.col("file_id").alias("__file"), item.alias("item"))).join(shuffled(rarest), "w").select("h", "__file", "item")
+    lengths = F.array(*[F.lit(n) for n in CLASSES])
+    long_enough = F.filter(lengths, lambda n: n <= F.length(text))
+    found = F.flatten(F.transform(long_enough, lambda n: F.array_distinct(F.transform(_grams(F.col(text), n), lambda g: F.xxhash64("file_id", n, g)))))
+    places = texts.filter(F.length(text) > 0).select(*key, F.explode(found).alias("h"))
+    pairs = shuffled(places).join(shuffled(keyed), "h").filter(F.col("__file") == F.col("file_id"))
+    return pairs.groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("literals"))
 
 
 def literal_hits(texts: DataFrame, words: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -141,7 +162,9 @@ def literal_hits(texts: DataFrame, words: DataFrame, key: list[str], text: str =
     singles = F.flatten(F.transform(alone, lambda x: F.transform(match_offsets(t, near(x)), lambda m: hit(m, x, F.lit(10_000), True))))
     plain = F.flatten(F.transform(long_, lambda x: F.transform(match_offsets(t, quoted(x)), lambda m: hit(m, x, -x["n"], False))))
     plain = F.filter(plain, lambda h: (h["category"] != "氏名") | ~inside_identifier(t, h["start"], h["end"]))
-    found = texts.join(meeting(texts, words, key, text), key, "left")
+    found = shuffled(texts).join(shuffled(meeting(texts, words, key, text)), key, "left")
+    contained = lambda x: F.when(x["literal"].rlike(r"^\p{ASCII}+$"), F.lower(t).contains(F.lower(x["literal"]))).otherwise(t.contains(x["literal"]))
+    found = found.withColumn("literals", F.filter("literals", contained))
     none = F.array().cast(f"array<{HIT}>")
     hits = F.when(F.col("literals").isNotNull(), greedy(F.concat(singles, plain).cast(f"array<{HIT}>"))).otherwise(none)
     return found.withColumn("hits", F.coalesce(hits, none)).drop("literals")
@@ -159,7 +182,7 @@ def candidate_masks(found: DataFrame, scope: list[str], value: str = "original",
     key, suffix = candidate_keys(F.col(value), F.col(alias))
     keyed = found.withColumn("kind", F.lit("name_candidate")).withColumn("norm_key", key).withColumn("__s", suffix)
     book = number_aliases(first_appearances(keyed, scope), scope).withColumnRenamed("alias", "__a")
-    out = keyed.join(book.drop("alias_no"), [*scope, "kind", "norm_key"], "left")
+    out = shuffled(keyed).join(shuffled(book.drop("alias_no")), [*scope, "kind", "norm_key"], "left")
     return out.withColumn("mask", F.concat("__a", "__s")).drop("kind", "norm_key", "__s", "__a")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cells as C
 from ..operators import dictionary as D
 from ..operators.structured import column_types, typed_cells
+from ..storage import materialize
 from .tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -82,7 +83,7 @@ def dictionary_hits(spark, sf_dir):
     """Known names in any case and phone numbers in notes; not the name within the e-mail address."""
     from ..functions.generalise import replacement
 
-    typed = typed_cells(workbooks(spark, sf_dir))
+    typed = materialize(typed_cells(workbooks(spark, sf_dir)), "cells-typed")
     known = typed.filter("kind IS NOT NULL")
     _, aliases = D.seed_aliases(known)
     words = D.dictionary(known, aliases, F.when(F.col("kind") == "name", F.col("alias")).otherwise(replacement(F.col("kind"), F.col("value"), F.col("alias"))))
