@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.llm.best_fit_packing import best_fit_pack, default_vocabulary
-from maskloom.llm.common import discard, materialize, numbered
+from maskloom.llm.common import discard, materialize, numbered, release
 from maskloom.llm.jaccard_join import jaccard_components
 from maskloom.llm.line_winnowing import MIN_WORDS, dedup_lines
 from maskloom.llm.repeated_bytes import remove_repeats
@@ -36,6 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Empty and null texts are scored like others; repeated rows get one score, so all stay or all go.
     """
+    release(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return with_scores(docs, model, score_col="__toxicity").filter(F.col("__toxicity") < 0.5).drop("__toxicity")
 
@@ -46,6 +47,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Earlier is by doc_id, then by the order of rows. Documents all of whose lines stand earlier go, so of repeated rows
     one stays; those without words stay as they are.
     """
+    release(spark)
     out = dedup_lines(docs, min_words=MIN_WORDS).filter((F.col("__n_lines") == 0) | (F.col("__n_removed") < F.col("__n_lines")))
     return _counted(out, docs.columns)
 
@@ -55,6 +57,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Of those with one doc_id the first row stays. Texts without words are linked with nothing and all stay.
     """
+    release(spark)
     keyed = numbered(docs, "__uid", "pipeline-numbered")
     slim = keyed.select(F.col("__uid").alias("doc_id"), "text")
     groups = jaccard_components(slim).select(F.col("doc_id").alias("__uid"), F.col("component_id").alias("__group"))
@@ -69,6 +72,7 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Earlier is by doc_id, then by the order of rows, then within the text. Documents left without words go, so of
     repeated rows one stays; those that had no words stay as they are.
     """
+    release(spark)
     words = r"(?U)\S"
     marked = docs.withColumn("__full", F.coalesce(F.col("text").rlike(words), F.lit(False)))
     out = remove_repeats(marked, length=REPEAT_BYTES, keep="first").filter(~F.col("__full") | F.col("text").rlike(words))
@@ -77,6 +81,7 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens, one piece at least for each row."""
+    release(spark)
     return best_fit_pack(docs, default_vocabulary())
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, trimmed
+from .common import held, materialize, trimmed
 
 CAPACITY = 4096
 END_ID = 1
@@ -82,13 +82,11 @@ def _folded(text: str) -> str:
     return text.lower()
 
 
-_loaded: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
-    if path not in _loaded:
-        _loaded[path] = WordTokens(path)
-    return _loaded[path]
+    loaded = held("packing")
+    if path not in loaded:
+        loaded[path] = WordTokens(path)
+    return loaded[path]
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
@@ -110,7 +108,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> Da
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(cut), PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(cut, operator="packing"), PIECES)
 
 
 class RoomTree:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import trim_worker
+from .common import held, trim_worker
 
 SPACE = "▁"
 BATCH_CHARS = 200_000  # of texts that are segmented together
@@ -307,13 +307,11 @@ class Segmenter:
         return self.model.decode(np.asarray(ids).tolist())
 
 
-_loaded: dict[tuple[str, float], Segmenter] = {}
-
-
 def segmenter(path: str, alpha: float) -> Segmenter:
-    if (path, alpha) not in _loaded:
-        _loaded[path, alpha] = Segmenter(path, alpha)
-    return _loaded[path, alpha]
+    loaded = held("segments")
+    if (path, alpha) not in loaded:
+        loaded[path, alpha] = Segmenter(path, alpha)
+    return loaded[path, alpha]
 
 
 def sample_segmentations(rows: DataFrame, vocabulary: str, keys: list[str], text_col: str = "text", k: int = 4, alpha: float = 0.2, seed: int = 0) -> DataFrame:
@@ -356,7 +354,7 @@ def sample_segmentations(rows: DataFrame, vocabulary: str, keys: list[str], text
                 part = b.slice(at, len(texts))
                 yield out(s, part, part.column(n).to_pylist(), texts)
                 at += len(texts)
-        trim_worker()
+        trim_worker("segments")
 
     return slim.mapInArrow(run, schema)
 
