@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,11 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .common import held, trim_worker
 
 SPACE = "▁"
-BATCH_CHARS = 200_000  # of texts that are segmented together
+BATCH_CHARS = 400_000  # of texts that are segmented together
+BOOK_CHARS = 800_000  # of different chunks whose lattice a worker keeps, some 80 MB
 BITS = 40  # of a draw among the edges of a place
+FIRST_PLACES = 48  # of a path, whose siblings are looked at first
+MOST_NOISE = 38.0  # Gumbel noise of 53 bits stays below
 _MARK = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,10 +108,11 @@ class Lattice:
     """Edges of some texts, by start: ``first`` of each place, then end, piece and log-probability given the start.
 
     No piece reaches from one chunk, white space and what follows it, into the next, so chunks are summed up apart.
+    With ``chunks`` each text is a chunk, as ``Book`` cuts them.
     """
 
-    def __init__(self, segmenter: "Segmenter", texts: list[str]):
-        joined = [SPACE + t.replace(" ", SPACE) for t in texts]
+    def __init__(self, segmenter: "Segmenter", texts: list[str], chunks: bool = False):
+        joined = texts if chunks else [SPACE + t.replace(" ", SPACE) for t in texts]
         self.sizes = np.array([len(t) for t in joined], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.length = int(self.sizes.sum())
@@ -169,6 +174,87 @@ class Lattice:
             self.shares[self.first[inner] + i] = (inner << BITS) + np.minimum(upto[inner] * 2.0**BITS, 2.0**BITS).astype(np.int64)
 
 
+class Book:
+    """The lattice of the chunks that were met so far, each once; it begins anew when it has become large.
+
+    Characters are of one kind if a piece holds both side by side, or by way of others. A chunk is white space and
+    characters of one kind behind it, a word or a mark: no piece reaches from one into the next.
+    """
+
+    def __init__(self, segmenter: "Segmenter"):
+        self.segmenter = segmenter
+        kind: dict[str, set[str]] = {}
+        for piece in segmenter.pieces:
+            chars = set(piece.lstrip(SPACE))
+            if len(chars) > 1 or len(piece.lstrip(SPACE)) > 1:
+                for other in [kind[c] for c in chars if c in kind]:
+                    chars |= other
+                kind.update(dict.fromkeys(chars, chars))
+        kinds = {id(k): k for k in kind.values()}.values()
+        classes = [f"[{re.escape(''.join(sorted(k - {SPACE})))}]+" for k in kinds]
+        self.chunks = re.compile(f"{SPACE}*(?:{'|'.join([*classes, f'[^{SPACE}]'])})|{SPACE}+").findall
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.held = {"first": np.zeros(1, np.int64), "end": np.zeros(0, np.int64), "piece": np.zeros(0, np.int64), "logp": np.zeros(0), "shares": np.zeros(0, np.int64),
+                     "sizes": np.zeros(0, np.int64), "stops": np.zeros(0, np.int64)}
+        self.used = {c: len(v) for c, v in self.held.items()}
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        if name in ("first", "end", "piece", "logp", "shares", "sizes", "stops"):
+            return self.held[name][: self.used[name]]
+        raise AttributeError(name)
+
+    def _put(self, name: str, new: np.ndarray) -> None:
+        n = self.used[name] + len(new)
+        if n > len(self.held[name]):
+            self.held[name] = np.append(self.held[name][: self.used[name]], np.zeros(n + n // 2 - self.used[name], new.dtype))
+        self.held[name][self.used[name] : n] = new
+        self.used[name] = n
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each chunk of the texts, and of how many chunks each text is."""
+        parts, n = [], []
+        for t in texts:
+            known = len(parts)
+            parts += self.chunks(SPACE + t.replace(" ", SPACE))
+            n.append(len(parts) - known)
+        if self.used["first"] > BOOK_CHARS:
+            self.clear()
+        new = [c for c in dict.fromkeys(parts) if c not in self.number]
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            lat = Lattice(self.segmenter, new, chunks=True)
+            places, edges = self.used["first"] - 1, self.used["end"]
+            self.used["first"] -= 1  # the last one closes the edges before
+            for name, values in (("first", np.append(lat.first, len(lat.end)) + edges), ("end", lat.end + places), ("piece", lat.piece), ("logp", lat.logp),
+                              ("shares", lat.shares + (places << BITS)), ("sizes", lat.sizes), ("stops", lat.ends + places)):
+                self._put(name, values)
+        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts)), np.array(n)
+
+
+class Chunks:
+    """Some texts, one after the other, over a book of chunks.
+
+    A place of the texts is one of the book and its chunk's ``shift``; what a chunk's edges are depends on it alone.
+    """
+
+    def __init__(self, book: Book, texts: list[str]):
+        which, n = book.cut(texts)
+        self.book, self.text = book, np.repeat(np.arange(len(texts)), n)
+        size, self.stops = book.sizes[which], book.stops[which]  # these in the book
+        self.heads = np.cumsum(size) - size
+        self.shift = self.heads + size - self.stops
+        self.ends = (self.heads + size)[np.cumsum(n) - 1]
+        self.sizes = np.diff(self.ends, prepend=0)
+        self.length = int(self.ends[-1])
+        self.order = np.argsort(which)  # draws that fall into one part of the book follow one another
+
+    def shift_at(self, place: int) -> int:
+        return int(self.shift[np.searchsorted(self.heads, place, "right") - 1])
+
+
 class Segmenter:
     """Sampling and decoding with one vocabulary file."""
 
@@ -188,6 +274,7 @@ class Segmenter:
         self.logw = alpha * np.log(weight / weight.sum())
         self.rare = float(min(self.logw[i] for i in self.pieces.values()))
         self.trie = Trie(self.pieces)
+        self.book = Book(self)
         self.runs: list[list[int]] = []  # byte runs, numbered from -1 down
         self.run_of: dict[str, int] = {}
 
@@ -213,12 +300,11 @@ class Segmenter:
         full = [i for i, t in enumerate(texts) if t]
         if not full:
             return out
-        lat = Lattice(self, [texts[i] for i in full])
-        begin = lat.ends - lat.sizes
+        all_ = Chunks(self.book, [texts[i] for i in full])
+        lat, begin = self.book, all_.ends - all_.sizes
         # value, tie, place, log p so far, edges taken already, edges before (path, its first n)
         heaps = [[(-float(roots[i]), 0, int(b), 0.0, (), (np.zeros(0, np.int64), 0))] for i, b in zip(full, begin)]
         found: list[list] = [[] for _ in full]
-        first = np.append(lat.first, len(lat.end)).tolist()
         for step in range(1, k + 1):
             who = [t for t, h in enumerate(heaps) if h]
             if not who:
@@ -229,7 +315,8 @@ class Segmenter:
             for t, u, v in zip(who, draw, again):
                 value, _, place, phi, taken, before = heapq.heappop(heaps[t])
                 if taken:  # one of the siblings attains the set's value; the others stay a set
-                    edges = [e for e in range(first[place], first[place + 1]) if e not in taken]
+                    shift = all_.shift_at(place)
+                    edges = [e for e in range(*lat.first[place - shift : place - shift + 2].tolist()) if e not in taken]
                     share = np.exp(lat.logp[edges])
                     e = edges[min(int(np.searchsorted(np.cumsum(share), u * share.sum(), "right")), len(edges) - 1)]
                     if len(edges) > 1:
@@ -237,10 +324,10 @@ class Segmenter:
                         g = float(cut_gumbel(np.array([rest]), np.array([-value]), np.array([v]))[0])
                         heapq.heappush(heaps[t], (-g, step * (k + 1), place, phi, (*taken, e), before))
                     head = np.append(before[0][: before[1]], e)
-                    nodes.append((-value, int(lat.end[e]), phi + float(lat.logp[e]), head))
+                    nodes.append((-value, int(lat.end[e]) + shift, phi + float(lat.logp[e]), head))
                 else:
                     nodes.append((-value, place, phi, before[0]))
-            went = self._follow(lat, np.array(who), nodes, own, step, k - step + 1)
+            went = self._follow(all_, np.array(who), nodes, own, step, k - step + 1)
             for t, (value, _, _, head), (path, logp, siblings) in zip(who, nodes, went):
                 whole = np.concatenate([head, path])
                 found[t].append((whole, logp, value))
@@ -252,59 +339,97 @@ class Segmenter:
             for edges, logp, g in got:
                 ids = lat.piece[edges]
                 if len(ids) and ids.min() < 0:
-                    ids = np.array([x for p in ids.tolist() for x in ([p] if p >= 0 else self.runs[-1 - p])])
+                    ids = self._with_bytes(ids)
                 p = float(-np.expm1(-np.exp(min(700.0, logp - kappa)))) if np.isfinite(kappa) else 1.0
                 out[i].append((ids.astype(np.int32), logp, g, p))
         return out
 
-    def _follow(self, lat: Lattice, who: np.ndarray, nodes: list[tuple], seeds: np.ndarray, step: int, keep: int) -> list[tuple]:
+    def _with_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """Pieces with the bytes of each run in its place."""
+        at = np.flatnonzero(ids < 0)
+        runs = [self.runs[-1 - p] for p in ids[at].tolist()]
+        size = np.ones(len(ids), np.int64)
+        size[at] = [len(r) for r in runs]
+        out = np.repeat(ids, size)
+        out[out < 0] = [x for r in runs for x in r]
+        return out
+
+    def _follow(self, all_: Chunks, who: np.ndarray, nodes: list[tuple], seeds: np.ndarray, step: int, keep: int) -> list[tuple]:
         """A path below each node, its log-probability, and the ``keep`` best sets of siblings it passed.
 
         Chunks are walked side by side, each from its own start or the node's place to its end.
         """
-        value, phi = np.array([n[0] for n in nodes]), np.array([n[2] for n in nodes])
-        start, stop = np.array([n[1] for n in nodes]), lat.ends[who]
-        begin = stop - lat.sizes[who]
-        heads = np.flatnonzero(lat.heads)
-        after, last = np.searchsorted(heads, start, "right"), np.searchsorted(heads, stop, "left")
+        lat, start, stop = self.book, np.array([n[1] for n in nodes]), all_.ends[who]
+        begin = stop - all_.sizes[who]
+        after, last = np.searchsorted(all_.heads, start, "right"), np.searchsorted(all_.heads, stop, "left")
         n = np.where(start < stop, last - after + 1, 0)
-        owner = np.repeat(np.arange(len(nodes)), n)
-        now = heads[_ranges(after - 1, n)]
-        lead = (np.cumsum(n) - n)[n > 0]
-        now[lead] = start[n > 0]
-        ends = np.append(now[1:], 0)
-        ends[np.append(lead[1:], len(now))[: len(lead)] - 1] = stop[n > 0]
-        steps: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+        at, on = all_.heads.copy(), np.zeros(len(all_.heads), bool)
+        at[(after - 1)[n > 0]] = start[n > 0]
+        on[_ranges(after - 1, n)] = True
+        chunk = all_.order[on[all_.order]]
+        owner = np.searchsorted(who, all_.text[chunk])
+        ends, shift = all_.stops[chunk], all_.shift[chunk]
+        now = at[chunk] - shift
+        taken = np.full(all_.length, -1)
+        nth, seed = shift - begin[owner] + 1, seeds[owner]
+        shares, to = lat.shares, lat.end
         while len(now):
-            u = (uniform_noise(seeds[owner], 2 * step, now - begin[owner] + 1) * 2.0**BITS).astype(np.int64)
-            e = np.searchsorted(lat.shares, (now << BITS) + u, "right")
-            steps.append((now, e, owner))
-            now = lat.end[e]
-            on = now < ends
-            now, ends, owner = now[on], ends[on], owner[on]
-        place, path, owner = (np.concatenate(c) for c in zip(*steps))
-        order = np.argsort(place, kind="stable")  # texts follow one another
-        place, path, owner = place[order], path[order], owner[order]
-        cut = np.searchsorted(owner, np.arange(len(nodes) + 1))
-        logp, before, logs = lat.logp[path], np.empty(len(path)), phi.copy()
-        for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-            if b > a:  # each text's sums are its own, whatever stands beside it
-                upto = phi[i] + np.cumsum(logp[a:b])
-                before[a], before[a + 1 : b], logs[i] = phi[i], upto[:-1], upto[-1]
-        with np.errstate(divide="ignore"):
-            rest = before + np.log(-np.expm1(np.minimum(logp, 0.0)))
-        g = cut_gumbel(rest, value[owner], uniform_noise(seeds[owner], 2 * step + 1, place - begin[owner] + 1))
+            u = (uniform_noise(seed, 2 * step, now + nth) * 2.0**BITS).astype(np.int64)
+            u += now << BITS
+            e = np.searchsorted(shares, u, "right")
+            taken[now + shift] = e
+            now = to[e]
+            on = np.flatnonzero(now < ends)
+            now, ends, shift, nth, seed = now[on], ends[on], shift[on], nth[on], seed[on]
+        place = np.flatnonzero(taken >= 0)  # texts follow one another
+        path = taken[place]
+        logp = lat.logp[path]
+        lows, highs = np.searchsorted(place, begin).tolist(), np.searchsorted(place, stop).tolist()
+        before, logs = [], []
+        for (_, _, phi, _), a, b in zip(nodes, lows, highs):  # each text's sums are its own, whatever stands beside it
+            upto = np.append(phi, phi + np.cumsum(logp[a:b]))
+            before.append(upto[:-1])
+            logs.append(float(upto[-1]))
+
+        def best(which: list[int], sizes: list[int]) -> list[tuple]:
+            """The best sets of siblings at so many first places of some paths, in order of their places."""
+            n = np.array(sizes)
+            at = _ranges(np.array([lows[i] for i in which]), n)
+            own = np.repeat(np.array(which), n)
+            with np.errstate(divide="ignore"):
+                rest = np.concatenate([before[i][:m] for i, m in zip(which, sizes)]) + np.log(-np.expm1(np.minimum(logp[at], 0.0)))
+            value = np.array([x[0] for x in nodes])
+            g = cut_gumbel(rest, value[own], uniform_noise(seeds[own], 2 * step + 1, place[at] - begin[own] + 1))
+            out, a = [], 0
+            for m in sizes:
+                mine = g[a : a + m]
+                pick = np.sort(np.argpartition(-mine, keep - 1)[:keep]) if m > keep else np.arange(m)
+                pick = pick[np.isfinite(mine[pick])]
+                out.append((pick, mine[pick]))
+                a += m
+            return out
+
+        # sums only fall along a path: no noise lifts a place far behind above the sets that were found before it
+        sizes = [min(len(x), FIRST_PLACES) for x in before]
+        got = best(list(range(len(nodes))), sizes)
+        short = {}
+        for i, (x, (pick, g)) in enumerate(zip(before, got)):
+            if sizes[i] < len(x):
+                least = float(g.min()) if len(pick) == keep else -np.inf
+                need = int(np.searchsorted(-x, MOST_NOISE - least, "right"))
+                if need > sizes[i]:
+                    short[i] = need
+        if short:
+            for i, found in zip(short, best(list(short), list(short.values()))):
+                got[i] = found
         out = []
-        for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-            pick = np.argpartition(-g[a:b], keep - 1)[:keep] if b - a > keep else np.arange(b - a)
-            pick = a + np.sort(pick)
-            pick = pick[np.isfinite(g[pick])]
-            kept = zip(g[pick].tolist(), place[pick].tolist(), path[pick].tolist(), before[pick].tolist(), (pick - a).tolist())
-            out.append((path[a:b], float(logs[i]), list(kept)))
+        for a, b, x, logs_, (pick, g) in zip(lows, highs, before, logs, got):
+            kept = zip(g.tolist(), place[a + pick].tolist(), path[a + pick].tolist(), x[pick].tolist(), pick.tolist())
+            out.append((path[a:b], logs_, list(kept)))
         return out
 
     def decode(self, ids) -> str:
-        return self.model.decode(np.asarray(ids).tolist())
+        return self.model.decode(np.asarray(ids))
 
 
 def segmenter(path: str, alpha: float) -> Segmenter:

@@ -103,3 +103,29 @@ def test_very_long_text(segmenter):
     text = "long words " * 20_000
     got = segmenter.sample(text, 2, 1)
     assert len(got) == 2 and all(segmenter.decode(g[0]) == text for g in got)
+
+
+def test_chunks_are_kept_across_batches(segmenter, monkeypatch):
+    from maskloom.llm import gumbel_segments as G
+
+    s = Segmenter(default_vocabulary(), 0.2)
+    first = s.samples(["the word, the word. ab"], 4, [1])
+    known = len(s.book.number)
+    assert known == 5 and s.book.used["first"] - 1 == len("▁the▁word,.▁ab")  # each chunk once
+    again = s.samples(["the ab word", "the word, the word. ab"], 4, [2, 1])
+    assert len(s.book.number) == known
+    monkeypatch.setattr(G, "BOOK_CHARS", 3)
+    anew = s.samples(["the ab, é", "the word, the word. ab"], 4, [3, 1])  # begun anew
+    for got in (again[1], anew[1]):
+        assert [(g[0].tolist(), *g[1:]) for g in got] == [(g[0].tolist(), *g[1:]) for g in first[0]]
+
+
+def test_siblings_far_along_a_path_are_not_lost(segmenter, monkeypatch):
+    from maskloom.llm import gumbel_segments as G
+
+    texts = ["the word " * 60, "x" * 300, "\n" * 100 + "word", "中" * 90 + "ab"]
+    want = segmenter.samples(texts, 4, [1, 2, 3, 4])
+    for n in (1, 10**6):  # looked at first: one place, or all
+        monkeypatch.setattr(G, "FIRST_PLACES", n)
+        got = segmenter.samples(texts, 4, [1, 2, 3, 4])
+        assert [[(g[0].tolist(), *g[1:]) for g in x] for x in got] == [[(g[0].tolist(), *g[1:]) for g in x] for x in want]
