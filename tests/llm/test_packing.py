@@ -79,3 +79,19 @@ def test_pieces_and_places(spark):
         assert at <= 16
     assert len(bins) == len(plain_best_fit([r.length for r in got], 16))
     assert best_fit_pack(df.limit(0), default_vocabulary()).count() == 0
+
+
+def test_words_are_encoded_without_offsets():
+    from maskloom.llm.best_fit_packing import WordTokens, default_vocabulary
+
+    tokens = WordTokens(default_vocabulary())
+    text, whole = "Two words, \x1f é中😀 <|x|> it's 12.5\n", tokens.tokenizer
+
+    class Fast:
+        def encode_batch_fast(self, texts, **how):
+            return whole.encode_batch_fast(texts, **how)
+
+    tokens.tokenizer = Fast()  # nothing else is asked for
+    for t in (text, text.replace("\x1f", "")):
+        want = whole.encode(t, add_special_tokens=False).ids
+        assert list(memoryview(tokens.ids(t)).cast("I")) == [*want, 1]
