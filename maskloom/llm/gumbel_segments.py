@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +33,28 @@ from .common import held, trim_worker
 
 SPACE = "▁"
 BATCH_CHARS = 400_000  # of texts that are segmented together
-BOOK_CHARS = 800_000  # of different chunks whose lattice a worker keeps, some 80 MB
+BOOK_CHARS = 1_200_000  # of different chunks whose lattice a worker keeps, some 100 MB
+BOOK_TURNS = 16  # times that a full book keeps its first three quarters before it begins anew
 BITS = 40  # of a draw among the edges of a place
-FIRST_PLACES = 48  # of a path, whose siblings are looked at first
+FIRST_PLACES = 96  # of a path, whose siblings are looked at first
 MOST_NOISE = 38.0  # Gumbel noise of 53 bits stays below
 _MARK = np.uint64(0x9E3779B97F4A7C15)
 
 
-def uniform_noise(seeds: np.ndarray, step: int, nth: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1), a hash of seed, step and place."""
-    x = nth.astype(np.uint64) * _MARK
-    x += seeds * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(step * 0x94D049BB133111EB % 2**64)
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    return x ^ (x >> np.uint64(31))
+
+
+def _stream(seeds: np.ndarray, step: int) -> np.ndarray:
+    """To be added to a place's number times ``_MARK`` and mixed."""
+    return seeds * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(step * 0x94D049BB133111EB % 2**64)
+
+
+def uniform_noise(seeds: np.ndarray, step: int, nth: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1), a hash of seed, step and place."""
+    x = _mixed(nth.astype(np.uint64) * _MARK + _stream(seeds, step))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -61,6 +70,12 @@ def cut_gumbel(location: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndar
         return np.where(np.isfinite(location), -np.logaddexp(-most, np.log(-np.log(u)) - location), -np.inf)
 
 
+def cut_gumbel_once(location: float, most: float, u: float) -> float:
+    """``cut_gumbel`` of one location."""
+    a, b = -most, math.log(-math.log(u)) - location
+    return -(max(a, b) + math.log1p(math.exp(-abs(a - b))))
+
+
 class Trie:
     """The pieces by their characters: transitions in one open hash table, looked up for many places at once."""
 
@@ -174,8 +189,19 @@ class Lattice:
             self.shares[self.first[inner] + i] = (inner << BITS) + np.minimum(upto[inner] * 2.0**BITS, 2.0**BITS).astype(np.int64)
 
 
+class Numbers(dict):
+    """Keys numbered as they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Book:
-    """The lattice of the chunks that were met so far, each once; it begins anew when it has become large.
+    """The lattice of the chunks that were met so far, each once.
+
+    A book that has become large keeps the chunks it met first, which most texts use, and drops the others; after some
+    turns it begins anew, as later texts may use other words.
 
     Characters are of one kind if a piece holds both side by side, or by way of others. A chunk is white space and
     characters of one kind behind it, a word or a mark: no piece reaches from one into the next.
@@ -196,11 +222,22 @@ class Book:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.held = {"first": np.zeros(1, np.int64), "end": np.zeros(0, np.int64), "piece": np.zeros(0, np.int64), "logp": np.zeros(0), "shares": np.zeros(0, np.int64),
+        self.number, self.turns = Numbers(), 0
+        self.held = {"first": np.zeros(1, np.int64), "end": np.zeros(0, np.int64), "piece": np.zeros(0, np.int32), "logp": np.zeros(0), "shares": np.zeros(0, np.int64),
                      "sizes": np.zeros(0, np.int64), "stops": np.zeros(0, np.int64)}
         self.used = {c: len(v) for c, v in self.held.items()}
 
+    def _make_room(self) -> None:
+        """Drop all chunks but those of the first three quarters."""
+        chunks = int(np.searchsorted(self.stops, BOOK_CHARS * 3 // 4, "right"))
+        if not chunks or self.turns == BOOK_TURNS or len(self.held["first"]) > 4 * BOOK_CHARS:  # one chunk may be very long
+            return self.clear()
+        self.turns += 1
+        self.number = Numbers(islice(self.number.items(), chunks))
+        places = int(self.stops[chunks - 1])
+        edges = int(self.first[places])
+        self.used.update(first=places + 1, end=edges, piece=edges, logp=edges, shares=edges, sizes=chunks, stops=chunks)
+
     def __getattr__(self, name: str) -> np.ndarray:
         if name in ("first", "end", "piece", "logp", "shares", "sizes", "stops"):
             return self.held[name][: self.used[name]]
@@ -209,7 +246,7 @@ class Book:
     def _put(self, name: str, new: np.ndarray) -> None:
         n = self.used[name] + len(new)
         if n > len(self.held[name]):
-            self.held[name] = np.append(self.held[name][: self.used[name]], np.zeros(n + n // 2 - self.used[name], new.dtype))
+            self.held[name] = np.append(self.held[name][: self.used[name]], np.zeros(n + n // 4 - self.used[name], self.held[name].dtype))
         self.held[name][self.used[name] : n] = new
         self.used[name] = n
 
@@ -221,17 +258,18 @@ class Book:
             parts += self.chunks(SPACE + t.replace(" ", SPACE))
             n.append(len(parts) - known)
         if self.used["first"] > BOOK_CHARS:
-            self.clear()
-        new = [c for c in dict.fromkeys(parts) if c not in self.number]
-        if new:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self._make_room()
+        known = len(self.number)
+        which = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        if len(self.number) > known:
+            new = list(islice(self.number, known, None))
             lat = Lattice(self.segmenter, new, chunks=True)
             places, edges = self.used["first"] - 1, self.used["end"]
             self.used["first"] -= 1  # the last one closes the edges before
             for name, values in (("first", np.append(lat.first, len(lat.end)) + edges), ("end", lat.end + places), ("piece", lat.piece), ("logp", lat.logp),
                               ("shares", lat.shares + (places << BITS)), ("sizes", lat.sizes), ("stops", lat.ends + places)):
                 self._put(name, values)
-        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts)), np.array(n)
+        return which, np.array(n)
 
 
 class Chunks:
@@ -274,6 +312,8 @@ class Segmenter:
         self.logw = alpha * np.log(weight / weight.sum())
         self.rare = float(min(self.logw[i] for i in self.pieces.values()))
         self.trie = Trie(self.pieces)
+        of_byte = {i: b for b, i in self.bytes.items()}
+        self.spelling = pa.array([bytes([of_byte[i]]) if i in of_byte else self.model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)], pa.binary())
         self.book = Book(self)
         self.runs: list[list[int]] = []  # byte runs, numbered from -1 down
         self.run_of: dict[str, int] = {}
@@ -301,9 +341,10 @@ class Segmenter:
         if not full:
             return out
         all_ = Chunks(self.book, [texts[i] for i in full])
-        lat, begin = self.book, all_.ends - all_.sizes
+        lat, begin, nothing = self.book, all_.ends - all_.sizes, np.zeros(0, np.int64)
+        first, end, edge_logp = lat.first, lat.end, lat.logp
         # value, tie, place, log p so far, edges taken already, edges before (path, its first n)
-        heaps = [[(-float(roots[i]), 0, int(b), 0.0, (), (np.zeros(0, np.int64), 0))] for i, b in zip(full, begin)]
+        heaps = [[(-float(roots[i]), 0, int(b), 0.0, (), (nothing, 0))] for i, b in zip(full, begin)]
         found: list[list] = [[] for _ in full]
         for step in range(1, k + 1):
             who = [t for t, h in enumerate(heaps) if h]
@@ -311,48 +352,58 @@ class Segmenter:
                 break
             own = seeds[[full[t] for t in who]]
             draw, again = (uniform_noise(own, 2 * step + i, np.zeros(len(who))).tolist() for i in (0, 1))
-            nodes = []
+            nodes, heads = [], []
             for t, u, v in zip(who, draw, again):
                 value, _, place, phi, taken, before = heapq.heappop(heaps[t])
                 if taken:  # one of the siblings attains the set's value; the others stay a set
                     shift = all_.shift_at(place)
-                    edges = [e for e in range(*lat.first[place - shift : place - shift + 2].tolist()) if e not in taken]
-                    share = np.exp(lat.logp[edges])
-                    e = edges[min(int(np.searchsorted(np.cumsum(share), u * share.sum(), "right")), len(edges) - 1)]
+                    a, b = first[place - shift : place - shift + 2].tolist()
+                    edges = [(e, math.exp(p), p) for e, p in enumerate(edge_logp[a:b].tolist(), a) if e not in taken]
+                    left = u * sum(x for _, x, _ in edges)
+                    for e, share, logp in edges:  # the last one, if rounding left something
+                        left -= share
+                        if left < 0:
+                            break
                     if len(edges) > 1:
-                        rest = phi + math.log(max(share.sum() - math.exp(lat.logp[e]), 5e-324))
-                        g = float(cut_gumbel(np.array([rest]), np.array([-value]), np.array([v]))[0])
-                        heapq.heappush(heaps[t], (-g, step * (k + 1), place, phi, (*taken, e), before))
-                    head = np.append(before[0][: before[1]], e)
-                    nodes.append((-value, int(lat.end[e]) + shift, phi + float(lat.logp[e]), head))
+                        rest = phi + math.log(max(sum(x for _, x, _ in edges) - share, 5e-324))
+                        heapq.heappush(heaps[t], (-cut_gumbel_once(rest, -value, v), step * (k + 1), place, phi, (*taken, e), before))
+                    nodes.append((-value, int(end[e]) + shift, phi + logp))
+                    heads.append((before[0][: before[1]], [e]))
                 else:
-                    nodes.append((-value, place, phi, before[0]))
+                    nodes.append((-value, place, phi))
+                    heads.append((nothing, []))
             went = self._follow(all_, np.array(who), nodes, own, step, k - step + 1)
-            for t, (value, _, _, head), (path, logp, siblings) in zip(who, nodes, went):
-                whole = np.concatenate([head, path])
+            for t, (value, _, _), (head, e), (path, logp, siblings) in zip(who, nodes, heads, went):
+                whole = np.concatenate((head, np.array(e, np.int64), path)) if e else path
                 found[t].append((whole, logp, value))
+                ahead = len(whole) - len(path)
                 for n, (g, place, e, phi, nth) in enumerate(siblings):
-                    heapq.heappush(heaps[t], (-g, step * (k + 1) + 1 + n, place, phi, (e,), (whole, len(head) + nth)))
+                    heapq.heappush(heaps[t], (-g, step * (k + 1) + 1 + n, place, phi, (e,), (whole, ahead + nth)))
+        ids, ends = self._ids([x[0] for got in found for x in got])
+        a = n = 0
         for i, got, heap in zip(full, found, heaps):
-            kappa = -heap[0][0] if heap else -np.inf
+            kappa = -heap[0][0] if heap else -math.inf
             out[i] = []
-            for edges, logp, g in got:
-                ids = lat.piece[edges]
-                if len(ids) and ids.min() < 0:
-                    ids = self._with_bytes(ids)
-                p = float(-np.expm1(-np.exp(min(700.0, logp - kappa)))) if np.isfinite(kappa) else 1.0
-                out[i].append((ids.astype(np.int32), logp, g, p))
+            for _, logp, g in got:
+                p = -math.expm1(-math.exp(min(700.0, logp - kappa))) if math.isfinite(kappa) else 1.0
+                out[i].append((ids[a : ends[n]], logp, g, p))
+                a, n = ends[n], n + 1
         return out
 
-    def _with_bytes(self, ids: np.ndarray) -> np.ndarray:
-        """Pieces with the bytes of each run in its place."""
+    def _ids(self, paths: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+        """The pieces of some paths, one after the other, with the bytes of each run in its place; where each path ends."""
+        ids = self.book.piece[np.concatenate(paths)]
+        ends = np.cumsum([len(p) for p in paths])
         at = np.flatnonzero(ids < 0)
-        runs = [self.runs[-1 - p] for p in ids[at].tolist()]
-        size = np.ones(len(ids), np.int64)
-        size[at] = [len(r) for r in runs]
-        out = np.repeat(ids, size)
-        out[out < 0] = [x for r in runs for x in r]
-        return out
+        if len(at):
+            sizes = np.array([len(r) for r in self.runs])
+            runs = -1 - ids[at].astype(np.int64)
+            size = np.ones(len(ids), np.int64)
+            size[at] = sizes[runs]
+            ends = np.append(0, np.cumsum(size))[ends]
+            ids = np.repeat(ids, size)
+            ids[ids < 0] = np.concatenate(self.runs)[_ranges((np.cumsum(sizes) - sizes)[runs], sizes[runs])]
+        return ids.astype(np.int32), ends.tolist()
 
     def _follow(self, all_: Chunks, who: np.ndarray, nodes: list[tuple], seeds: np.ndarray, step: int, keep: int) -> list[tuple]:
         """A path below each node, its log-probability, and the ``keep`` best sets of siblings it passed.
@@ -371,66 +422,66 @@ class Segmenter:
         ends, shift = all_.stops[chunk], all_.shift[chunk]
         now = at[chunk] - shift
         taken = np.full(all_.length, -1)
-        nth, seed = shift - begin[owner] + 1, seeds[owner]
-        shares, to = lat.shares, lat.end
+        stream = (shift - begin[owner] + 1).astype(np.uint64) * _MARK + _stream(seeds, 2 * step)[owner]
+        shares, to, first = lat.shares, lat.end, lat.first
         while len(now):
-            u = (uniform_noise(seed, 2 * step, now + nth) * 2.0**BITS).astype(np.int64)
+            u = (_mixed(now.astype(np.uint64) * _MARK + stream) >> np.uint64(64 - BITS)).astype(np.int64)
             u += now << BITS
-            e = np.searchsorted(shares, u, "right")
+            e = first[now]  # places have few edges: the first one whose share ends above the draw
+            on = np.flatnonzero(shares[e] <= u)
+            while len(on):
+                e[on] += 1
+                on = on[shares[e[on]] <= u[on]]
             taken[now + shift] = e
             now = to[e]
             on = np.flatnonzero(now < ends)
-            now, ends, shift, nth, seed = now[on], ends[on], shift[on], nth[on], seed[on]
+            now, ends, shift, stream = now[on], ends[on], shift[on], stream[on]
         place = np.flatnonzero(taken >= 0)  # texts follow one another
         path = taken[place]
         logp = lat.logp[path]
-        lows, highs = np.searchsorted(place, begin).tolist(), np.searchsorted(place, stop).tolist()
-        before, logs = [], []
-        for (_, _, phi, _), a, b in zip(nodes, lows, highs):  # each text's sums are its own, whatever stands beside it
-            upto = np.append(phi, phi + np.cumsum(logp[a:b]))
-            before.append(upto[:-1])
-            logs.append(float(upto[-1]))
-
-        def best(which: list[int], sizes: list[int]) -> list[tuple]:
-            """The best sets of siblings at so many first places of some paths, in order of their places."""
-            n = np.array(sizes)
-            at = _ranges(np.array([lows[i] for i in which]), n)
-            own = np.repeat(np.array(which), n)
+        lows, highs = np.searchsorted(place, begin), np.searchsorted(place, stop)
+        value, phi = np.array([x[0] for x in nodes]), np.array([x[2] for x in nodes])
+
+        def siblings(which, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """The values of the sets of siblings at some places of paths, given the sums before these."""
             with np.errstate(divide="ignore"):
-                rest = np.concatenate([before[i][:m] for i, m in zip(which, sizes)]) + np.log(-np.expm1(np.minimum(logp[at], 0.0)))
-            value = np.array([x[0] for x in nodes])
-            g = cut_gumbel(rest, value[own], uniform_noise(seeds[own], 2 * step + 1, place[at] - begin[own] + 1))
-            out, a = [], 0
-            for m in sizes:
-                mine = g[a : a + m]
-                pick = np.sort(np.argpartition(-mine, keep - 1)[:keep]) if m > keep else np.arange(m)
-                pick = pick[np.isfinite(mine[pick])]
-                out.append((pick, mine[pick]))
-                a += m
-            return out
+                rest = before + np.log(-np.expm1(np.minimum(logp[at], 0.0)))
+            return cut_gumbel(rest, value[which], uniform_noise(seeds[which], 2 * step + 1, place[at] - begin[which] + 1))
 
         # sums only fall along a path: no noise lifts a place far behind above the sets that were found before it
-        sizes = [min(len(x), FIRST_PLACES) for x in before]
-        got = best(list(range(len(nodes))), sizes)
-        short = {}
-        for i, (x, (pick, g)) in enumerate(zip(before, got)):
-            if sizes[i] < len(x):
-                least = float(g.min()) if len(pick) == keep else -np.inf
-                need = int(np.searchsorted(-x, MOST_NOISE - least, "right"))
-                if need > sizes[i]:
-                    short[i] = need
-        if short:
-            for i, found in zip(short, best(list(short), list(short.values()))):
-                got[i] = found
+        sizes = np.minimum(highs - lows, FIRST_PLACES)
+        nth = np.arange(sizes.max())
+        real = nth < sizes[:, None]
+        at = np.where(real, lows[:, None] + nth, 0)
+        upto = phi[:, None] + np.cumsum(np.where(real, logp[at], 0.0), axis=1) if len(nth) else np.zeros((len(nodes), 0))
+        before = np.concatenate((phi[:, None], upto), axis=1)[:, : len(nth)]
+        rows = np.arange(len(nodes))[:, None]
+        g = np.where(real, siblings(rows, before, at), -np.inf)
+        pick = np.sort(np.argpartition(-g, keep - 1, axis=1)[:, :keep], axis=1) if len(nth) > keep else np.broadcast_to(nth, g.shape)
+        g, before = g[rows, pick], before[rows, pick]
+        least = np.where(np.isfinite(g).sum(axis=1) == keep, g.min(axis=1, initial=np.inf), -np.inf)
+        far = (highs - lows > sizes) & (-upto[:, -1:].sum(axis=1) <= MOST_NOISE - least)
+        at = lows[:, None] + pick
         out = []
-        for a, b, x, logs_, (pick, g) in zip(lows, highs, before, logs, got):
-            kept = zip(g.tolist(), place[a + pick].tolist(), path[a + pick].tolist(), x[pick].tolist(), pick.tolist())
-            out.append((path[a:b], logs_, list(kept)))
+        for i, (a, b, *kept) in enumerate(zip(lows.tolist(), highs.tolist(), *(x.tolist() for x in (g, place[np.where(np.isfinite(g), at, 0)], path[np.where(np.isfinite(g), at, 0)], before, pick)))):
+            if far[i]:
+                x = np.append(phi[i], phi[i] + np.cumsum(logp[a:b]))[:-1]
+                need = int(np.searchsorted(-x, MOST_NOISE - least[i], "right"))
+                more = siblings([i], x[:need], np.arange(a, a + need))
+                best = np.sort(np.argpartition(-more, keep - 1)[:keep]) if need > keep else np.arange(need)
+                kept = more[best].tolist(), place[a + best].tolist(), path[a + best].tolist(), x[best].tolist(), best.tolist()
+            out.append((path[a:b], float(phi[i] + logp[a:b].sum()), [x for x in zip(*kept) if math.isfinite(x[0])]))
         return out
 
     def decode(self, ids) -> str:
         return self.model.decode(np.asarray(ids))
 
+    def spelt(self, ids: np.ndarray) -> bytes:
+        """What ids decode to in UTF-8: the bytes of their pieces, without the space that begins every text."""
+        joined = self.spelling.take(pa.array(ids, pa.int32()))
+        _, ends, data = joined.buffers()
+        return data.slice(1, np.frombuffer(ends, np.int32)[len(ids)] - 1).to_pybytes() if len(ids) else b""
+
 
 def segmenter(path: str, alpha: float) -> Segmenter:
     loaded = held("segments")
@@ -458,7 +509,7 @@ def sample_segmentations(rows: DataFrame, vocabulary: str, keys: list[str], text
         flat = [x for g in got for x in g]
         sizes = np.array([len(x[0]) for x in flat])
         ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate([x[0] for x in flat]), pa.int32()))
-        trip = [s.decode(x[0]) == texts[r] for x, r in zip(flat, row.tolist())]
+        trip = [s.spelt(x[0]) == whole for g, t in zip(got, texts) for whole in (t.encode(),) for x in g]
         cols = [
             pa.array([j + 1 for g in got for j in range(len(g))], pa.int32()), ids, *(pa.array([x[c] for x in flat], pa.float64()) for c in (1, 2, 3)), pa.array(trip, pa.bool_()),
         ]

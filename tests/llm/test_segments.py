@@ -129,3 +129,34 @@ def test_siblings_far_along_a_path_are_not_lost(segmenter, monkeypatch):
         monkeypatch.setattr(G, "FIRST_PLACES", n)
         got = segmenter.samples(texts, 4, [1, 2, 3, 4])
         assert [[(g[0].tolist(), *g[1:]) for g in x] for x in got] == [[(g[0].tolist(), *g[1:]) for g in x] for x in want]
+
+
+def test_full_book_keeps_its_first_chunks(segmenter, monkeypatch):
+    from maskloom.llm import gumbel_segments as G
+
+    built = Counter()
+
+    class Counting(Lattice):
+        def __init__(self, s, texts, chunks=False):
+            built.update(texts)
+            super().__init__(s, texts, chunks)
+
+    texts = ["the word, the other word", "a b c d e f g h", "the word i j k l m n", "the é q r s t"]
+    want = [segmenter.sample(t, 4, 7) for t in texts]
+    monkeypatch.setattr(G, "Lattice", Counting)
+    monkeypatch.setattr(G, "BOOK_CHARS", 24)  # overflows from the second text on
+    s = Segmenter(default_vocabulary(), 0.2)
+    for t, w in [*zip(texts, want), *zip(texts, want)]:
+        assert [(g[0].tolist(), *g[1:]) for g in s.sample(t, 4, 7)] == [(g[0].tolist(), *g[1:]) for g in w]
+    assert built["▁the"] == built["▁word"] == 1 and built["▁b"] == 2
+    for _ in range(40):  # in the end it begins anew
+        s.sample("the x y z words of later texts", 1, 1)
+        s.sample("u v w of other texts", 1, 1)
+    assert built["▁the"] > 1
+
+
+@pytest.mark.parametrize("text", ["", " ", "  a  b ", "é中😀 x", "a\tb\n", "<s> </s>", "\x00\x7f ▁ ▁", "word " * 50])
+def test_spelt_as_the_model_decodes(segmenter, text):
+    for ids, *_ in segmenter.sample(text, 4, 3):
+        assert segmenter.spelt(ids) == segmenter.decode(ids).encode()
+        assert (segmenter.spelt(ids[:-1]) == text.encode()) == (segmenter.decode(ids[:-1]) == text)
