@@ -36,15 +36,20 @@ BATCH_CHARS = 400_000  # of texts that are segmented together
 BOOK_CHARS = 1_200_000  # of different chunks whose lattice a worker keeps, some 100 MB
 BOOK_TURNS = 16  # times that a full book keeps its first three quarters before it begins anew
 BITS = 40  # of a draw among the edges of a place
-FIRST_PLACES = 96  # of a path, whose siblings are looked at first
+FIRST_PLACES = 128  # of a path, whose siblings are looked at first
 MOST_NOISE = 38.0  # Gumbel noise of 53 bits stays below
 _MARK = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Hashes of some numbers, in their own place."""
+    y = x >> np.uint64(30)
+    for factor, bits in ((0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):
+        x ^= y
+        x *= np.uint64(factor)
+        np.right_shift(x, np.uint64(bits), out=y)
+    x ^= y
+    return x
 
 
 def _stream(seeds: np.ndarray, step: int) -> np.ndarray:
@@ -160,12 +165,13 @@ class Lattice:
         order = np.argsort(start, kind="stable")
         self.place, self.piece, weight = start[order], piece[order], weight[order]
         self.end = self.place + size[order]
-        self.first = np.searchsorted(self.place, np.arange(self.length))
+        count = np.bincount(self.place, minlength=self.length)
+        self.first = np.cumsum(count) - count
         self._sum(weight, stop)
 
     def _sum(self, weight: np.ndarray, stop: np.ndarray) -> None:
         """Backward sums over each chunk, all chunks at once, by the distance to the chunk's end."""
-        beta, self.logp = np.zeros(self.length + 1), np.empty(len(weight))
+        beta, self.logp, share = np.zeros(self.length + 1), np.empty(len(weight)), np.empty(len(weight))
         far = stop - np.arange(self.length)
         count = np.diff(self.first, append=len(weight))
         by = np.argsort(far, kind="stable")
@@ -177,10 +183,12 @@ class Lattice:
             seg = np.cumsum(n) - n
             x = weight[e] + np.where(self.end[e] == np.repeat(stop[places], n), 0.0, beta[self.end[e]])
             top = np.maximum.reduceat(x, seg)
-            beta[places] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), seg))
-            self.logp[e] = x - np.repeat(beta[places], n)
+            part = np.exp(x - np.repeat(top, n))
+            whole = np.add.reduceat(part, seg)
+            beta[places] = top + np.log(whole)
+            self.logp[e], share[e] = x - np.repeat(beta[places], n), part / np.repeat(whole, n)
         # upper ends of each edge's share of its place, as whole numbers behind the place's own: one sorted array
-        share, upto, places = np.exp(self.logp), np.zeros(self.length), np.flatnonzero(count)
+        upto, places = np.zeros(self.length), np.flatnonzero(count)
         self.shares = np.repeat(np.arange(1, self.length + 1) << BITS, count)
         for i in range(int(count.max(initial=0))):
             places = places[count[places] > i]
@@ -233,7 +241,8 @@ class Book:
         if not chunks or self.turns == BOOK_TURNS or len(self.held["first"]) > 4 * BOOK_CHARS:  # one chunk may be very long
             return self.clear()
         self.turns += 1
-        self.number = Numbers(islice(self.number.items(), chunks))
+        while len(self.number) > chunks:
+            self.number.popitem()  # the one met last
         places = int(self.stops[chunks - 1])
         edges = int(self.first[places])
         self.used.update(first=places + 1, end=edges, piece=edges, logp=edges, shares=edges, sizes=chunks, stops=chunks)
@@ -313,7 +322,7 @@ class Segmenter:
         self.rare = float(min(self.logw[i] for i in self.pieces.values()))
         self.trie = Trie(self.pieces)
         of_byte = {i: b for b, i in self.bytes.items()}
-        self.spelling = pa.array([bytes([of_byte[i]]) if i in of_byte else self.model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)], pa.binary())
+        self.spelling = pa.array([bytes([of_byte[i]]) if i in of_byte else self.model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)], pa.large_binary())
         self.book = Book(self)
         self.runs: list[list[int]] = []  # byte runs, numbered from -1 down
         self.run_of: dict[str, int] = {}
@@ -403,7 +412,7 @@ class Segmenter:
             ends = np.append(0, np.cumsum(size))[ends]
             ids = np.repeat(ids, size)
             ids[ids < 0] = np.concatenate(self.runs)[_ranges((np.cumsum(sizes) - sizes)[runs], sizes[runs])]
-        return ids.astype(np.int32), ends.tolist()
+        return ids.astype(np.int32, copy=False), ends.tolist()
 
     def _follow(self, all_: Chunks, who: np.ndarray, nodes: list[tuple], seeds: np.ndarray, step: int, keep: int) -> list[tuple]:
         """A path below each node, its log-probability, and the ``keep`` best sets of siblings it passed.
@@ -418,14 +427,20 @@ class Segmenter:
         at[(after - 1)[n > 0]] = start[n > 0]
         on[_ranges(after - 1, n)] = True
         chunk = all_.order[on[all_.order]]
-        owner = np.searchsorted(who, all_.text[chunk])
+        nth = np.zeros(len(all_.ends), np.int64)
+        nth[who] = np.arange(len(who))
+        owner = nth[all_.text[chunk]]
         ends, shift = all_.stops[chunk], all_.shift[chunk]
         now = at[chunk] - shift
         taken = np.full(all_.length, -1)
         stream = (shift - begin[owner] + 1).astype(np.uint64) * _MARK + _stream(seeds, 2 * step)[owner]
         shares, to, first = lat.shares, lat.end, lat.first
         while len(now):
-            u = (_mixed(now.astype(np.uint64) * _MARK + stream) >> np.uint64(64 - BITS)).astype(np.int64)
+            u = now.view(np.uint64) * _MARK
+            u += stream
+            u = _mixed(u)
+            u >>= np.uint64(64 - BITS)
+            u = u.view(np.int64)
             u += now << BITS
             e = first[now]  # places have few edges: the first one whose share ends above the draw
             on = np.flatnonzero(shares[e] <= u)
@@ -476,11 +491,14 @@ class Segmenter:
     def decode(self, ids) -> str:
         return self.model.decode(np.asarray(ids))
 
-    def spelt(self, ids: np.ndarray) -> bytes:
-        """What ids decode to in UTF-8: the bytes of their pieces, without the space that begins every text."""
-        joined = self.spelling.take(pa.array(ids, pa.int32()))
-        _, ends, data = joined.buffers()
-        return data.slice(1, np.frombuffer(ends, np.int32)[len(ids)] - 1).to_pybytes() if len(ids) else b""
+    def spelt(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """What each of some segmentations, one after the other, decodes to in UTF-8.
+
+        These are the bytes of their pieces, without the space that begins every text.
+        """
+        _, ends, data = self.spelling.take(pa.array(ids, pa.int32())).buffers()
+        cuts = np.frombuffer(ends, np.int64)[np.append(0, np.cumsum(sizes))].tolist() if len(ids) else [0] * (len(sizes) + 1)
+        return [data.slice(a + 1, b - a - 1).to_pybytes() if a < b else b"" for a, b in zip(cuts, cuts[1:])]
 
 
 def segmenter(path: str, alpha: float) -> Segmenter:
@@ -508,8 +526,9 @@ def sample_segmentations(rows: DataFrame, vocabulary: str, keys: list[str], text
         row = np.repeat(np.arange(len(got)), [len(g) for g in got])
         flat = [x for g in got for x in g]
         sizes = np.array([len(x[0]) for x in flat])
-        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate([x[0] for x in flat]), pa.int32()))
-        trip = [s.spelt(x[0]) == whole for g, t in zip(got, texts) for whole in (t.encode(),) for x in g]
+        joined, whole = np.concatenate([x[0] for x in flat]), [t.encode() for t in texts]
+        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(joined, pa.int32()))
+        trip = [x == whole[r] for x, r in zip(s.spelt(joined, sizes), row.tolist())]
         cols = [
             pa.array([j + 1 for g in got for j in range(len(g))], pa.int32()), ids, *(pa.array([x[c] for x in flat], pa.float64()) for c in (1, 2, 3)), pa.array(trip, pa.bool_()),
         ]
