@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +57,19 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return both.groupBy(*columns).agg(F.sum("__n").alias("__n")).filter("__n <> 0").isEmpty()
 
 
+def signature(rows: DataFrame, by: list[str], name: str = "signature") -> DataFrame:
+    """Per group the number of its rows and sums of their hashes, 128 bits in all, whatever the rows' order.
+
+    Groups that hold the same rows as often have the same signature; others share one only by an accident of both
+    hashes. Halves of a hash are added, so sums stay whole numbers up to 2^31 rows a group.
+    """
+    columns = [F.col(f"`{c}`") for c in rows.columns if c not in by]
+    nulls = reduce(add, (c.isNull().cast("int") * 2**i for i, c in enumerate(columns)))  # a hash leaves nulls out
+    hashes = [F.xxhash64(F.lit(seed), nulls, *columns) for seed in (1, 2)]
+    halves = [h for x in hashes for h in (x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright(x, 32))]
+    return rows.groupBy(*[F.col(f"`{c}`") for c in by]).agg(F.struct(F.count("*"), *map(F.sum, halves)).alias(name))
+
+
 def split_problems(splits: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages that no split or more than one holds, and split pages that do not exist."""
     n = splits.groupBy("page").agg(F.count("*").alias("n"))
