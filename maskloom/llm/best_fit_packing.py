@@ -49,9 +49,12 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.older: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha() and text.islower():  # one word that normal forms and cuts leave as it is
+            return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()  # no offsets
 
     def __missing__(self, word: str) -> bytes:

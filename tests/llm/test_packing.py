@@ -95,3 +95,16 @@ def test_words_are_encoded_without_offsets():
     for t in (text, text.replace("\x1f", "")):
         want = whole.encode(t, add_special_tokens=False).ids
         assert list(memoryview(tokens.ids(t)).cast("I")) == [*want, 1]
+
+
+def test_plain_words_skip_normal_forms():
+    tokens, whole = WordTokens(default_vocabulary()), Tokenizer.from_file(default_vocabulary())
+
+    class Refuses:
+        def encode_batch_fast(self, texts, **_):
+            raise AssertionError(texts)
+
+    words = ["a", "s", "ll", "the", "startoftext", "zqxjkv", "internationalization", "x" * 5000]
+    want = np.array([i for w in words for i in whole.encode(w, add_special_tokens=False).ids] + [1], np.uint32).tobytes()
+    tokens.tokenizer = Refuses()
+    assert tokens.ids(" ".join(words)) == want and tokens.ids("  ".join(words).upper()) == want
