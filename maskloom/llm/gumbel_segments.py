@@ -20,8 +20,7 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
-from itertools import islice
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,12 @@ from .common import held, trim_worker
 SPACE = "▁"
 BATCH_CHARS = 400_000  # of texts that are segmented together
 BOOK_CHARS = 1_200_000  # of different chunks whose lattice a worker keeps, some 100 MB
+BLOCK_CHARS = 30_000  # of new chunks whose lattice is built at a time, in a processor's own memory
 BOOK_TURNS = 16  # times that a full book keeps its first three quarters before it begins anew
 BITS = 40  # of a draw among the edges of a place
+GUIDE = 2  # first bits of a draw, by which a place tells how many edges it passes for certain
+EDGES = 32  # bits of an edge's number
+PASSED = np.array([sum(1 << 8 * j for j in range(i, 1 << GUIDE)) for i in range((1 << GUIDE) + 1)])
 FIRST_PLACES = 128  # of a path, whose siblings are looked at first
 MOST_NOISE = 38.0  # Gumbel noise of 53 bits stays below
 _MARK = np.uint64(0x9E3779B97F4A7C15)
@@ -105,6 +108,10 @@ class Trie:
                 at = at + 1 & mask
             held.add(at)
             self.keys[at], self.to[at] = key, to
+        self.root = np.full(max((c for n, c in steps if n == 0), default=0) + 2, -1, np.int64)  # by the first character
+        for (n, c), to in steps.items():
+            if n == 0:
+                self.root[c] = to
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * _MARK) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -113,8 +120,10 @@ class Trie:
         """The node each transition leads to, -1 where there is none."""
         key = nodes << 21 | chars
         at = self._slot(key)
-        out = np.where(self.keys[at] == key, self.to[at], -1)
-        left = np.flatnonzero((self.keys[at] != key) & (self.keys[at] != -1))
+        k = self.keys[at]
+        hit = k == key
+        out = np.where(hit, self.to[at], -1)
+        left = np.flatnonzero(~hit & (k != -1))
         while len(left):
             at[left] = at[left] + 1 & (2**self.bits - 1)
             k = self.keys[at[left]]
@@ -143,66 +152,73 @@ class Lattice:
         starts = np.flatnonzero(self.heads)
         stop = np.repeat(np.append(starts[1:], self.length), np.diff(starts, append=self.length))
 
-        at, node, deep, found = np.arange(self.length), np.zeros(self.length, np.int64), 0, []
+        at, deep, found = np.arange(self.length), 0, []
         while len(at):
-            node = segmenter.trie.step(node, chars[at + deep])
+            node = segmenter.trie.step(node, chars[at + deep]) if deep else segmenter.trie.root.take(chars, mode="clip")
             deep += 1
             on = node >= 0
             at, node = at[on], node[on]
             piece = segmenter.trie.piece[node]
             hit = piece >= 0
-            found.append((at[hit], np.full(int(hit.sum()), deep), piece[hit], segmenter.logw[piece[hit]]))
+            found.append((deep, at[hit], piece[hit]))
             on = at + deep < stop[at]
             at, node = at[on], node[on]
         whole = np.zeros(self.length, bool)
-        whole[found[0][0]] = True
+        whole[found[0][1]] = True
         rest = np.flatnonzero(~whole)  # characters that are no piece: their bytes
         if len(rest):
             kinds, which = np.unique(chars[rest], return_inverse=True)
-            runs = [segmenter.byte_run(chr(c)) for c in kinds.tolist()]
-            found.append((rest, np.ones(len(rest), np.int64), np.array([r for r, _ in runs])[which], np.array([w for _, w in runs])[which]))
-        start, size, piece, weight = (np.concatenate(c) for c in zip(*found))
-        order = np.argsort(start, kind="stable")
-        self.place, self.piece, weight = start[order], piece[order], weight[order]
-        self.end = self.place + size[order]
+            found.append((1, rest, np.array([segmenter.byte_run(chr(c)) for c in kinds.tolist()])[which]))
+        sizes, starts, found = zip(*found)
+        start = np.concatenate(starts)
+        order = np.argsort(start.astype(np.uint16) if self.length < 2**16 else start, kind="stable")  # the short ones are sorted by counting
+        self.place, self.piece = start[order], np.concatenate(found)[order]
+        self.end = self.place + np.repeat(sizes, [len(x) for x in starts])[order]
         count = np.bincount(self.place, minlength=self.length)
         self.first = np.cumsum(count) - count
+        weight = segmenter.logw[self.piece]
+        if len(rest):
+            weight[self.piece < 0] = [segmenter.run_weight(r) for r in self.piece[self.piece < 0].tolist()]
         self._sum(weight, stop)
 
     def _sum(self, weight: np.ndarray, stop: np.ndarray) -> None:
         """Backward sums over each chunk, all chunks at once, by the distance to the chunk's end."""
-        beta, self.logp, share = np.zeros(self.length + 1), np.empty(len(weight)), np.empty(len(weight))
         far = stop - np.arange(self.length)
-        count = np.diff(self.first, append=len(weight))
+        if far.max(initial=0) < 2**15:
+            far = far.astype(np.int16)  # sorted by counting
         by = np.argsort(far, kind="stable")
-        cut = np.flatnonzero(np.diff(far[by], prepend=0))
+        far, count = far[by], np.diff(self.first, append=len(weight))
+        n = count[by]
+        edge = _ranges(self.first[by], n)
+        seg = np.append(0, np.cumsum(n))
+        rank = np.empty(self.length + 1, np.int64)
+        rank[by] = np.arange(self.length)
+        rank[self.length] = self.length
+        end = self.end[edge]
+        end[end == np.repeat(stop[by], n)] = self.length  # whose sum is that of nothing
+        end = rank[end]
+        x, part, whole, beta = weight[edge], np.empty(len(edge)), np.empty(self.length), np.zeros(self.length + 1)
+        cut = np.flatnonzero(np.diff(far, prepend=0))
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(by)).tolist()):
-            places = by[a:b]
-            n = count[places]
-            e = _ranges(self.first[places], n)
-            seg = np.cumsum(n) - n
-            x = weight[e] + np.where(self.end[e] == np.repeat(stop[places], n), 0.0, beta[self.end[e]])
-            top = np.maximum.reduceat(x, seg)
-            part = np.exp(x - np.repeat(top, n))
-            whole = np.add.reduceat(part, seg)
-            beta[places] = top + np.log(whole)
-            self.logp[e], share[e] = x - np.repeat(beta[places], n), part / np.repeat(whole, n)
-        # upper ends of each edge's share of its place, as whole numbers behind the place's own: one sorted array
-        upto, places = np.zeros(self.length), np.flatnonzero(count)
-        self.shares = np.repeat(np.arange(1, self.length + 1) << BITS, count)
-        for i in range(int(count.max(initial=0))):
-            places = places[count[places] > i]
-            upto[places] += share[self.first[places] + i]
-            inner = places[count[places] > i + 1]
-            self.shares[self.first[inner] + i] = (inner << BITS) + np.minimum(upto[inner] * 2.0**BITS, 2.0**BITS).astype(np.int64)
-
-
-class Numbers(dict):
-    """Keys numbered as they are first asked for."""
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
+            i, j = int(seg[a]), int(seg[b])
+            x[i:j] += beta[end[i:j]]
+            of = seg[a:b] - i
+            top = np.maximum.reduceat(x[i:j], of)
+            np.exp(x[i:j] - np.repeat(top, n[a:b]), out=part[i:j])
+            whole[a:b] = np.add.reduceat(part[i:j], of)
+            beta[a:b] = top + np.log(whole[a:b])
+        x -= np.repeat(beta[:-1], n)
+        part *= np.repeat(2.0**BITS / whole, n)
+        self.logp, share = np.empty(len(edge)), np.empty(len(edge), np.int64)
+        self.logp[edge], share[edge] = x, part
+        # upper ends of each edge's share of its place, as whole numbers; the last one's is the place's
+        upto = np.cumsum(share)
+        upto -= np.repeat(upto[self.first] - share[self.first], count)
+        upto[np.append(self.first[1:], len(edge))[: self.length] - 1] = 1 << BITS
+        self.shares = np.minimum(upto, 1 << BITS, out=upto)
+        # a byte for each value of a draw's first bits: how many edges end at or before all such draws
+        part = upto + ((1 << BITS - GUIDE) - 1) >> BITS - GUIDE
+        self.guide = np.add.reduceat(PASSED[part], self.first)
 
 
 class Book:
@@ -224,14 +240,16 @@ class Book:
                 for other in [kind[c] for c in chars if c in kind]:
                     chars |= other
                 kind.update(dict.fromkeys(chars, chars))
-        kinds = {id(k): k for k in kind.values()}.values()
-        classes = [f"[{re.escape(''.join(sorted(k - {SPACE})))}]+" for k in kinds]
-        self.chunks = re.compile(f"{SPACE}*(?:{'|'.join([*classes, f'[^{SPACE}]'])})|{SPACE}+").findall
+        kinds = {id(k): k - {SPACE} for k in kind.values()}.values()
+        self.kinds = np.zeros(max(map(ord, [SPACE, *kind])) + 2, np.uint16)  # by character; none for those that stand alone
+        for i, chars in enumerate(kinds):
+            self.kinds[[*map(ord, chars)]] = 2 + i
+        self.kinds[ord(SPACE)] = 1
         self.clear()
 
     def clear(self) -> None:
-        self.number, self.turns = Numbers(), 0
-        self.held = {"first": np.zeros(1, np.int64), "end": np.zeros(0, np.int64), "piece": np.zeros(0, np.int32), "logp": np.zeros(0), "shares": np.zeros(0, np.int64),
+        self.number, self.turns = {}, 0
+        self.held = {"first": np.zeros(1, np.int64), "edge": np.zeros(0, np.int64), "piece": np.zeros(0, np.int32), "logp": np.zeros(0),
                      "sizes": np.zeros(0, np.int64), "stops": np.zeros(0, np.int64)}
         self.used = {c: len(v) for c, v in self.held.items()}
 
@@ -244,11 +262,12 @@ class Book:
         while len(self.number) > chunks:
             self.number.popitem()  # the one met last
         places = int(self.stops[chunks - 1])
-        edges = int(self.first[places])
-        self.used.update(first=places + 1, end=edges, piece=edges, logp=edges, shares=edges, sizes=chunks, stops=chunks)
+        edges = int(self.first[places]) & (1 << EDGES) - 1
+        self.held["first"][places] = edges
+        self.used.update(first=places + 1, edge=edges, piece=edges, logp=edges, sizes=chunks, stops=chunks)
 
     def __getattr__(self, name: str) -> np.ndarray:
-        if name in ("first", "end", "piece", "logp", "shares", "sizes", "stops"):
+        if name in ("first", "edge", "piece", "logp", "sizes", "stops"):
             return self.held[name][: self.used[name]]
         raise AttributeError(name)
 
@@ -259,26 +278,50 @@ class Book:
         self.held[name][self.used[name] : n] = new
         self.used[name] = n
 
+    def chunks(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different chunks of the texts as they are first met, which one each chunk is, and of how many each text is."""
+        joined = SPACE.join(["", *texts]).replace(" ", SPACE)
+        data = joined.encode("utf-32-le", "surrogatepass")
+        kind = self.kinds.take(np.frombuffer(data, np.uint32), mode="clip")
+        begin = np.cumsum([0, *(1 + len(t) for t in texts)])
+        heads = np.empty(len(kind), bool)
+        before, kind = kind[:-1], kind[1:]
+        heads[1:] = (kind != before) & (before != 1) | (kind == 0) & (before == 0)
+        heads[begin[:-1]] = True
+        heads = np.append(np.flatnonzero(heads), begin[-1])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(heads) - 1, [None, pa.py_buffer(4 * heads), pa.py_buffer(data)]).dictionary_encode()
+        which = coded.indices.to_numpy()
+        one = np.empty(len(coded.dictionary), np.int64)
+        one[which[::-1]] = np.arange(len(which))[::-1]  # the first of equal chunks is put last
+        return [joined[a:b] for a, b in zip(heads[one].tolist(), heads[one + 1].tolist())], which, np.diff(np.searchsorted(heads, begin))
+
     def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of each chunk of the texts, and of how many chunks each text is."""
-        parts, n = [], []
-        for t in texts:
-            known = len(parts)
-            parts += self.chunks(SPACE + t.replace(" ", SPACE))
-            n.append(len(parts) - known)
+        parts, which, n = self.chunks(texts)
         if self.used["first"] > BOOK_CHARS:
             self._make_room()
-        known = len(self.number)
-        which = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
-        if len(self.number) > known:
-            new = list(islice(self.number, known, None))
-            lat = Lattice(self.segmenter, new, chunks=True)
-            places, edges = self.used["first"] - 1, self.used["end"]
-            self.used["first"] -= 1  # the last one closes the edges before
-            for name, values in (("first", np.append(lat.first, len(lat.end)) + edges), ("end", lat.end + places), ("piece", lat.piece), ("logp", lat.logp),
-                              ("shares", lat.shares + (places << BITS)), ("sizes", lat.sizes), ("stops", lat.ends + places)):
-                self._put(name, values)
-        return which, np.array(n)
+        number = np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(number < 0)
+        number[new] = np.arange(len(self.number), len(self.number) + len(new))
+        block, size = [], 0
+        for i in new.tolist():
+            self.number[parts[i]] = len(self.number)
+            block.append(parts[i])
+            size += len(parts[i])
+            if size >= BLOCK_CHARS:
+                self._add(Lattice(self.segmenter, block, chunks=True))
+                block, size = [], 0
+        if block:
+            self._add(Lattice(self.segmenter, block, chunks=True))
+        return number[which], n
+
+    def _add(self, lat: Lattice) -> None:
+        places, edges = self.used["first"] - 1, self.used["edge"]
+        self.used["first"] -= 1  # the last one closes the edges before
+        first = np.append(lat.first + (lat.guide << EDGES), len(lat.end)) + edges
+        edge = (lat.shares << 62 - BITS) + lat.end - lat.place
+        for name, values in (("first", first), ("edge", edge), ("piece", lat.piece), ("logp", lat.logp), ("sizes", lat.sizes), ("stops", lat.ends + places)):
+            self._put(name, values)
 
 
 class Chunks:
@@ -296,7 +339,11 @@ class Chunks:
         self.ends = (self.heads + size)[np.cumsum(n) - 1]
         self.sizes = np.diff(self.ends, prepend=0)
         self.length = int(self.ends[-1])
-        self.order = np.argsort(which)  # draws that fall into one part of the book follow one another
+        # in the book's order, so that draws that fall into one part of it follow one another
+        self.order = np.argsort(which)
+        self.nth = np.empty_like(self.order)  # the place there of each chunk
+        self.nth[self.order] = np.arange(len(which))
+        self.walked = self.text[self.order], (self.stops - size)[self.order], self.stops[self.order], self.shift[self.order]
 
     def shift_at(self, place: int) -> int:
         return int(self.shift[np.searchsorted(self.heads, place, "right") - 1])
@@ -327,13 +374,15 @@ class Segmenter:
         self.runs: list[list[int]] = []  # byte runs, numbered from -1 down
         self.run_of: dict[str, int] = {}
 
-    def byte_run(self, char: str) -> tuple[int, float]:
-        """Number and weight of the bytes of a character that is no piece."""
+    def byte_run(self, char: str) -> int:
+        """The number of the bytes of a character that is no piece."""
         if char not in self.run_of:
             self.run_of[char] = -1 - len(self.runs)
             self.runs.append([self.bytes[b] for b in char.encode("utf-8", "surrogatepass")])
-        run = self.run_of[char]
-        return run, self.rare * len(self.runs[-1 - run])
+        return self.run_of[char]
+
+    def run_weight(self, run: int) -> float:
+        return self.rare * len(self.runs[-1 - run])
 
     def sample(self, text: str, k: int, seed: int) -> list[tuple[np.ndarray, float, float, float]]:
         return self.samples([text], k, [seed])[0]
@@ -351,7 +400,7 @@ class Segmenter:
             return out
         all_ = Chunks(self.book, [texts[i] for i in full])
         lat, begin, nothing = self.book, all_.ends - all_.sizes, np.zeros(0, np.int64)
-        first, end, edge_logp = lat.first, lat.end, lat.logp
+        first, edge, edge_logp = lat.first, lat.edge, lat.logp
         # value, tie, place, log p so far, edges taken already, edges before (path, its first n)
         heaps = [[(-float(roots[i]), 0, int(b), 0.0, (), (nothing, 0))] for i, b in zip(full, begin)]
         found: list[list] = [[] for _ in full]
@@ -366,7 +415,7 @@ class Segmenter:
                 value, _, place, phi, taken, before = heapq.heappop(heaps[t])
                 if taken:  # one of the siblings attains the set's value; the others stay a set
                     shift = all_.shift_at(place)
-                    a, b = first[place - shift : place - shift + 2].tolist()
+                    a, b = (first[place - shift : place - shift + 2] & (1 << EDGES) - 1).tolist()
                     edges = [(e, math.exp(p), p) for e, p in enumerate(edge_logp[a:b].tolist(), a) if e not in taken]
                     left = u * sum(x for _, x, _ in edges)
                     for e, share, logp in edges:  # the last one, if rounding left something
@@ -376,7 +425,7 @@ class Segmenter:
                     if len(edges) > 1:
                         rest = phi + math.log(max(sum(x for _, x, _ in edges) - share, 5e-324))
                         heapq.heappush(heaps[t], (-cut_gumbel_once(rest, -value, v), step * (k + 1), place, phi, (*taken, e), before))
-                    nodes.append((-value, int(end[e]) + shift, phi + logp))
+                    nodes.append((-value, place + (int(edge[e]) & (1 << 62 - BITS) - 1), phi + logp))
                     heads.append((before[0][: before[1]], [e]))
                 else:
                     nodes.append((-value, place, phi))
@@ -421,34 +470,45 @@ class Segmenter:
         """
         lat, start, stop = self.book, np.array([n[1] for n in nodes]), all_.ends[who]
         begin = stop - all_.sizes[who]
-        after, last = np.searchsorted(all_.heads, start, "right"), np.searchsorted(all_.heads, stop, "left")
-        n = np.where(start < stop, last - after + 1, 0)
-        at, on = all_.heads.copy(), np.zeros(len(all_.heads), bool)
-        at[(after - 1)[n > 0]] = start[n > 0]
-        on[_ranges(after - 1, n)] = True
-        chunk = all_.order[on[all_.order]]
-        nth = np.zeros(len(all_.ends), np.int64)
-        nth[who] = np.arange(len(who))
-        owner = nth[all_.text[chunk]]
-        ends, shift = all_.stops[chunk], all_.shift[chunk]
-        now = at[chunk] - shift
-        taken = np.full(all_.length, -1)
-        stream = (shift - begin[owner] + 1).astype(np.uint64) * _MARK + _stream(seeds, 2 * step)[owner]
-        shares, to, first = lat.shares, lat.end, lat.first
+        on = start < stop
+        head = np.searchsorted(all_.heads, start[on], "right") - 1
+        least = np.full(len(all_.ends), len(all_.heads))  # the first chunk of each text that is walked
+        least[who[on]] = head
+        owner, now, ends, shift = all_.walked
+        chunk = np.flatnonzero(all_.order >= least[owner])
+        owner, now, ends, shift = owner[chunk], now[chunk], ends[chunk], shift[chunk]
+        now[np.searchsorted(chunk, all_.nth[head])] = start[on] - all_.shift[head]
+        taken = np.full(all_.length, -1, np.int32)
+        streams = np.zeros(len(all_.ends), np.uint64)  # a text's places are numbered from 1
+        streams[who] = (1 - begin).astype(np.uint64) * _MARK + _stream(seeds, 2 * step)
+        stream = shift.astype(np.uint64) * _MARK + streams[owner]
+        first, edge, low = lat.first, lat.edge, (1 << 62 - BITS) - 1
         while len(now):
             u = now.view(np.uint64) * _MARK
             u += stream
             u = _mixed(u)
             u >>= np.uint64(64 - BITS)
             u = u.view(np.int64)
-            u += now << BITS
-            e = first[now]  # places have few edges: the first one whose share ends above the draw
-            on = np.flatnonzero(shares[e] <= u)
-            while len(on):
+            e = first[now]
+            passed = u >> BITS - GUIDE
+            passed <<= 3
+            passed += EDGES
+            np.right_shift(e, passed, out=passed)
+            passed &= 255
+            e &= (1 << EDGES) - 1
+            e += passed
+            u <<= 62 - BITS
+            u += low
+            got = edge[e]
+            on = np.flatnonzero(got <= u)
+            while len(on):  # the first edge whose share ends above the draw
                 e[on] += 1
-                on = on[shares[e[on]] <= u[on]]
+                more = edge[e[on]]
+                got[on] = more
+                on = on[more <= u[on]]
             taken[now + shift] = e
-            now = to[e]
+            got &= low
+            now += got
             on = np.flatnonzero(now < ends)
             now, ends, shift, stream = now[on], ends[on], shift[on], stream[on]
         place = np.flatnonzero(taken >= 0)  # texts follow one another

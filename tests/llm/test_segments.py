@@ -161,3 +161,42 @@ def test_spelt_as_the_model_decodes(segmenter, text):
     spelt = segmenter.spelt(np.concatenate(got), np.array([len(ids) for ids in got]))
     assert spelt[::2] == [segmenter.decode(ids).encode() for ids in got[::2]]
     assert [x == text.encode() for x in spelt] == [segmenter.decode(ids) == text for ids in got]
+
+
+def test_texts_are_cut_where_no_piece_reaches(segmenter):
+    texts = ["  the word,the  中文!!\n", "", " ", "a▁b  ", "\ud800é😀😀x\n\n y", "..."]
+    parts, which, n = segmenter.book.chunks(texts)
+    assert len(set(parts)) == len(parts) and list(dict.fromkeys(which.tolist())) == list(range(len(parts)))
+    whole, at = ["▁" + t.replace(" ", "▁") for t in texts], 0
+    pieces = {p.lstrip("▁") for p in segmenter.pieces}
+    beside = {(a, b) for p in pieces for a, b in zip(p, p[1:])}
+    for t, size in zip(whole, n.tolist()):
+        cut = [parts[i] for i in which[at : at + size].tolist()]
+        at += size
+        assert "".join(cut) == t and all("▁" not in c.lstrip("▁") for c in cut)
+        assert not any((a[-1], b[0]) in beside or a[-1] == "▁" for a, b in zip(cut, cut[1:]))
+    assert at == len(which) and [parts[i] for i in which[:7].tolist()] == ["▁▁▁the", "▁word", ",", "the", "▁▁中", "文", "!!"]
+
+
+def test_equal_chunks_of_a_batch_are_looked_up_once(segmenter):
+    s, asked = Segmenter(default_vocabulary(), 0.2), Counter()
+
+    class Asked(dict):
+        def get(self, key, *other):
+            asked[key] += 1
+            return super().get(key, *other)
+
+    s.book.number = Asked()
+    text = "the word " * 200
+    assert [g[0].tolist() for g in s.sample(text, 2, 5)] == [g[0].tolist() for g in segmenter.sample(text, 2, 5)]
+    assert asked == {"▁the": 1, "▁word": 1, "▁": 1}
+
+
+def test_draws_do_not_depend_on_a_place_s_number(segmenter, monkeypatch):
+    from maskloom.llm import gumbel_segments as G
+
+    monkeypatch.setattr(G, "BITS", 58)  # a place's number before so many bits was too large from place 32 on, of 40 bits from 8,388,608 on
+    for text in ("x" * 300, "the word of many places " * 20):
+        s = Segmenter(default_vocabulary(), 0.2)
+        got = s.sample(text, 4, 9)
+        assert len({tuple(g[0].tolist()) for g in got}) == 4 and all(s.decode(g[0]) == text for g in got)
