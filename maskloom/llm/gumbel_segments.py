@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -156,12 +156,12 @@ class Lattice:
         while len(at):
             node = segmenter.trie.step(node, chars[at + deep]) if deep else segmenter.trie.root.take(chars, mode="clip")
             deep += 1
-            on = node >= 0
+            on = np.flatnonzero(node >= 0)  # numbers pick faster than truth values do
             at, node = at[on], node[on]
             piece = segmenter.trie.piece[node]
-            hit = piece >= 0
+            hit = np.flatnonzero(piece >= 0)
             found.append((deep, at[hit], piece[hit]))
-            on = at + deep < stop[at]
+            on = np.flatnonzero(at + deep < stop[at])
             at, node = at[on], node[on]
         whole = np.zeros(self.length, bool)
         whole[found[0][1]] = True
@@ -195,7 +195,7 @@ class Lattice:
         rank[by] = np.arange(self.length)
         rank[self.length] = self.length
         end = self.end[edge]
-        end[end == np.repeat(stop[by], n)] = self.length  # whose sum is that of nothing
+        np.putmask(end, end == np.repeat(stop[by], n), self.length)  # whose sum is that of nothing
         end = rank[end]
         x, part, whole, beta = weight[edge], np.empty(len(edge)), np.empty(self.length), np.zeros(self.length + 1)
         cut = np.flatnonzero(np.diff(far, prepend=0))
@@ -259,8 +259,7 @@ class Book:
         if not chunks or self.turns == BOOK_TURNS or len(self.held["first"]) > 4 * BOOK_CHARS:  # one chunk may be very long
             return self.clear()
         self.turns += 1
-        while len(self.number) > chunks:
-            self.number.popitem()  # the one met last
+        self.number = dict(islice(self.number.items(), chunks))  # those met first
         places = int(self.stops[chunks - 1])
         edges = int(self.first[places]) & (1 << EDGES) - 1
         self.held["first"][places] = edges
@@ -303,16 +302,12 @@ class Book:
         number = np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
         new = np.flatnonzero(number < 0)
         number[new] = np.arange(len(self.number), len(self.number) + len(new))
-        block, size = [], 0
-        for i in new.tolist():
-            self.number[parts[i]] = len(self.number)
-            block.append(parts[i])
-            size += len(parts[i])
-            if size >= BLOCK_CHARS:
-                self._add(Lattice(self.segmenter, block, chunks=True))
-                block, size = [], 0
-        if block:
-            self._add(Lattice(self.segmenter, block, chunks=True))
+        parts = [parts[i] for i in new.tolist()]
+        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts))))
+        block = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // BLOCK_CHARS
+        for part in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(block)) + 1):
+            if len(part):
+                self._add(Lattice(self.segmenter, parts[part[0] : part[-1] + 1], chunks=True))
         return number[which], n
 
     def _add(self, lat: Lattice) -> None:
@@ -450,7 +445,7 @@ class Segmenter:
 
     def _ids(self, paths: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
         """The pieces of some paths, one after the other, with the bytes of each run in its place; where each path ends."""
-        ids = self.book.piece[np.concatenate(paths)]
+        ids = self.book.piece.take(np.concatenate(paths))
         ends = np.cumsum([len(p) for p in paths])
         at = np.flatnonzero(ids < 0)
         if len(at):
@@ -513,7 +508,7 @@ class Segmenter:
             now, ends, shift, stream = now[on], ends[on], shift[on], stream[on]
         place = np.flatnonzero(taken >= 0)  # texts follow one another
         path = taken[place]
-        logp = lat.logp[path]
+        logp = lat.logp.take(path)
         lows, highs = np.searchsorted(place, begin), np.searchsorted(place, stop)
         value, phi = np.array([x[0] for x in nodes]), np.array([x[2] for x in nodes])
 
